@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
+from . import decontaminate, jaccard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +21,29 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.all_pairs(jaccard.join(_table(spark, sf_dir, "documents"))).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a test item: (doc_id, item_id, n_words, doc_word, item_word)."""
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op8_decontamination": op8_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_decontamination": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT doc_id, p, array_to_string(w[p + 1:p + {decontaminate.LEAST}], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - {decontaminate.LEAST - 1})) AS p FROM d)),
+bg AS (SELECT item_id, least({decontaminate.MIN_WORDS}, len(w)) AS need, s, array_to_string(w[s + 1:s + {decontaminate.LEAST}], ' ') AS g FROM (SELECT *, unnest(range(0, len(w) - {decontaminate.LEAST - 1})) AS s FROM b)),
+m AS (SELECT doc_id, item_id, need, p, s, p - row_number() OVER (PARTITION BY doc_id, item_id, p - s ORDER BY p) AS run FROM dg JOIN bg USING (g)),
+r AS (SELECT doc_id, item_id, count(*) + {decontaminate.LEAST - 1} AS n_words, min(p) AS doc_word, min(s) AS item_word, any_value(need) AS need FROM m GROUP BY doc_id, item_id, p - s, run)
+SELECT doc_id, item_id, n_words, doc_word, item_word FROM r WHERE n_words >= need
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) = 1
+""",
     "op10_ngram_jaccard": f"""
 WITH t AS (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < {jaccard.N} THEN [array_to_string(w, ' ')]
