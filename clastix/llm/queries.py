@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard
+from . import decontaminate, jaccard, language
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, by a model of the documents' own labels: (doc_id, language, probability, keep)."""
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op9_language_id": op9_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
