@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language
+from . import decontaminate, jaccard, language, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +32,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents: (doc_id, start, n_chars, digest, probability)."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op2_secret_scan": op2_secret_scan,
     "op9_language_id": op9_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_ngram_jaccard": op10_ngram_jaccard,
