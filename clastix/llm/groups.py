@@ -21,6 +21,7 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.
             if now is not None and int(k[i]) != now:
                 yield now, pa.Table.from_batches(held)
                 held = []
+                pa.default_memory_pool().release_unused()
             now = int(k[i])
             held.append(b.slice(i, j - i))
     if held:

@@ -29,11 +29,11 @@ from .scratch import drop, row_key, sized, written
 N = 5
 THRESHOLD = 0.4
 #: N-grams in a bucket of the count, and in the block of one map task, about.
-BLOCK_GRAMS = 2_000_000
+BLOCK_GRAMS = 1_000_000
 #: Texts whose sets one verifying task holds, about.
 CELL_TEXTS = 10_000
 #: Pairs that a task makes at a time.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 500_000
 
 _BLOCK = "bucket int, src long, texts binary, counts binary, grams binary, ranks binary"
 _TOP = np.uint64(45)
@@ -64,7 +64,7 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows of ints, floats and bytes as batches of about that many bytes."""
     held, size = [], 0
     for r in rows:
