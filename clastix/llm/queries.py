@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, secrets
+from . import decontaminate, jaccard, language, packing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,9 +37,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into bins: (bin, fill, doc_ids, starts, lengths)."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
     "op9_language_id": op9_language_id,
     "op8_decontamination": op8_decontamination,
