@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .scratch import sized, written
+from .scratch import fresh, sized, written
 
 #: A match of so many words condemns a text; test items of fewer words are matched whole, from LEAST words on.
 MIN_WORDS = 13
@@ -197,5 +197,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: int = LEAST) -> DataFrame:
     """docs without those that share a passage with a test item (see matches()). A document without an id or a text stays; columns are kept."""
-    found = written(matches(docs, benchmark, id_col, text_col, min_words, least).select(F.col("doc_id").alias("k")).distinct(), "leaks")
-    return docs.join(sized(found), docs[id_col].cast("long") == found["k"], "left_anti")
+    (name,) = fresh(docs, "id")
+    found = written(matches(docs, benchmark, id_col, text_col, min_words, least).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(sized(found), F.col(id_col).cast("long") == F.col(name), "left_anti")

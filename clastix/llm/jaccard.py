@@ -13,6 +13,7 @@ further than the count. Identical texts are found first and enter the join as on
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as T
 from .groups import runs
-from .scratch import drop, row_key, sized, written
+from .scratch import drop, fresh, row_key, sized, written
 
 N = 5
 THRESHOLD = 0.4
@@ -405,15 +406,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Documents without an id, a text or a word stay. Of rows that repeat an id, one stays: of the least
     text. All columns of docs are kept, under their names.
     """
-    out = losers(join(docs, id_col, text_col, n, threshold))
+    name, rank = fresh(docs, "id", "rank")
     key = F.col(id_col).cast("long")
-    many = docs.where(key.isNotNull()).groupBy(key.alias("id")).count().where("count > 1").select("id")
-    many = written(many, "repeated")
-    out = sized(out)
-    mark = "__row"
-    kept = docs.join(out, key == out["id"], "left_anti")
+    out = sized(losers(join(docs, id_col, text_col, n, threshold)).withColumnRenamed("id", name))
+    many = written(docs.groupBy(key.alias(name)).count().where(F.col("count") > 1).where(F.col(name).isNotNull()).select(name), "repeated")
+    kept = docs.join(out, key == F.col(name), "left_anti")
     if many.isEmpty():
         return kept
     many = sized(many)
-    again = kept.join(many, key == many["id"], "left_semi").withColumn(mark, F.row_number().over(Window.partitionBy(key).orderBy(F.col(text_col).asc_nulls_last(), row_key(*docs.columns)))).where(f"{mark} = 1").drop(mark)
-    return kept.join(many, key == many["id"], "left_anti").unionByName(again)
+    plain = [c for c, kind in docs.dtypes if not re.search("map<|variant", kind)]
+    one = Window.partitionBy(key).orderBy(F.col(text_col).asc_nulls_last(), row_key(*plain))
+    again = kept.join(many, key == F.col(name), "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(many, key == F.col(name), "left_anti").unionByName(again)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import decontaminate, jaccard, language, packing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
     "op9_language_id": op9_language_id,

@@ -51,3 +51,14 @@ def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS
 def row_key(*columns: Column | str) -> Column:
     """A 64-bit key of these columns; a null differs from every value."""
     return F.xxhash64(*columns)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
