@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language, packing, secrets
+from . import decontaminate, jaccard, language, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +44,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's metrics, the rules it breaks, and whether it is kept."""
+    out = quality.assess(_table(spark, sf_dir, "documents"))
+    return out.withColumns({k: F.round(k, 6) for k, (_, bottom) in quality.RATIOS.items() if bottom})
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op4_quality_rules": op4_quality_rules,
     "pipeline": corpus_pipeline.run,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -56,6 +63,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality.sql(),
     "op8_decontamination": f"""
 WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 b AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
