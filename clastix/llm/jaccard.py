@@ -32,7 +32,7 @@ THRESHOLD = 0.4
 #: N-grams in a bucket of the count, and in the block of one map task, about.
 BLOCK_GRAMS = 1_000_000
 #: Texts whose sets one verifying task holds, about.
-CELL_TEXTS = 10_000
+CELL_TEXTS = 2_500
 #: Pairs that a task makes at a time.
 PAIRS_AT_ONCE = 500_000
 
@@ -257,17 +257,29 @@ def _candidates(t: float, targets: int):
     return lambda batches: _emit(rows(batches), schema)
 
 
+def _distinct(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of pairs and the cells of their second texts as one, each pair once, in order."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    a, b, cells = (np.concatenate(x) for x in zip(none, *blocks))
+    order = np.lexsort((b, a))
+    a, b, cells = a[order], b[order], cells[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[new], b[new], cells[new]
+
+
 def _once(targets: int):
     """Blocks of pairs by target to kind 1: each pair once, and kind 0: texts of other cells that the target needs."""
     schema = _arrow(_PAIR)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for target, p in runs(batches, "target"):
-            a, b, cells = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in p[k]]) for k, kind in (("a", "<i8"), ("b", "<i8"), ("cells", "<u4")))
-            order = np.lexsort((b, a))
-            a, b, cells = a[order], b[order], cells[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            a, b, cells = a[new], b[new], cells[new]
+            held, size = [_distinct([])], 0
+            for x in zip(p["a"], p["b"], p["cells"]):
+                held.append(tuple(np.frombuffer(v.as_py(), kind) for v, kind in zip(x, ("<i8", "<i8", "<u4"))))
+                size += len(held[-1][0])
+                if size > PAIRS_AT_ONCE:
+                    held, size = [_distinct(held)], 0
+            a, b, cells = _distinct(held)
             for x in np.unique(b[cells % targets != target]).tolist():
                 yield target, 0, x, 0, b"", b"", b""
             for i in range(0, len(a), 1_000_000):
