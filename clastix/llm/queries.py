@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language, packing, quality, secrets
+from . import decontaminate, jaccard, language, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,9 +50,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({k: F.round(k, 6) for k, (_, bottom) in quality.RATIOS.items() if bottom})
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the chain finds toxic, with the probability of each category: all documents are classified, the toxic ones returned."""
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, chain).where(f"is_{toxicity.TARGET}")
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op7_toxicity": op7_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "pipeline": corpus_pipeline.run,
     "op5_best_fit_packing": op5_best_fit_packing,
