@@ -48,6 +48,10 @@ class Rows:
         return Rows(self.start, self.index, self.value, np.column_stack([self.dense, *columns]))
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    return float((a * b).sum())  # without threads
+
+
 def fit_sparse(x: Rows, y: np.ndarray, width: int, ridge: float = 2.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients of the sparse columns, of the dense ones), by limited-memory quasi-Newton steps with backtracking."""
     k = x.dense.shape[1]
@@ -59,7 +63,7 @@ def fit_sparse(x: Rows, y: np.ndarray, width: int, ridge: float = 2.0, rounds: i
         z = np.clip(x.dot(b[:width], b[width:]), -35, 35)
         p = sigmoid(z)
         e = w * (p - y)
-        g = np.append(np.bincount(x.index, e[x.row] * x.value, width), x.dense.T @ e) + penalty * b
+        g = np.append(np.bincount(x.index, e[x.row] * x.value, width), (x.dense * e[:, None]).sum(0)) + penalty * b
         return float((w * (np.logaddexp(0, z) - y * z)).sum() + (penalty * b * b).sum() / 2), g
 
     b = np.zeros(width + k)
@@ -68,16 +72,16 @@ def fit_sparse(x: Rows, y: np.ndarray, width: int, ridge: float = 2.0, rounds: i
     for _ in range(rounds):
         q, alphas = g.copy(), []
         for s, d in reversed(old):
-            a = (s @ q) / (s @ d)
+            a = _dot(s, q) / _dot(s, d)
             alphas.append(a)
             q -= a * d
         if old:
-            q *= (old[-1][0] @ old[-1][1]) / (old[-1][1] @ old[-1][1])
+            q *= _dot(*old[-1]) / _dot(old[-1][1], old[-1][1])
         else:
             q /= max(1.0, np.abs(g).max())
         for (s, d), a in zip(old, reversed(alphas)):
-            q += s * (a - (d @ q) / (s @ d))
-        step, slope = 1.0, g @ q
+            q += s * (a - _dot(d, q) / _dot(s, d))
+        step, slope = 1.0, _dot(g, q)
         while step > 1e-6:
             new = b - step * q
             f2, g2 = value(new)
@@ -87,7 +91,7 @@ def fit_sparse(x: Rows, y: np.ndarray, width: int, ridge: float = 2.0, rounds: i
         else:
             break
         s, d = new - b, g2 - g
-        if s @ d > 1e-12:
+        if _dot(s, d) > 1e-12:
             old = [*old[-7:], (s, d)]
         done = f - f2 < 1e-7 * max(1.0, abs(f))
         b, f, g = new, f2, g2
