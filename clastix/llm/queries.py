@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language, packing, quality, secrets, toxicity
+from . import decontaminate, jaccard, language, licenses, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,9 +57,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, chain).where(f"is_{toxicity.TARGET}")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in documents: (doc_id, license, dice)."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op7_toxicity": op7_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "pipeline": corpus_pipeline.run,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.sql(),
     "op4_quality_rules": quality.sql(),
     "op8_decontamination": f"""
 WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
