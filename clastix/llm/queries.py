@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language, licenses, packing, quality, secrets, toxicity
+from . import decontaminate, html, jaccard, language, licenses, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,9 +62,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of pages: (page_id, host, path, consensus, text)."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op3_html_extraction": op3_html_extraction,
     "op1_license_scan": op1_license_scan,
     "op7_toxicity": op7_toxicity,
     "op4_quality_rules": op4_quality_rules,
