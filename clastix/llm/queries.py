@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, html, jaccard, language, licenses, packing, quality, secrets, toxicity
+from . import decontaminate, html, jaccard, language, licenses, packing, pii, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,9 +67,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents: (doc_id, start, n_chars, kind, probability)."""
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
 
 QUERIES: dict[str, Query] = {
+    "op6_pii": op6_pii,
     "op3_html_extraction": op3_html_extraction,
     "op1_license_scan": op1_license_scan,
     "op7_toxicity": op7_toxicity,
