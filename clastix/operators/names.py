@@ -28,9 +28,9 @@ def clean_name(x: Column, terms: list[str] | None = None, collapse: list[str] |
     out = drop(out, r"\p{Punct}", " ")
     out = drop(out, r"\s[A-Z]{1,4}\b|\b[a-z]{1}\b", " ")
     out = drop(drop(out, r"\s+", " "), "^ | $", "")
-    words = F.split(out, " ")
-    out = F.lower(F.when(F.size(words) > 2, words[0]).otherwise(out))
-    return F.nullif(F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2))), F.lit(""))
+    out = F.lower(drop(out, "^([^ ]+) [^ ]+ .*$", "$1"))
+    # the lambda names the chain once: used three times, it would be computed as often
+    return F.transform(F.array(out), lambda o: F.when(o != "", F.concat(F.upper(F.substring(o, 1, 1)), F.substr(o, F.lit(2)))))[0]
 
 
 def clean_names(df: DataFrame, columns: list[str], terms: dict[str, list[str]] | None = None, collapse: dict[str, list[str]] | None = None) -> DataFrame:
