@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -367,14 +367,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     several texts, each takes part, and a pair may be found once for each. Other columns are not read.
     An empty table gives no pairs. Texts of any length are read whole.
     """
-    seen = Observation()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(T.WORD_SQL))
     hashed = lambda df: df.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    rows = hashed(texts.observe(seen, F.sum(F.length("text")).alias("chars"))).select("id", "h1", "h2")
+    rows = hashed(texts).select("id", "h1", "h2")
     groups = written(rows.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1), "copies")
     extra = groups.select(F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("id"), "h1", "h2").select(row_key("id", "h1", "h2").alias("k"))
     apart = hashed(texts).withColumn("k", row_key("id", "h1", "h2")).join(sized(extra), "k", "left_anti").select("id", "text")
-    return Similar(groups.select(F.col("ids")[0].alias("id"), "ids"), _pairs(apart, seen.get["chars"] or 0, n, threshold))
+    return Similar(groups.select(F.col("ids")[0].alias("id"), "ids"), _pairs(apart, texts.agg(F.sum(F.length("text"))).first()[0] or 0, n, threshold))
 
 
 def all_pairs(found: Similar) -> DataFrame:

@@ -1,0 +1,216 @@
+"""The parts that run in the tasks, against brute force."""
+
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from clastix.llm import decontaminate, forest, html, jaccard, licenses, linear, packing, pii, quality, secrets, tokens, toxicity
+
+WORD = re.compile(r"[0-9A-Za-z_\x80-\U0010ffff]+")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab É_9.\n", max_size=30), min_size=1, max_size=6))
+def test_words(texts):
+    raw, off = tokens.buffers(tokens.lower(pa.array(texts)))
+    h, first, last, word = tokens.words(raw, off)
+    seen = {}
+    for k, t in enumerate(texts):
+        want = WORD.findall(t.lower())
+        assert word[k + 1] - word[k] == len(want)
+        for w, x, a, z in zip(want, h[word[k] : word[k + 1]], first[word[k] :], last[word[k] :]):
+            assert seen.setdefault(w, x) == x and raw[a:z].tobytes().decode() == w
+    assert len(set(seen.values())) == len(seen)
+    gram, text = tokens.ngrams(h, word, 3)
+    for k, t in enumerate(texts):
+        w = WORD.findall(t.lower())
+        assert len(set(gram[text == k].tolist())) == len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+
+
+def test_pack48():
+    x = np.array([0, 1, 2**48 - 1, 12345678901], np.uint64)
+    assert (tokens.unpack48(tokens.pack48(x)) == x).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(3, 70))
+def test_suffix_array(code, depth):
+    code = np.array(code, np.int64)
+    sa = decontaminate.suffix_array(code, depth).tolist()
+    keys = [code[i : i + depth].tolist() for i in sa]
+    assert sorted(sa) == list(range(len(code))) and keys == sorted(keys)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), min_size=1, max_size=3))
+def test_search(docs, items):
+    tests = decontaminate.Tests(list(range(len(items))), [" ".join(x) for x in items], 4, 3)
+    raw, off = tokens.buffers(pa.array([" ".join(d) for d in docs]))
+    h, _, _, word = tokens.words(raw, off)
+    x, item, n, p, s = decontaminate.search(tests, h, np.repeat(np.arange(len(docs)), np.diff(word)))
+    got = {(int(a), int(b)): (int(c), int(d - word[a]), int(e)) for a, b, c, d, e in zip(x, item, n, p, s)}
+    want = {}
+    for i, d in enumerate(docs):
+        for j, t in enumerate(items):
+            need = min(4, len(t))
+            if need < 3:
+                continue
+            found = [(-k, a, b) for a in range(len(d)) for b in range(len(t)) for k in range(need, len(t) + 1) if b + k <= len(t) and a + k <= len(d) and d[a : a + k] == t[b : b + k]]
+            if found:
+                k, a, b = min(found)
+                want[i, j] = (-k, a, b)
+    assert got == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_best_fit(sizes):
+    items = [(n, [k], [0], [n]) for k, n in enumerate(sizes)]
+    bins = packing.best_fit(items, 20)
+    assert sorted(i for b in bins for i in b[1]) == list(range(len(sizes)))
+    assert all(b[0] == sum(b[3]) <= 20 for b in bins)
+    left: list[int] = []
+    for n in sorted(sizes, reverse=True):  # the same by looking at every bin
+        fits = [r for r in left if r >= n]
+        if fits:
+            left.remove(min(fits))
+            left.append(min(fits) - n)
+        else:
+            left.append(20 - n)
+    assert sorted(20 - r for r in left) == sorted(b[0] for b in bins)
+
+
+def test_distinct_pairs():
+    a = (np.array([2, 1, 1]), np.array([3, 2, 2]), np.array([7, 8, 8], np.uint32))
+    assert [x.tolist() for x in jaccard._distinct([a, a])] == [[1, 2], [2, 3], [8, 7]]
+    assert [len(x) for x in jaccard._distinct([])] == [0, 0, 0]
+
+
+def test_forest_and_secrets():
+    rows = secrets.labelled_findings(1500, seed=11)
+    model = secrets.train()
+    p = model.predict(np.array([secrets.features(*r[:4]) for r in rows]))
+    assert ((p > 0.5) == np.array([r[4] for r in rows])).mean() > 0.97
+    xor = np.random.default_rng(0).random((600, 2))
+    y = (xor[:, 0] > 0.5) ^ (xor[:, 1] > 0.5)
+    assert ((forest.grow(xor, y, depth=6).predict(xor) > 0.5) == y).mean() > 0.95
+    same = forest.grow(np.zeros((5, 2)), np.array([0, 1, 0, 1, 1]))
+    assert 0 < same.predict(np.zeros((1, 2)))[0] < 1
+
+
+def test_secret_candidates():
+    t = 'say token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and a commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff, password: hunter2!x'
+    assert [t[a:b] for a, b in secrets.candidates(t)] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"] * 2 + ["hunter2!x"]
+    found = secrets.find(pa.array([t, None, "", "plain words only"]), [None] * 4, secrets.train(), 0.5)
+    assert [(g[0], t[g[1] : g[2]][:7]) for g in found][0] == (0, "24be644") and all(g[0] == 0 for g in found) and len(found) == 2
+
+
+def test_dense_logistic_against_gradient():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=300) > 0).astype(float)
+    b = linear.fit_dense(x, y)
+    full = np.column_stack([x, np.ones(300)])
+    g = full.T @ (linear.sigmoid(full @ b) - y) + np.array([1, 1, 1, 1e-6]) * b
+    assert np.abs(g).max() < 1e-5
+
+
+def test_sparse_logistic_separates():
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.3).astype(float)
+    rows = [np.unique(np.append(rng.integers(2, 60, 12), [1] if v else [])) for v in y]
+    start = np.append(0, np.cumsum([len(r) for r in rows]))
+    flat = np.concatenate(rows).astype(int)
+    x = linear.Rows(start, flat, np.ones(len(flat)), np.ones((400, 1)))
+    b, c = linear.fit_sparse(x, y, 60)
+    assert ((x.dot(b, c) > 0) == (y > 0)).mean() > 0.98 and b[1] > 1
+
+
+def test_chain_feeds_earlier_categories():
+    rng = np.random.default_rng(3)
+    n = 600
+    first = (rng.random(n) < 0.4).astype(int)
+    second = first.copy()
+    rows = [np.array([0] if f else [1]) for f in first]
+    x = linear.Rows(np.arange(n + 1), np.concatenate(rows), np.ones(n), np.ones((n, 1)))
+    empty = linear.Rows(np.zeros(n + 1, int), np.zeros(0, int), np.zeros(0), np.ones((n, 1)))
+    chain = toxicity.fit_chain(x, np.column_stack([first, second, np.zeros(n, int)]), ("a", "b", "none"), np.arange(n) % toxicity.FOLDS, 2)
+    assert len(chain.dense[1]) == 2 and len(chain.dense[2]) == 3
+    p = linear.sigmoid(empty.beside(*toxicity._columns([first.astype(float)])).dot(chain.sparse[1].astype(float), chain.dense[1]))
+    assert p[first == 1].min() > p[first == 0].max()
+    assert linear.sigmoid(chain.dense[2][0]) < 1e-6
+
+
+def test_license_matches_brute_force():
+    texts = ["Released under the MIT License.", "x\n\nLicensed under the Apache License, Version 2.0.\nmore words here", "nothing at all", "", "Licensed under CC BY-NC 4.0.", licenses._MIT, "All rights reserved. " * 3]
+    grams = lambda t: {tuple(w[i : i + 2]) for w in [WORD.findall(t.lower())] for i in range(len(w) - 1)}
+    ready = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    raw, off = tokens.buffers(tokens.lower(pa.array(texts)))
+    h, first, _, word = tokens.words(raw, off)
+    doc = np.repeat(np.arange(len(texts)), np.diff(word))
+    got = {}
+    for unit in licenses._units(raw, doc, first):
+        for at, name, dice in licenses._matches(ready, h, unit):
+            got[int(doc[at]), name] = max(dice, got.get((int(doc[at]), name), 0))
+    want = {}
+    for k, t in enumerate(texts):
+        for part in [*t.split("\n"), *re.split(r"\n[ \t\r]*\n", t), t]:
+            for name, other in licenses.TEMPLATES:
+                a, b = grams(part), grams(other)
+                d = 2 * len(a & b) / (len(a) + len(b)) if a else 0
+                if d >= licenses.THRESHOLD - 1e-12:
+                    want[k, name] = max(d, want.get((k, name), 0))
+    assert got == pytest.approx(want) and (0, "MIT") in got and (4, "CC-BY-NC-4.0") in got and (5, "MIT") in got
+
+
+PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href=x>home</a></nav><div class="post main-12"><p>One <b>two<p>three &amp; four<br>five</div><div class=ad>buy<!-- no --></div><footer>end</footer></body></html>'
+
+
+def test_html():
+    assert html.best(PAGE)[0] == "html>body>div.main-#.post"
+    assert html.text_of(PAGE, "html>body>div.main-#.post") == "One two\nthree & four\nfive"
+    assert html.text_of(PAGE, "html>body>section") is None
+    assert html.best("") is None and html.best("<nav>x</nav>") is None and html.best("just text")[0] == ""
+    opened = [e for e in html.events("</p><div><p>a</span><td>b</div></div><") if e[0] != "text"]
+    assert [e[0] for e in opened].count("open") == [e[0] for e in opened].count("close")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="<>/pdiv ab=\"'!-", max_size=60))
+def test_html_is_always_nested(page):
+    depth = 0
+    for what, _, _ in html.events(page):
+        depth += (what == "open") - (what == "close")
+        assert depth >= 0
+    assert depth == 0
+    html.best(page)
+
+
+def test_pii_spans_and_votes():
+    t = "Mail jo.do@mail.example.com. Call +1 (743) 555-3824 or pay 4111 1111 1111 1111 from 8.196.197.208, version 1.2.3.4, IBAN DE89 3704 0044 0532 0130 00 ssn 123-45-6789; a@b"
+    got = [(t[a:z], k) for a, z, k in pii.spans(t)]
+    assert got == [("jo.do@mail.example.com", "email"), ("+1 (743) 555-3824", "phone"), ("4111 1111 1111 1111", "card"), ("8.196.197.208", "ip"), ("1.2.3.4", "ip"), ("DE89 3704 0044 0532 0130 00", "iban"), ("123-45-6789", "id_number")]
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.votes("1.2.3.4", "ip", "version ", ",")[3] == -1
+
+
+def test_reliabilities_find_the_good_labeler():
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.6
+    vote = np.zeros((4000, 3), int)
+    for k, right in enumerate((0.95, 0.9, 0.6)):
+        vote[:, k] = np.where((rng.random(4000) < right) == truth, 1, -1)
+    patterns, count = np.unique(vote, axis=0, return_counts=True)
+    r = pii.reliabilities(np.zeros(len(patterns), int), patterns, count.astype(float))
+    p = r.posterior(np.zeros(4000, int), vote)
+    assert ((p > 0.5) == truth).mean() > 0.93
+    assert r.table[0, 0, 1, 2] > r.table[0, 2, 1, 2] and abs(r.share[0] - 0.6) < 0.05
+
+
+def test_quality_sql_has_all_rules():
+    s = quality.sql()
+    assert all(f"'{r[0]}'" in s for r in quality.RULES)
