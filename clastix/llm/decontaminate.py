@@ -21,7 +21,7 @@ from .scratch import fresh, sized, written
 MIN_WORDS = 13
 LEAST = 5
 #: Words in a shard, about (a longer text is one shard): 22 bits hold a position.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_000_000
 #: Bytes of test items that tasks get at once; a larger benchmark is searched in several passes.
 TEST_BYTES = 64 << 20
 
@@ -163,10 +163,13 @@ def _shards(ids: list[int], texts: list[str], min_words: int, least: int):
                 if size and size + len(h) > SHARD_WORDS:
                     yield from flush()
                     held, size, count = [], 0, 0
+                    T.settle()
                 held.append((h, np.diff(word), doc[i:j]))
                 size, count = size + len(h), count + j - i
         if size:
             yield from flush()
+        held.clear()
+        T.settle()
 
     return go
 

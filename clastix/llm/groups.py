@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from .tokens import settle
+
 
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """(key, its rows) for batches sorted by key; only the rows of one key are held."""
@@ -21,8 +23,9 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.
             if now is not None and int(k[i]) != now:
                 yield now, pa.Table.from_batches(held)
                 held = []
-                pa.default_memory_pool().release_unused()
+                settle()
             now = int(k[i])
             held.append(b.slice(i, j - i))
     if held:
         yield now, pa.Table.from_batches(held)
+    settle()

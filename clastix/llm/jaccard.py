@@ -110,6 +110,7 @@ def _grams(n: int, buckets: int):
                     if size:
                         yield from flush(part, turn, keys, ids)
                     keys, ids, size, count, turn = [], [], 0, 0, turn + 1
+                    T.settle()
                 key = ((text + count).astype(np.uint64) << np.uint64(48)) | (gram & T.LOW48)
                 key.sort()
                 keys.append(key[np.append(True, key[1:] != key[:-1])] if len(key) else key)
@@ -117,6 +118,8 @@ def _grams(n: int, buckets: int):
                 size, count = size + len(keys[-1]), count + j - i
         if size:
             yield from flush(part, turn, keys, ids)
+        keys.clear()
+        T.settle()
 
     return lambda batches: _emit(rows(batches), schema)
 

@@ -6,6 +6,7 @@ case: in SQL, [0-9A-Za-z_\\x{80}-\\x{10FFFF}]+ over lower(text).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,3 +122,12 @@ def unpack48(raw: bytes) -> np.ndarray:
 
 def lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
+
+
+def settle() -> None:
+    """Gives freed memory back to the system: a worker stays for the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no glibc
+        pass
