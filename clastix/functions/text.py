@@ -111,7 +111,7 @@ def distance(a: str, b: str, method: str = "jaccard", q: int = 1) -> float:
     raise ValueError(f"unknown method {method!r}")
 
 
-METHODS = ("osa", "lv", "dl", "hamming", "lcs", "qgram", "cosine", "running_cosine", "jaccard", "soundex")
+METHODS = tuple("jaccard qgram cosine running_cosine lcs lv osa dl hamming soundex".split())
 
 
 def nearest_window(text: str, pattern: str, method: str = "jaccard", q: int = 1) -> float:

@@ -196,5 +196,6 @@ def revise_ranges(
     settled = F.col("revision").isin("Revised", "Retained")
     status = F.when(~settled, "000").when(F.col("prop") == 1, "R1R").when(F.col("o") & F.col("r"), "0R0").when(F.col("o"), "00R").when(F.col("r"), "R00").otherwise("000")
     collection = got.join(flags, F.col("__a") == F.col("__k")).select(F.col("__a").alias("assemblage"), "FAD", "LAD", "revision", status.alias("status"), "prop")
-    occurrence = occ.select(*[F.col(c) for c in x.columns if c not in ("FAD", "LAD", "FAD_diff", "LAD_diff", "tax_flag")], "FAD", "LAD", "FAD_diff", "LAD_diff", "tax_flag")
+    made = "tax_flag FAD LAD FAD_diff LAD_diff".split()
+    occurrence = occ.select(*[F.col(c) for c in x.columns if c not in made], *made)
     return RevisionResult(collection, occurrence)

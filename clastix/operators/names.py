@@ -103,7 +103,7 @@ def spell_check(
     close = pairs.where(1 - jaro_similarity()(F.col("t1"), F.col("t2")) < jw).select("t1", "t2", "group")
     scored = close.withColumn("m2", window_distance(alternative, q)(F.col("t1"), F.col("t2")))
     f1, f2 = freq.select(F.col("t").alias("t1"), F.col("f").alias("freq1")), freq.select(F.col("t").alias("t2"), F.col("f").alias("freq2"))
-    return scored.join(f1, "t1").join(f2, "t2").select("t1", "t2", "group", "freq1", "freq2", "m2")
+    return scored.join(f1, "t1").join(f2, "t2").select("group", "t1", "t2", "m2", "freq1", "freq2")
 
 
 def replacements(synonyms: DataFrame, thresh: float) -> dict[str, str]:

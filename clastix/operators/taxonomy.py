@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..schema import TaxonomyResult, require, require_text
 from . import names, ranks as hierarchy
 
-ROUTINE = ("format_check", "spell_check", "discrete_ranks", "find_duplicates")
-_SYNONYMS = "level string, t1 string, t2 string, `group` string, freq1 bigint, freq2 bigint, m2 double"
+ROUTINE = tuple("format_check spell_check discrete_ranks find_duplicates".split())
+_SYNONYMS = "level string, `group` string, t1 string, t2 string, m2 double, freq1 bigint, freq2 bigint"
 
 
 def check_taxonomy(

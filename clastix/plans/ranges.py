@@ -142,4 +142,4 @@ def revise_ranges_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN tax_flag = '00R' THEN abs(nf - max_ma) END AS "FAD_diff", CASE WHEN tax_flag = 'R00' THEN abs(nl - min_ma) END AS "LAD_diff", tax_flag FROM q""")
 def revise_ranges_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intervals.revise_ranges(A.occ(spark, sf_dir), A.ref(spark, sf_dir), X, "collection_no", ORDER, do_flag=True, prop=0.5).occurrence
-    return out.select("genus", "collection_no", "l_linenumber", "max_ma", "min_ma", "FAD", "LAD", "FAD_diff", "LAD_diff", "tax_flag")
+    return out.select("genus", "collection_no", "l_linenumber", "max_ma", "min_ma", "tax_flag", "FAD", "LAD", "FAD_diff", "LAD_diff")

@@ -22,7 +22,7 @@ MODES = {
     "opinion": "occs/opinions.csv?",
     "reference": "occs/refs.csv?",
 }
-RESOLUTIONS = ("all", "family", "genus", "species", "lump_genus", "lump_subgen")
+RESOLUTIONS = tuple("all species genus family lump_subgen lump_genus".split())
 LITHOLOGIES = frozenset("siliciclastic mixed carbonate evaporite organic chemical volcanic metasedimentary metamorphic other unknown".split())
 ENVIRONMENTS = frozenset("terrestrial marine carbonate siliciclastic unknown lacustrine fluvial karst terrother marginal reef stshallow stdeep offshore slope marindet".split())
 #: A span of ages longer than this many million years is asked for in parts; what is older than OLD in one.
