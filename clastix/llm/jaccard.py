@@ -208,11 +208,22 @@ def _prefixes(t: float, buckets: int):
     return lambda batches: _emit(rows(batches), schema)
 
 
-_PAIR = "target int, kind int, id long, n long, a binary, b binary, cells binary"
+_PAIR = "target int, kind int, id long, a binary, b binary"
 
 
-def _candidates(t: float, targets: int):
-    """Prefix blocks by bucket to blocks of pairs by the cell of the shorter text, after the length and positional filters."""
+def _spread(cells: np.ndarray, ids: np.ndarray, hot: dict[int, int], targets: int) -> np.ndarray:
+    """The verifying task of each text: that of its cell; the texts of a hot cell are spread over as many as hot says."""
+    part = np.zeros(len(cells), np.uint64)
+    if hot:
+        known = np.array(sorted(hot))
+        at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
+        many = np.array([hot[c] for c in known.tolist()])[at]
+        part = np.where(known[at] == cells, ids % many, 0).astype(np.uint64)
+    return (T.mix((cells.astype(np.uint64) << np.uint64(32)) + part) % np.uint64(targets)).astype(np.int64)
+
+
+def _candidates(t: float, targets: int, hot: dict[int, int]):
+    """Prefix blocks by bucket to blocks of pairs by the verifying task of the shorter text, after the length and positional filters."""
     schema = _arrow(_PAIR)
 
     def pairs(gram, text, n, place) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -249,44 +260,44 @@ def _candidates(t: float, targets: int):
                     found, held = np.unique(np.concatenate([found, *held])), []
             found = np.unique(np.concatenate([found, *held]))
             x, y = found // max(1, len(ids)), found % max(1, len(ids))
-            target = cells[x] % targets
+            target = _spread(cells, ids, hot, targets)[x]
             order = np.argsort(target, kind="stable")
             x, y, target = x[order], y[order], target[order]
             cuts = [0, *(np.flatnonzero(target[1:] != target[:-1]) + 1).tolist(), len(target)]
             for i, j in zip(cuts, cuts[1:]):
                 if i < j:
-                    yield int(target[i]), 1, 0, 0, _bytes(ids[x[i:j]], "<i8"), _bytes(ids[y[i:j]], "<i8"), _bytes(cells[y[i:j]], "<u4")
+                    yield int(target[i]), 1, 0, _bytes(ids[x[i:j]], "<i8"), _bytes(ids[y[i:j]], "<i8")
 
     return lambda batches: _emit(rows(batches), schema)
 
 
-def _distinct(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of pairs and the cells of their second texts as one, each pair once, in order."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
-    a, b, cells = (np.concatenate(x) for x in zip(none, *blocks))
+def _distinct(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of pairs as one, each pair once, in order."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    a, b = (np.concatenate(x) for x in zip(none, *blocks))
     order = np.lexsort((b, a))
-    a, b, cells = a[order], b[order], cells[order]
+    a, b = a[order], b[order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-    return a[new], b[new], cells[new]
+    return a[new], b[new]
 
 
-def _once(targets: int):
-    """Blocks of pairs by target to kind 1: each pair once, and kind 0: texts of other cells that the target needs."""
+def _once():
+    """Blocks of pairs by target to kind 1: each pair once, and kind 0: the texts that the target needs."""
     schema = _arrow(_PAIR)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for target, p in runs(batches, "target"):
             held, size = [_distinct([])], 0
-            for x in zip(p["a"], p["b"], p["cells"]):
-                held.append(tuple(np.frombuffer(v.as_py(), kind) for v, kind in zip(x, ("<i8", "<i8", "<u4"))))
+            for x in zip(p["a"], p["b"]):
+                held.append(tuple(np.frombuffer(v.as_py(), "<i8") for v in x))
                 size += len(held[-1][0])
                 if size > PAIRS_AT_ONCE:
                     held, size = [_distinct(held)], 0
-            a, b, cells = _distinct(held)
-            for x in np.unique(b[cells % targets != target]).tolist():
-                yield target, 0, x, 0, b"", b"", b""
+            a, b = _distinct(held)
+            for x in np.unique(np.concatenate([a, b])).tolist():
+                yield target, 0, x, b"", b""
             for i in range(0, len(a), 1_000_000):
-                yield target, 1, 0, 0, _bytes(a[i : i + 1_000_000], "<i8"), _bytes(b[i : i + 1_000_000], "<i8"), b""
+                yield target, 1, 0, _bytes(a[i : i + 1_000_000], "<i8"), _bytes(b[i : i + 1_000_000], "<i8")
 
     return lambda batches: _emit(rows(batches), schema)
 
@@ -347,15 +358,14 @@ def _pairs(texts: DataFrame, chars: int, n: int, t: float) -> DataFrame:
     whole = counted.repartition(buckets, "src").sortWithinPartitions("src").mapInArrow(_prefixes(t, buckets), _PREFIX)
     prefixes = written(whole, "prefixes", "kind")
     sets = prefixes.where("kind = 0").select("key", "n", "cell", "grams")
-    targets = max(1, math.ceil(sets.count() / CELL_TEXTS))
+    sizes = sets.groupBy("cell").count().agg(F.sum("count"), F.map_from_entries(F.collect_list(F.when(F.col("count") > CELL_TEXTS, F.struct("cell", F.ceil(F.col("count") / CELL_TEXTS)))))).first()
+    targets, hot = max(1, math.ceil((sizes[0] or 0) / CELL_TEXTS)), {int(k): int(v) for k, v in (sizes[1] or {}).items()}
     postings = prefixes.where("kind = 1").drop("kind", "n", "cell")
-    found = postings.repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key").mapInArrow(_candidates(t, targets), _PAIR)
-    once = written(found.repartitionById(targets, "target").sortWithinPartitions("target").mapInArrow(_once(targets), _PAIR), "pairs", "kind")
-    home = sets.select((F.col("cell") % targets).cast("int").alias("target"), F.lit(0).alias("kind"), F.col("key").alias("id"), "n", F.col("grams").alias("a"))
-    away = once.where("kind = 0").select("target", F.col("id").alias("key")).join(sets, "key").select("target", F.lit(0).alias("kind"), F.col("key").alias("id"), "n", F.col("grams").alias("a"))
-    both = once.where("kind = 1").select("target", F.lit(1).alias("kind"), "id", "n", "a", "b")
-    empty = F.lit(None).cast("binary").alias("b")
-    joined = home.select("*", empty).unionByName(away.select("*", empty)).unionByName(both)
+    found = postings.repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key").mapInArrow(_candidates(t, targets, hot), _PAIR)
+    once = written(found.repartitionById(targets, "target").sortWithinPartitions("target").mapInArrow(_once(), _PAIR), "pairs", "kind")
+    needed = once.where("kind = 0").select("target", F.col("id").alias("key")).join(sets, "key")
+    texts_ = needed.select("target", F.lit(0).alias("kind"), F.col("key").alias("id"), "n", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
+    joined = texts_.unionByName(once.where("kind = 1").select("target", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), "a", "b"))
     out = joined.repartitionById(targets, "target").sortWithinPartitions("target", "kind").mapInArrow(_verify(t), _FOUND)
     pairs = written(out, "similar")
     drop(prefixes, once)

@@ -85,9 +85,15 @@ def test_best_fit(sizes):
 
 
 def test_distinct_pairs():
-    a = (np.array([2, 1, 1]), np.array([3, 2, 2]), np.array([7, 8, 8], np.uint32))
-    assert [x.tolist() for x in jaccard._distinct([a, a])] == [[1, 2], [2, 3], [8, 7]]
-    assert [len(x) for x in jaccard._distinct([])] == [0, 0, 0]
+    a = (np.array([2, 1, 1]), np.array([3, 2, 2]))
+    assert [x.tolist() for x in jaccard._distinct([a, a])] == [[1, 2], [2, 3]]
+    assert [len(x) for x in jaccard._distinct([])] == [0, 0]
+
+
+def test_hot_cells_are_spread():
+    cells, ids = np.array([5, 5, 5, 5, 9, 9], np.uint32), np.arange(6)
+    assert len(set(jaccard._spread(cells, ids, {}, 1000).tolist())) == 2
+    assert len(set(jaccard._spread(cells, ids, {5: 4}, 1000).tolist())) == 5
 
 
 def test_forest_and_secrets():
