@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .scratch import fresh, sized, written
+from .scratch import bounded, fresh, sized, written
 
 #: A match of so many words condemns a text; test items of fewer words are matched whole, from LEAST words on.
 MIN_WORDS = 13
@@ -185,6 +185,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     Other columns are not read. Training texts are never cut; the tests go to the tasks in parts of
     TEST_BYTES, each of which is one pass over docs.
     """
+    docs = bounded(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     tests = benchmark.select(F.col(test_id).cast("long").alias("id"), F.col(test_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import sized, written
+from .scratch import bounded, sized, written
 
 CONTAINERS = frozenset("article section main div td body blockquote dd".split())
 NOISE = frozenset("script style noscript template head nav footer header aside form button select iframe svg figure menu".split())
@@ -160,6 +160,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     without a text outside navigation have no row. Ids may be null or repeat: rows are taken each, and
     each votes. An empty table gives no rows; other columns are not read; pages are read whole.
     """
+    pages = bounded(pages)
     host = F.nullif(F.lower(F.regexp_extract(F.col(url_col), HOST, 1)), F.lit(""))
     raw = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("page_id"), host.alias("host"), F.col(html_col).alias("html"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as T
 from .groups import runs
-from .scratch import drop, fresh, row_key, sized, written
+from .scratch import bounded, drop, fresh, row_key, sized, written
 
 N = 5
 THRESHOLD = 0.4
@@ -380,6 +380,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     several texts, each takes part, and a pair may be found once for each. Other columns are not read.
     An empty table gives no pairs. Texts of any length are read whole.
     """
+    docs = bounded(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(T.WORD_SQL))
     hashed = lambda df: df.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
     rows = hashed(texts).select("id", "h1", "h2")

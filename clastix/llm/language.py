@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as St
 
 from . import tokens as T
-from .scratch import row_key
+from .scratch import bounded, row_key
 
 BUCKET_BITS = 16
 ORDERS = (1, 2, 3)
@@ -79,6 +79,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
 
     Of more than sample labelled rows about sample are used, of the least hashes of id and label.
     """
+    docs = bounded(docs)
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label_col).cast("string")).count().collect()}
     languages = tuple(sorted(sizes))
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     no language better than the uniform model. Ties go to the language that comes first by name. A null
     id stays null; repeated rows get a row each; an empty table gives no rows. Texts are read whole.
     """
+    docs = bounded(docs)
     sent = _sent(docs, model)
     names = [*model.languages, UNKNOWN]
 
@@ -169,6 +171,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs that identify() keeps, all their columns."""
+    docs = bounded(docs)
     sent = _sent(docs, model)
     at = docs.columns.index(text_col)
 

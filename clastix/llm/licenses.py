@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
+from .scratch import bounded
 
 THRESHOLD = 0.8
 
@@ -106,6 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     repeated rows are reported each; an empty table gives no rows. Of templates of one licence the best
     counts. Texts are read whole.
     """
+    docs = bounded(docs)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

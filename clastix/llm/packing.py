@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import bounded, written
 
 CAPACITY = 2048
 #: A bin filled to this share is done.
@@ -91,6 +91,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     without a piece, are in none. Repeated rows are packed each. bin is unique, without further meaning;
     ties go to the lower id. An empty table gives no rows. Other columns are not read.
     """
+    docs = bounded(docs)
     sizes = docs.select(F.col(id_col).cast("long").alias("id"), F.regexp_count(F.col(text_col), F.lit(PIECE)).alias("n")).where("id IS NOT NULL AND n > 0")
 
     def texts(b: pa.RecordBatch) -> Iterator[Item]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_dense, sigmoid
-from .scratch import row_key, written
+from .scratch import bounded, row_key, written
 
 KINDS = ("email", "phone", "ip", "card", "iban", "id_number")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "edges")
@@ -196,6 +196,7 @@ _SPANS = "doc_id {}, start int, n_chars int, kind int, vote array<int>, trait ar
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, start, n_chars, kind, vote, trait) for all spans that may be personal data."""
+    docs = bounded(docs)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,6 +49,15 @@ def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS
     return F.broadcast(small) if n <= limit else small
 
 
+def bounded(df: DataFrame, megabytes: int = 8) -> DataFrame:
+    """df, its session set to hand Arrow batches of so many megabytes at most to Python: texts are long, and a batch is in memory on both sides."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
+    have = df.sparkSession.conf.get(name)
+    if not re.fullmatch(r"\d+b?", have) or int(have.rstrip("b")) > most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def row_key(*columns: Column | str) -> Column:
     """A 64-bit key of these columns; a null differs from every value."""
     return F.xxhash64(*columns)

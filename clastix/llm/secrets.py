@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as St
 
 from .forest import Forest, grow
+from .scratch import bounded
 
 THRESHOLD = 0.5
 MARK = "<secret>"
@@ -183,6 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     A null or empty text has no findings; a null path is no path; a null id stays null. Repeated rows are
     each reported, several findings of a text in order. An empty table gives no rows. Texts are read whole.
     """
+    docs = bounded(docs)
     sent = docs.sparkSession.sparkContext.broadcast(train() if forest is None else forest)
     kind = docs.schema[id_col].dataType.simpleString()
     columns = [id_col, text_col, *([path_col] if path_col else [])]
@@ -200,6 +202,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
 def redacted(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars", forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with each secret in the texts replaced by <secret>, and length_col, where there is one, set to the new length of those texts."""
+    docs = bounded(docs)
     sent = docs.sparkSession.sparkContext.broadcast(train() if forest is None else forest)
     names = docs.columns
     at, path = names.index(text_col), names.index(path_col) if path_col in names else None

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as T
 from .linear import Rows, fit_sparse, sigmoid
-from .scratch import row_key
+from .scratch import bounded, row_key
 
 #: (category, condition over the labels), in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_prose", "toxic = 1 AND quality = 1"))
@@ -111,6 +111,7 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", categories: tuple = CATEGORIES, sample: int = SAMPLE) -> Chain:
     """The chain of these categories. Labelled rows with a null id or a null condition don't count; of several labels of a document the positive one counts."""
+    docs = bounded(docs)
     marks = labels.select(F.col(label_id).cast("long").alias("id"), *[F.expr(rule).cast("int").alias(f"y{k}") for k, (_, rule) in enumerate(categories)]).dropna()
     share = min(1.0, sample / max(1, marks.count()))
     marks = marks.where(F.pmod(row_key("id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
@@ -160,6 +161,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     A null text counts as an empty one; a text without a word is in no category. Null ids stay null, and
     repeated rows get a row each; an empty table gives no rows. Texts are read whole.
     """
+    docs = bounded(docs)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = ["doc_id", *[f"p_{n}" for n in chain.names], *[f"is_{n}" for n in chain.names]]
 
