@@ -100,9 +100,13 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     out += [(*m.span(), "iban") for m in _IBAN.finditer(text) if any(c.isdigit() for c in m[0][4:])]
     for m in _NUMBER.finditer(text):
         a, b = m.span()
+        p = _STRICT["phone"].match(text, a, b) if m[0][0] in "+(" else None
+        if p and p.end() < b and text[p.end()] in " \t":  # a number that another one follows
+            out.append((a, p.end(), "phone"))
+            a = p.end() + 1
         parts = [(a, b)]
-        if "\n" in m[0] or _number_kind(m[0]) is None:
-            parts = [(a + p.start(), a + p.end()) for p in re.finditer(r"\+?\(?\d[\d().\-]{5,28}\d", m[0])]
+        if "\n" in m[0] or _number_kind(text[a:b]) is None:
+            parts = [(a + p.start(), a + p.end()) for p in re.finditer(r"\+?\(?\d[\d().\-]{5,28}\d", text[a:b])]
         out += [(x, y, k) for x, y in parts if (k := _number_kind(text[x:y]))]
     out.sort(key=lambda x: (x[0], -x[1], KINDS.index(x[2])))
     kept: list[tuple[int, int, str]] = []

@@ -200,6 +200,7 @@ def test_pii_spans_and_votes():
     t = "Mail jo.do@mail.example.com. Call +1 (743) 555-3824 or pay 4111 1111 1111 1111 from 8.196.197.208, version 1.2.3.4, IBAN DE89 3704 0044 0532 0130 00 ssn 123-45-6789; a@b"
     got = [(t[a:z], k) for a, z, k in pii.spans(t)]
     assert got == [("jo.do@mail.example.com", "email"), ("+1 (743) 555-3824", "phone"), ("4111 1111 1111 1111", "card"), ("8.196.197.208", "ip"), ("1.2.3.4", "ip"), ("DE89 3704 0044 0532 0130 00", "iban"), ("123-45-6789", "id_number")]
+    assert [t[2] for t in pii.spans("un. +1 (843) 555-7672 170.")] == ["phone"] and pii.spans("+1 (843) 555-7672 170.")[0][:2] == (0, 17)
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.votes("1.2.3.4", "ip", "version ", ",")[3] == -1
 
