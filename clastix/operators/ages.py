@@ -12,7 +12,6 @@ from ..schema import assert_ranges, require, require_number, require_text
 MODES = ("max", "min", "bounds")
 #: Added to starts before endpoints are ordered, so that a start comes before an end of the same age.
 SHIFT = 0.1
-LOOKUP_ROWS = 1_000_000
 
 
 def _ranges(df: DataFrame, taxon: str, srt: str, end: str, mode: str) -> DataFrame:
@@ -77,7 +76,7 @@ def chrono_scale(df: DataFrame, tscale: DataFrame, srt: str = "early_interval",
     require_text(df, srt, end)
     if validate:
         check_scale(tscale)
-    a, b = F.broadcast(_lookup(tscale, "__srt", "__fad", "FAD")), F.broadcast(_lookup(tscale, "__end", "__lad", "LAD"))
+    a, b = _lookup(tscale, "__srt", "__fad", "FAD"), _lookup(tscale, "__end", "__lad", "LAD")
     out = df.join(a, F.col(srt) == F.col("__srt"), "left").join(b, F.coalesce(F.col(end), F.col(srt)) == F.col("__end"), "left")
     fad, lad = F.col("__fad"), F.col("__lad")
     if max_ma is not None:
@@ -89,7 +88,7 @@ def chrono_scale(df: DataFrame, tscale: DataFrame, srt: str = "early_interval",
 def unmatched_intervals(df: DataFrame, tscale: DataFrame, srt: str = "early_interval", end: str = "late_interval") -> DataFrame:
     """(interval): the names in either column that the time scale lacks."""
     names = df.select(F.explode(F.array(srt, end)).alias("interval")).where(F.col("interval").isNotNull()).distinct()
-    return names.join(F.broadcast(tscale.select(F.col("Interval").alias("interval"))), "interval", "left_anti")
+    return names.join(tscale.select(F.col("Interval").alias("interval")), "interval", "left_anti")
 
 
 #: Phyla that are a kingdom's own, after those of the lookup, in the order in which they override it.
@@ -119,7 +118,7 @@ def add_kingdoms(df: DataFrame, kingdoms: dict[str, list[str]] | DataFrame, phyl
         level = F.coalesce(F.array_position(F.array(*map(F.lit, reversed(ORDER))), F.col("kingdom")), F.lit(0))
         one = kingdoms.groupBy(F.col("phylum").alias("__p")).agg(F.max_by("kingdom", level).alias("__k"))
         own = F.coalesce(*[F.when(F.col(phylum) == p, F.lit(k)) for p, k in reversed(OWN)], F.col("__k"))
-        out = df.join(F.broadcast(one), F.col(phylum) == F.col("__p"), "left").withColumn("kingdom", own).drop("__p", "__k")
+        out = df.join(one, F.col(phylum) == F.col("__p"), "left").withColumn("kingdom", own).drop("__p", "__k")
     if not insert_left:
         return out
     at = df.columns.index(phylum)

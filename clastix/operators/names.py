@@ -122,10 +122,10 @@ def replacements(synonyms: DataFrame, thresh: float) -> dict[str, str]:
 
 
 def replace_names(df: DataFrame, column: str, to: dict[str, str]) -> DataFrame:
-    """df with the names of a column replaced, by a broadcast join."""
+    """df with the names of a column replaced, by a join."""
     if not to:
         return df
     table = df.sparkSession.createDataFrame(list(to.items()), "__from string, __to string")
-    joined = df.join(F.broadcast(table), F.col(column) == F.col("__from"), "left")
+    joined = df.join(table, F.col(column) == F.col("__from"), "left")
     return joined.withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
 

@@ -101,7 +101,7 @@ def breaks(peaks: DataFrame, thresh: float | DataFrame, use_sd: bool = True) ->
     p = p.withColumns({"last": F.lag("t").over(order), "cut": F.lag("trough").over(order)})
     if isinstance(thresh, DataFrame):
         taxon, value = thresh.columns[:2]
-        p = p.join(F.broadcast(thresh.select(F.col(taxon).alias("taxon"), F.col(value).cast("double").alias("thresh"))), "taxon")
+        p = p.join(thresh.select(F.col(taxon).alias("taxon"), F.col(value).cast("double").alias("thresh")), "taxon")
     else:
         if thresh <= 0:
             raise ValueError("thresh is above 0")
