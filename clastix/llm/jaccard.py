@@ -355,8 +355,8 @@ def _pairs(texts: DataFrame, chars: int, n: int, t: float) -> DataFrame:
     buckets = max(1, math.ceil(chars / 6 / BLOCK_GRAMS))
     blocks = texts.mapInArrow(_grams(n, buckets), _BLOCK).withColumn("to", F.pmod("bucket", F.lit(buckets)))
     counted = blocks.repartitionById(buckets, "to").drop("to").sortWithinPartitions("bucket").mapInArrow(_count, _BLOCK)
-    whole = counted.repartition(buckets, "src").sortWithinPartitions("src").mapInArrow(_prefixes(t, buckets), _PREFIX)
-    prefixes = written(whole, "prefixes", "kind")
+    split = counted.repartition(buckets, "src").sortWithinPartitions("src").mapInArrow(_prefixes(t, buckets), _PREFIX)
+    prefixes = written(split, "prefixes", "kind")
     sets = prefixes.where("kind = 0").select("key", "n", "cell", "grams")
     sizes = sets.groupBy("cell").count().agg(F.sum("count"), F.map_from_entries(F.collect_list(F.when(F.col("count") > CELL_TEXTS, F.struct("cell", F.ceil(F.col("count") / CELL_TEXTS)))))).first()
     targets, hot = max(1, math.ceil((sizes[0] or 0) / CELL_TEXTS)), {int(k): int(v) for k, v in (sizes[1] or {}).items()}
@@ -364,8 +364,8 @@ def _pairs(texts: DataFrame, chars: int, n: int, t: float) -> DataFrame:
     found = postings.repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key").mapInArrow(_candidates(t, targets, hot), _PAIR)
     once = written(found.repartitionById(targets, "target").sortWithinPartitions("target").mapInArrow(_once(), _PAIR), "pairs", "kind")
     needed = once.where("kind = 0").select("target", F.col("id").alias("key")).join(sets, "key")
-    texts_ = needed.select("target", F.lit(0).alias("kind"), F.col("key").alias("id"), "n", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
-    joined = texts_.unionByName(once.where("kind = 1").select("target", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), "a", "b"))
+    whole = needed.select("target", F.lit(0).alias("kind"), F.col("key").alias("id"), "n", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
+    joined = whole.unionByName(once.where("kind = 1").select("target", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), "a", "b"))
     out = joined.repartitionById(targets, "target").sortWithinPartitions("target", "kind").mapInArrow(_verify(t), _FOUND)
     pairs = written(out, "similar")
     drop(prefixes, once)
@@ -377,15 +377,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     A row with a null id or text, and a text without a word, is in no pair. A text of fewer than n words
     has one gram, of all its words. Rows that repeat an id and text are one text; where an id has
-    several texts, each takes part, and a pair may be found once for each. Other columns are not read.
+    several texts, the one of the least hash stands for it. Other columns are not read.
     An empty table gives no pairs. Texts of any length are read whole.
     """
     docs = bounded(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(T.WORD_SQL))
     hashed = lambda df: df.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    rows = hashed(texts).select("id", "h1", "h2")
-    groups = written(rows.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1), "copies")
-    extra = groups.select(F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("id"), "h1", "h2").select(row_key("id", "h1", "h2").alias("k"))
+    by_id = hashed(texts).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("v"))
+    groups = written(by_id.select("id", F.col("v")[0].alias("h")).groupBy("h.h1", "h.h2").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1), "copies")
+    copies = groups.select(F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("id"), "h1", "h2")
+    others = by_id.where(F.size("v") > 1).select("id", F.inline(F.slice("v", F.lit(2), F.size("v"))))
+    extra = written(copies.unionByName(others).select(row_key("id", "h1", "h2").alias("k")), "extra")
     apart = hashed(texts).withColumn("k", row_key("id", "h1", "h2")).join(sized(extra), "k", "left_anti").select("id", "text")
     return Similar(groups.select(F.col("ids")[0].alias("id"), "ids"), _pairs(apart, texts.agg(F.sum(F.length("text"))).first()[0] or 0, n, threshold))
 

@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: Labelled documents that a model is fitted on, at most, about; they are those of the least hash.
 SAMPLE = 12_000
-#: Characters of a sampled document that are counted, all. A text is rejected when a uniform model over the buckets explains it better than every language.
+#: The language of a text that is rejected: a uniform model over the buckets explains it better than every language.
 UNKNOWN = "und"
 
 

@@ -108,6 +108,13 @@ def test_jaccard_brute_force(spark, monkeypatch, threshold):
     assert sorted(r.id for r in jaccard.losers(found).collect()) == sorted(k for k, v in part.items() if k != v)
 
 
+def test_one_text_stands_for_an_id(spark):
+    a, b = text(1, 30), text(2, 30)
+    table = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, a + " x"), (5, b + " x")], "doc_id long, text string")
+    got = {(r.doc_a, r.doc_b) for r in jaccard.all_pairs(jaccard.join(table)).collect()}
+    assert got in ({(1, 2), (1, 4), (2, 4), (3, 5)}, {(1, 3), (1, 5), (3, 5), (2, 4)})
+
+
 def test_chain_of_similar_texts_is_one_group(spark):
     pairs = spark.createDataFrame([(k, k + 1, 1, 1, 1, 1.0) for k in range(1, 40)] + [(100, 101, 1, 1, 1, 1.0)], jaccard._FOUND)
     copies = spark.createDataFrame([(40, [40, 41, 42])], "id long, ids array<long>")
