@@ -72,6 +72,9 @@ class Templates:
         raw, off = T.buffers(T.lower(pa.array(texts)))
         h, _, _, word = T.words(raw, off)
         sets = [np.unique(_bigrams(h[a:b], np.zeros(b - a, np.int64))[0]) for a, b in zip(word, word[1:])]
+        # a run of words has at most (2 - t) / t as many bigrams as the template, and t / (2 - t) |B| or more in common with it
+        self.longest = np.floor((2 - threshold) / threshold * (np.diff(word) - 1) + 1e-9).astype(np.int64)
+        self.need = np.ceil([threshold / (2 - threshold) * len(s) - 1e-9 for s in sets]).astype(np.int64)
         self.names, self.t = names, threshold
         self.sizes = np.array([len(s) for s in sets])
         self.known = np.unique(np.concatenate(sets))
@@ -101,7 +104,8 @@ def _units(part: np.ndarray, doc: np.ndarray, first: np.ndarray) -> list[np.ndar
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: tuple = TEMPLATES) -> DataFrame:
     """(doc_id, license, dice): for each text the licences that a part of it is like, with the best coefficient.
 
-    The parts are the lines of the text, its paragraphs and the text itself, in lower case without signs.
+    The parts are the lines of the text, its paragraphs, the text itself, and for each template every run of
+    words of at most (2 - threshold) / threshold times its length; all in lower case without signs.
     The coefficient is that of the sets of word bigrams: 2 |A & B| / (|A| + |B|). A template is compared
     only if the sizes allow the threshold. Null or empty texts have no licence; null ids stay null;
     repeated rows are reported each; an empty table gives no rows. Of templates of one licence the best
@@ -123,6 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                     for at, name, dice in _matches(ready, h, unit):
                         key = (int(doc[at]), name)
                         rows[key] = max(dice, rows.get(key, 0.0))
+                _runs(ready, h, doc, rows)
             out = sorted(rows.items())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k[0] for k, _ in out], pa.int64())), pa.array([k[1] for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.float64())], names=["doc_id", "license", "dice"])
 
@@ -151,8 +156,38 @@ def _matches(ready: Templates, h: np.ndarray, unit: np.ndarray) -> Iterator[tupl
             yield int(np.searchsorted(unit, u)), ready.names[k], float(dice[k])
 
 
+def _runs(ready: Templates, h: np.ndarray, doc: np.ndarray, rows: dict[tuple[int, str], float]) -> None:
+    """Raises the coefficients in rows, by text and licence, to those of the best runs of words of each text."""
+    gram, of = _bigrams(h, doc)
+    if not len(gram):
+        return
+    at = np.minimum(np.searchsorted(ready.known, gram), len(ready.known) - 1)
+    hit = np.flatnonzero(ready.known[at] == gram)
+    if not len(hit):
+        return
+    for k, name in enumerate(ready.names):
+        # the best run begins with a bigram of the template
+        start = hit[ready.has[k, at[hit]]]
+        end = np.minimum(start + ready.longest[k], np.searchsorted(of, of[start], "right"))
+        count = np.searchsorted(start, end) - np.arange(len(start))
+        able = np.flatnonzero(count >= ready.need[k])
+        count = np.minimum(count[able], ready.sizes[k])
+        most = 2 * count / (count + ready.sizes[k])
+        for j in np.argsort(-most, kind="stable").tolist():
+            a, z = int(start[able[j]]), int(end[able[j]])
+            key = (int(of[a]), name)
+            if most[j] <= rows.get(key, 0.0):
+                continue
+            new = np.zeros(z - a, bool)
+            new[np.unique(gram[a:z], return_index=True)[1]] = True
+            mine = (ready.known[at[a:z]] == gram[a:z]) & ready.has[k, at[a:z]]
+            dice = float((2 * np.cumsum(new & mine) / (np.cumsum(new) + ready.sizes[k])).max())
+            if dice >= ready.t - 1e-12:
+                rows[key] = max(dice, rows.get(key, 0.0))
+
+
 def sql(threshold: float = THRESHOLD, templates: tuple = TEMPLATES) -> str:
-    """scan() over documents in DuckDB's SQL, rounded to 6 places."""
+    """scan() over documents in DuckDB's SQL, rounded to 6 places, but for runs of words that are no line, paragraph or text."""
     rows = ", ".join("({}, '{}', '{}')".format(k, n, x.replace("'", "''")) for k, (n, x) in enumerate(templates))
     words = r"regexp_extract_all(lower({}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"

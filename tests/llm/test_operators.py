@@ -196,6 +196,21 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).isEmpty()
 
 
+def test_licenses_inside_long_texts(spark):
+    grant, mit, end = licenses._MIT.replace("following conditions: ", "following conditions:@").replace("of the Software. THE", "of the Software.@THE").split("@")
+    gpl = licenses._GPL.replace("version. This", "version.@This").split("@")
+    lines = lambda t: re.sub(r"(.{50}\S*) ", r"\1\n# ", t)
+    long = text(98, 3000)
+    data = [
+        (1, f"{long}\n\n{grant}\n\n{mit}\n\n{end}\n\n{long}", "MIT"),
+        (2, f"# {lines(gpl[0])}\n#\n# {lines(gpl[1])}\n\n{long}", "GPL-3.0"),
+        (3, f"{long} Released under the MIT License. See the file for details. {long}", "MIT"),
+        (4, f"{long}\n{long}", None),
+    ]
+    got = {(r.doc_id, r.license, r.dice) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string, k string")).collect()}
+    assert got == {(i, k, 1.0) for i, _, k in data if k}
+
+
 def test_quality(spark, docs, empty):
     got = {r.doc_id: r for r in quality.assess(docs).collect()}
     assert got[4].broken.startswith("too_short") and got[5].broken == got[6].broken == got[4].broken

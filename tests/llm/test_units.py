@@ -173,6 +173,41 @@ def test_license_matches_brute_force():
     assert got == pytest.approx(want) and (0, "MIT") in got and (4, "CC-BY-NC-4.0") in got and (5, "MIT") in got
 
 
+def _runs_of(texts):
+    ready = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    raw, off = tokens.buffers(tokens.lower(pa.array(texts)))
+    h, _, _, word = tokens.words(raw, off)
+    got = {}
+    licenses._runs(ready, h, np.repeat(np.arange(len(texts)), np.diff(word)), got)
+    return got
+
+
+def test_license_runs_match_brute_force():
+    mpl = licenses._MPL.split()
+    texts = [
+        "before it. Released under the MIT License. See the file for details",
+        "words\n\n" + " ".join(mpl[:9]) + "\n\nan odd one " + " ".join(mpl[9:]) + "\nand after",
+        " ".join(mpl[:6] + mpl[9:]),
+        "This work is licensed under the GNU General Public\nLicense, in version 3, here",
+        "All rights. All rights reserved all rights reserved. reserved",
+        "rights reserved under the license",
+        "",
+    ]
+    pairs = lambda w: [tuple(w[i : i + 2]) for i in range(len(w) - 1)]
+    want = {}
+    for name, t in licenses.TEMPLATES:
+        b = pairs(WORD.findall(t.lower()))
+        for k, x in enumerate(texts):
+            g = pairs(WORD.findall(x.lower()))
+            for i in range(len(g)):
+                for j in range(i + 1, min(len(g), i + int(1.5 * len(b))) + 1):
+                    a = set(g[i:j])
+                    d = 2 * len(a & set(b)) / (len(a) + len(set(b)))
+                    if d >= licenses.THRESHOLD - 1e-12:
+                        want[k, name] = max(d, want.get((k, name), 0))
+    assert _runs_of(texts) == pytest.approx(want) and {(0, "MIT"), (1, "MPL-2.0"), (2, "MPL-2.0"), (3, "GPL-3.0"), (4, "proprietary")} <= set(want)
+
+
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href=x>home</a></nav><div class="post main-12"><p>One <b>two<p>three &amp; four<br>five</div><div class=ad>buy<!-- no --></div><footer>end</footer></body></html>'
 
 
