@@ -211,6 +211,22 @@ def test_licenses_inside_long_texts(spark):
     assert got == {(i, k, 1.0) for i, _, k in data if k}
 
 
+def test_licenses_as_published(spark):
+    """Each whole grant or header with its blank lines, under a copyright line: its own template alone must find all of it."""
+    grants = [(k, t) for k, t in licenses.TEMPLATES if len(t) > 200]
+    bsd = [t for k, t in grants if k.startswith("BSD") and "AS IS" in t]
+    assert len(bsd) == 2
+    broken = [(k, re.sub(r" (?=\d\. |THIS SOFTWARE|THE SOFTWARE|IN NO EVENT|The above|This program is distributed|Unless|If a copy)", "\n\n", t)) for k, t in grants]
+    data = [(i, f"Copyright (c) 2020, A. Holder\n\n{t}\n") for i, (_, t) in enumerate(broken)]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[i, k] == 1.0 for i, (k, _) in enumerate(grants))
+    whole = lambda t: {tuple(w[i : i + 2]) for w in [WORD.findall(t.lower())] for i in range(len(w) - 1)}
+    for name, start in (("BSD-2-Clause", licenses._BSD2), ("BSD-3-Clause", licenses._BSD3)):
+        text_ = whole(f"Copyright (c) 2020, A. Holder\nAll rights reserved.\n\n{start}\n\n" + licenses._BSD_END)
+        best = max(2 * len(text_ & whole(t)) / (len(text_) + len(whole(t))) for k, t in licenses.TEMPLATES if k == name)
+        assert best > 0.9
+
+
 def test_quality(spark, docs, empty):
     got = {r.doc_id: r for r in quality.assess(docs).collect()}
     assert got[4].broken.startswith("too_short") and got[5].broken == got[6].broken == got[4].broken
