@@ -9,6 +9,7 @@ which sees the spans themselves, and decides.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,13 @@ THRESHOLD = 0.5
 SAMPLE = 20_000
 NEAR = 40
 
-_HINT = r"@|[0-9][0-9 ().:\-]{5}"
-_NUMBER = re.compile(r"(?<![\w.])\+?\(?\d[\d \t().\-:]{5,28}\d(?![\w])")
+_HINT = r"@|[0-9][0-9 \t().:\-]{5}"
+#: Numbers and blanks, signs between them, one after the other; where a number may start in it; one without blanks.
+_RUN = re.compile(r"(?<![\w.])\+?\(?\d[\d \t().\-:]*\d(?![\w])")
+_START = re.compile(r"(?<![\w.\-(+])\(?\d")
+_PIECE = re.compile(r"\+?\(?\d[\d().\-]{5,28}\d(?![\w().\-]*\d)")
+#: A longer number is none.
+_LONGEST = 64
 _IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~.\-\x80-\U0010ffff]{1,64}$"), re.compile(r"[A-Za-z0-9\-.\x80-\U0010ffff]{1,255}")
@@ -41,6 +47,10 @@ _STRICT = {
     "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]{11,38}"),
     "id_number": re.compile(r"\d{3}-\d{2}-\d{4}"),
 }
+_END = r"(?![\w]|[.\-]\d)"
+_CARD, _ID = (re.compile(f"(?:{_STRICT[k].pattern}){_END}") for k in ("card", "id_number"))
+_PHONE = re.compile(rf"(?:(?:1[ .\-])?{_STRICT['phone'].pattern}|(?:\+\d{{1,3}}[ .\-]?)?\(?\d{{1,2}}\)?(?:[ .\-]\d{{2}}){{4}}){_END}")
+_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6")
 #: Domains' ends, callings codes, issuers' digits and countries, as gazetteers.
 _ENDS = frozenset("com org net edu gov mil int info biz io co app dev me eu de fr es it nl be at ch uk us ca au jp cn in br ru pl se no dk fi pt ie cz gr mx ar cl za kr tr ua hu ro".split())
 _CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "61", "64", "81", "82", "86", "90", "91", "351", "353", "358", "380", "420")
@@ -83,6 +93,40 @@ def _number_kind(s: str) -> str | None:
     return None
 
 
+def _proposals(text: str, a: int, z: int) -> Iterator[tuple[float, int, str]]:
+    """(weight, end, kind) of the numbers that may start at a: their digits, half of them if they have no kind's shape."""
+    if _IP.match(text, a):
+        return
+    whole = [(m.end(), k) for p, k in ((_ID, "id_number"), (_CARD, "card"), (_PHONE, "phone")) if (m := p.match(text, a, z))]
+    ends = {m.end()} if (m := _PIECE.match(text, a, z)) else set()
+    broad = [(b, k) for b in sorted(ends | ({z} if z - a <= _LONGEST else set())) if (k := _number_kind(text[a:b])) and (b, k) not in whole]
+    for n, (b, k) in enumerate(whole + broad):
+        digits = re.sub(r"\D", "", text[a:b])
+        if k == "card" and n < len(whole) and luhn(digits) and _ISSUER.match(digits):
+            yield len(digits) + 2.0, b, k
+        else:
+            yield len(digits) * (1.0 if n < len(whole) else 0.5) + (n < len(whole) and k != "phone") * 0.5, b, k
+
+
+def _numbers(text: str, a: int, z: int) -> list[tuple[int, int, str]]:
+    """The numbers of a run, as the proposals without overlap that weigh most."""
+    start = [a, *(m.start() for m in _START.finditer(text, a + 1, z))]
+    best: list[tuple[float, int, str | None]] = [(0.0, 0, None)] * (len(start) + 1)  # weight from here on, end, kind
+    for i in range(len(start) - 1, -1, -1):
+        best[i] = (best[i + 1][0], 0, None)
+        for w, b, k in _proposals(text, start[i], z):
+            w += best[bisect_left(start, b)][0]
+            if w > best[i][0]:
+                best[i] = (w, b, k)
+    out, i = [], 0
+    while i < len(start):
+        _, b, k = best[i]
+        if k:
+            out.append((start[i], b, k))
+        i = bisect_left(start, b) if k else i + 1
+    return out
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all that may be personal data, in order, without overlap."""
     out: list[tuple[int, int, str]] = []
@@ -98,16 +142,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", at + 1)
     out += [(*m.span(), "ip") for m in _IP.finditer(text)]
     out += [(*m.span(), "iban") for m in _IBAN.finditer(text) if any(c.isdigit() for c in m[0][4:])]
-    for m in _NUMBER.finditer(text):
-        a, b = m.span()
-        p = _STRICT["phone"].match(text, a, b) if m[0][0] in "+(" else None
-        if p and p.end() < b and text[p.end()] in " \t":  # a number that another one follows
-            out.append((a, p.end(), "phone"))
-            a = p.end() + 1
-        parts = [(a, b)]
-        if "\n" in m[0] or _number_kind(text[a:b]) is None:
-            parts = [(a + p.start(), a + p.end()) for p in re.finditer(r"\+?\(?\d[\d().\-]{5,28}\d", text[a:b])]
-        out += [(x, y, k) for x, y in parts if (k := _number_kind(text[x:y]))]
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() >= 7:
+            out += _numbers(text, *m.span())
     out.sort(key=lambda x: (x[0], -x[1], KINDS.index(x[2])))
     kept: list[tuple[int, int, str]] = []
     for s in out:
@@ -123,7 +160,7 @@ def votes(s: str, kind: str, before: str, after: str) -> list[int]:
     checksum = gazetteer = 0
     if kind == "card":
         checksum = 1 if luhn(digits) else 0
-        gazetteer = 1 if re.match(r"4|5[1-5]|2[2-7]|3[47]|6", digits) and len(digits) in (15, 16) else 0
+        gazetteer = 1 if _ISSUER.match(digits) and len(digits) in (15, 16) else 0
     elif kind == "iban":
         checksum = 1 if _iban(s) else -1
         gazetteer = 1 if s[:2] in _LANDS else -1

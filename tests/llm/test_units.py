@@ -240,6 +240,37 @@ def test_pii_spans_and_votes():
     assert pii.votes("1.2.3.4", "ip", "version ", ",")[3] == -1
 
 
+def test_pii_lists_of_numbers():
+    rng = np.random.default_rng(3)
+    some = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        d = "4" + some(14)
+        d += next(c for c in "0123456789" if pii.luhn(d + c))
+        return "card", " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    make = [card, lambda: ("phone", f"{200 + rng.integers(0, 700)} {200 + rng.integers(0, 700)} {some(4)}"), lambda: ("phone", f"{200 + rng.integers(0, 700)}-555-{some(4)}"), lambda: ("id_number", f"{some(3)}-{some(2)}-{some(4)}"), lambda: ("phone", f"+1 ({some(3)}) 555-{some(4)}")]
+    for f in make:
+        want = [f() for _ in range(60)]
+        t = "see " + " ".join(x for _, x in want) + " end"
+        assert [(k, t[a:z]) for a, z, k in pii.spans(t)] == want
+    want = [make[1 + i % 4]() for i in range(60)]
+    t = " ".join(x for _, x in want)
+    assert [(k, t[a:z]) for a, z, k in pii.spans(t)] == want
+    for t, want in [
+        ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+        ("12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("555 123 4567 4111 1111 1111 1111 123-45-6789", ["555 123 4567", "4111 1111 1111 1111", "123-45-6789"]),
+        ("123-45-6789 987-65-4321 111-22-3333", ["123-45-6789", "987-65-4321", "111-22-3333"]),
+        ("call 555-123-4567 555-987-6543 555-222-3333", ["555-123-4567", "555-987-6543", "555-222-3333"]),
+        ("06 12 34 56 78 06 98 76 54 32", ["06 12 34 56 78", "06 98 76 54 32"]),
+        ("555-1234 555-2345 555-3456", ["555-1234", "555-2345", "555-3456"]),
+        ("555\t123\t4567", ["555\t123\t4567"]),
+    ]:
+        assert [t[a:z] for a, z, _ in pii.spans(t)] == want
+
+
 def test_reliabilities_find_the_good_labeler():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.6
