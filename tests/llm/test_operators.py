@@ -150,6 +150,24 @@ def test_language(spark, docs, empty, sf_dir):
     assert held.where("lang = language").count() >= 0.97 * held.count() and held.where("keep").count() == held.count()
 
 
+FOREIGN = {
+    "fi": "Suomen kieli kuuluu itämerensuomalaisiin kieliin, ja sitä puhutaan pääasiassa Suomessa. Kieli on läheistä sukua virolle ja karjalalle, ja sen rakenne poikkeaa selvästi naapurimaiden kielistä. Monet sanat taivutetaan useissa sijamuodoissa.",
+    "tr": "Türkçe, Türkiye'de ve Kıbrıs'ta konuşulan bir dildir. Bu dilin yapısı sondan eklemelidir ve ünlü uyumu önemli bir yer tutar. Çocuklar okulda yazmayı ve okumayı öğrenir, sonra kitaplar okurlar.",
+    "pl": "Język polski należy do grupy języków zachodniosłowiańskich i jest używany głównie w Polsce. Wiele osób uczy się go także za granicą, ponieważ ich rodziny pochodzą z tego kraju. Wczoraj wieczorem padał deszcz.",
+    "sv": "Det svenska språket talas främst i Sverige och i delar av Finland. Många människor läser böcker på biblioteket, och barnen går i skolan varje dag. I går kväll regnade det mycket i staden.",
+    "code": "def main(args): for i in range(len(args)): if args[i] == None: continue; result.append(parse(args[i])); return json.dumps(result, indent=2); class Foo(object): def __init__(self, x): self.x = x",
+}
+
+
+def test_language_rejects_languages_without_labels(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(real.where("doc_id % 2 = 0"))
+    foreign = spark.createDataFrame(list(FOREIGN.items()), "doc_id string, text string")
+    assert {(r.doc_id, r.language, r.keep) for r in language.identify(foreign, model).collect()} == {(k, "und", False) for k in FOREIGN}
+    held = language.identify(real.where("doc_id % 2 = 1 AND text RLIKE '[A-Za-z]'"), model)
+    assert held.where("NOT keep").isEmpty()
+
+
 def test_language_is_naive_bayes_by_hand(docs):
     model = language.fit(docs)
     t = "la vie"
