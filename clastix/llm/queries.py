@@ -51,10 +51,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that the chain finds toxic, with the probability of each category: all documents are classified, the toxic ones returned."""
+    """Each document's probability of each category of the chain, and the categories that it is in."""
     docs = _table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.classify(docs, chain).where(f"is_{toxicity.TARGET}")
+    return toxicity.classify(docs, chain)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,12 @@ def test_toxicity_on_held_out_documents(spark):
     assert (n.get((1, True), 0) + n.get((0, False), 0)) / sum(n.values()) > 0.85
 
 
+def test_toxicity_query_gives_every_document(spark, sf_dir):
+    got = queries.op7_toxicity(spark, sf_dir)
+    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert not got.where("is_low_quality AND NOT is_toxic").isEmpty()
+
+
 def test_html(spark):
     page = "<html><body><div class='a'><p>{}</div><article><p>{}</article></body></html>"
     data = [(k, "https://www.Host.com/x", page.format("ad", text(k, 12)), "a", "b") for k in range(4)]
