@@ -23,13 +23,16 @@ from .scratch import bounded
 
 THRESHOLD = 0.5
 MARK = "<secret>"
-#: Characters before a candidate in which neighbouring words are looked for.
+#: Characters before and after a candidate in which neighbouring words are looked for.
 NEAR = 48
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]{6,})")
-_HINT = r"[0-9]|(?i:passw|passphrase|pwd|secret|token|api.?key|credential)"
-_KNOWN = re.compile(r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abpr]-|sk[-_]|AIza|eyJ|npm_|pypi-")
+_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]+)")
+_PREFIX = r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abpr]-|sk[-_]|AIza|eyJ|npm_|pypi-"
+#: What lies behind belongs to the next finding.
+_NEXT = re.compile(r"[\n,;]|(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s*[=:]")
+_HINT = rf"[0-9]|{_PREFIX}|(?i:passw|passphrase|pwd|secret|token|api.?key|credential)"
+_KNOWN = re.compile(_PREFIX)
 _GOOD = re.compile(r"(?i)token|secret|passw|pwd|passphrase|api.?key|auth|bearer|credential|private|access.?key")
 _BAD = re.compile(r"(?i)commit|sha-?\d|md5|checksum|digest|revision|uuid|guid|hash|etag|example|sample|version|integrity|image|order|invoice|build|isbn|doi")
 _TEST = re.compile(r"(?i)test|spec|example|fixture|mock|lock|docs?/|readme")
@@ -84,7 +87,7 @@ def _kinds(s: str) -> str:
 def features(s: str, before: str, after: str, path: str | None) -> list[float]:
     k = _kinds(s)
     n = len(s)
-    near = before[-NEAR:]
+    near, behind = before[-NEAR:], _NEXT.split(after[:NEAR], maxsplit=1)[0]
     path = path or ""
     return [
         min(n, 200),
@@ -96,6 +99,8 @@ def features(s: str, before: str, after: str, path: str | None) -> list[float]:
         float(bool(_KNOWN.match(s))),
         float(len(_GOOD.findall(near))),
         float(len(_BAD.findall(near))),
+        float(len(_GOOD.findall(behind))),
+        float(len(_BAD.findall(behind))),
         float(bool(re.search(r"[=:]\s*[\"']?$", near))),
         float(near.endswith(('"', "'")) and after[:1] in ('"', "'")),
         float(bool(_TEST.search(path))),
@@ -139,7 +144,28 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
                 lambda: (of(hexa, pick([24, 40])), f"{some(3)} revision {quote}"),
             ][kind]()
             out.append((s, before, pick([" ", quote + " "]) + some(2), path, 0))
-    return out
+    lower, more = "abcdefghijklmnopqrstuvwxyz", []
+    for _ in range(n // 4):  # values of letters only or few characters, and findings that the words behind them decide
+        quote = pick(['"', "'", ""])
+        key = pick(["token", "secret", "api_key", "password", "passwd", "pwd", "credential", "passphrase"])
+        before, path = f"{some(3)} {key}{pick([' = ', '=', ': '])}{quote}", pick(["src/app.py", "config/settings.yml", ".env", "", "src7", "notes.txt"])
+        s, after, y = [
+            lambda: ("".join(pick(word) for _ in range(3)), quote + " " + some(2), 1),
+            lambda: (of(lower, pick([8, 10, 14, 20])), quote + " " + some(2), 1),
+            lambda: (of(lower + lower.upper(), pick([8, 12, 20])), quote + " " + some(2), 1),
+            lambda: (of(lower + digit + "!#$%", pick([4, 5])) + pick(digit), quote + " " + some(2), 1),
+            lambda: (pick(word), pick([" ", quote + " "]) + some(2), 0),
+            lambda: (pick(["None", "null", "true", "false", "str", "string", "None)", "self", "required", "optional", "***", "x", "{}", "...", "1", "int", "env"]), pick([" ", quote + " "]) + some(2), 0),
+            lambda: (pick(word) + pick([".", "_", ""]) + pick(word).title() + pick(["", "()", "(self)"]), " " + some(2), 0),
+            lambda: (pick(word) + pick([".", "_", "["]) + pick(word) + pick(["", "()", "]"]), " " + some(2), 0),
+        ][int(rng.integers(0, 8))]()
+        more.append((s, before, after, path, y))
+        s = pick([lambda: of(hexa, 40), lambda: of(alnum, 32)])()
+        if y:
+            more.append((s, f"{some(3)} ", f" is the {key} {some(1)}", path, 1))
+        else:
+            more.append((s, f"{some(3)} ", f" is the {pick(['commit', 'checksum', 'md5', 'digest', 'revision', 'hash'])} {some(1)}", path, 0))
+    return out + more
 
 
 def train(findings: list[tuple[str, str, str, str, int]] | None = None, seed: int = 0) -> Forest:
@@ -155,7 +181,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         s = m[0]
         if _KNOWN.match(s) or any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
             spans.append(m.span())
-    spans += [m.span(1) for m in _ASSIGNED.finditer(text) if any(not c.isalpha() for c in m[1])]
+    spans += [m.span(1) for m in _ASSIGNED.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
         if not out or a >= out[-1][1]:
@@ -171,7 +197,7 @@ def find(text: pa.Array, paths: list[str | None], forest: Forest, threshold: flo
         t = text[i].as_py()
         for a, b in candidates(t):
             at.append((i, a, b))
-            rows.append(features(t[a:b], t[max(0, a - NEAR) : a], t[b : b + 1], paths[i]))
+            rows.append(features(t[a:b], t[max(0, a - NEAR) : a], t[b : b + NEAR], paths[i]))
     if not rows:
         return []
     p = forest.predict(np.array(rows))

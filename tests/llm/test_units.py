@@ -208,6 +208,17 @@ def test_license_runs_match_brute_force():
     assert _runs_of(texts) == pytest.approx(want) and {(0, "MIT"), (1, "MPL-2.0"), (2, "MPL-2.0"), (3, "GPL-3.0"), (4, "proprietary")} <= set(want)
 
 
+def test_secrets_of_letters_short_ones_and_words_behind():
+    model = secrets.train()
+    hexa = "9f2c4e1ab7d05836c1e94f7a2b60d8e35c7a91f4"
+    yes = ["the password = correcthorsebattery now", 'password: "k3y!9"', "see ghp_" + "abcdEFGHijklMNOPqrst" * 2 + " there", f"it is {hexa} is the token here"]
+    no = ["password = None", "token = request", "the secret: how it was", f"it is {hexa} is the commit here"]
+    got = secrets.find(pa.array(yes + no), [""] * 8, model, secrets.THRESHOLD)
+    assert sorted({i for i, *_ in got}) == [0, 1, 2, 3]
+    cut = lambda i: [(yes + no)[i][a:b] for k, a, b, _ in got if k == i]
+    assert cut(0) == ["correcthorsebattery"] and cut(1) == ["k3y!9"]
+
+
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href=x>home</a></nav><div class="post main-12"><p>One <b>two<p>three &amp; four<br>five</div><div class=ad>buy<!-- no --></div><footer>end</footer></body></html>'
 
 
