@@ -50,3 +50,9 @@ def test_spell_check(spark):
     assert names.spell_check(x, "family", "phylum", suff=["iidae"]).isEmpty()
     assert names.replacements(spark.createDataFrame(got), 0.5) == {"Disciniidae": "Discinidae"}
     assert names.replacements(spark.createDataFrame(got), 0.0) == {}
+
+
+def test_headline_has_no_restricted_query():
+    import bench
+
+    assert "spell_check" not in bench.HEADLINE
