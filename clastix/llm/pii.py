@@ -22,19 +22,58 @@ from pyspark.sql import functions as F
 from .linear import fit_dense, sigmoid
 from .scratch import bounded, row_key, written
 
-KINDS = ("email", "phone", "ip", "card", "iban", "id_number")
+KINDS = ("email", "phone", "ip", "card", "iban", "id_number", "address", "person")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "edges")
 THRESHOLD = 0.5
 #: Spans that the classifier is trained on, at most, about; those of the least hash.
 SAMPLE = 20_000
 NEAR = 40
 
-_HINT = r"@|[0-9][0-9 \t().:\-]{5}"
+#: Given names and places, as gazetteers.
+GIVEN = frozenset(
+    """Aaron Adam Adrian Agnes Alain Alan Albert Alejandro Alex Alexander Alfred Alice Alicia Amanda Amélie Amy Ana André Andrea Andreas Andrew Angela Anja Anke Ann
+Anna Anne Antoine Antonio Arthur Barbara Beatriz Ben Benjamin Bernard Bernd Birgit Brandon Brian Bruno Camille Carla Carlos Carmen Carol Caroline Catherine Cecilia Charles
+Charlotte Chloé Christian Christina Christine Christopher Claire Clara Claudia Cristina Cynthia Daniel Daniela David Deborah Denis Dennis Diana Diego Dieter Dominique Donald
+Donna Dorothy Douglas Edward Elena Elisabeth Elizabeth Emily Emma Enrique Eric Esther Eva Fatima Felix Fernando Florian Frances Francis Francisco François Françoise Frank Franz
+Frédéric Gabriel Gary George Gerhard Gloria Grace Gregory Guillaume Gérard Hans Harold Heather Heike Heinz Helen Helena Helga Henri Henry Hugo Ines Ingrid Irene Isabel
+Isabella Jack Jacob Jacques Jaime James Jan Jane Janet Jason Javier Jean Jeffrey Jennifer Jeremy Jesse Jessica Joan Joanna Johannes John Jonas Jonathan Jorge Joseph Joshua José
+Juan Juana Judith Julia Julie Julien Justin Jürgen Karen Karl Katherine Kathleen Kathrin Katja Kevin Klaus Kyle Larry Laura Laurent Lena Leon Leonard Lucas Lucie Lucía
+Luis Luisa Lukas Manfred Manon Manuel Manuela Marcel Marco Marcus Margaret Marguerite Maria Marie Marina Mario Marion Mark Markus Marta Martha Martin Martina Mary Matthew
+Matthias Mathieu María Max Maximilian Megan Melissa Michael Michel Michelle Miguel Monica Monika Monique Nancy Natalie Nathalie Nathan Nicholas Nicolas Nicole Nina Olga Oliver
+Olivier Pablo Pamela Pascal Patricia Patrick Paul Paula Pedro Peter Petra Philip Philippe Pierre Pilar Rachel Rafael Ralf Ralph Ramón Raymond Rebecca Renate Richard
+Robert Roger Ronald Rosa Ruth Ryan Sabine Samantha Samuel Sandra Sara Sarah Scott Sebastian Sergio Sharon Silvia Simon Sofia Sophie Stefan Stefanie Stephanie Stephen Steven
+Susan Susanne Sylvie Teresa Theresa Thomas Thierry Timothy Tobias Tyler Ulrich Ursula Valérie Vera Veronica Victor Victoria Vincent Virginia Walter Werner William Wolfgang Yves Zoe
+Élise Étienne Ángel Óscar""".split()
+)
+PLACES = frozenset(
+    """Amsterdam Athens Atlanta Austin Baltimore Barcelona Basel Bergen Berlin Bern Bilbao Birmingham Bogotá Bonn Bordeaux Boston Bremen Bristol Brooklyn Bruxelles Brussels
+Budapest Cambridge Cardiff Charlotte Chicago Cleveland Cologne Columbus Copenhagen Cork Dallas Denver Detroit Dortmund Dresden Dublin Düsseldorf Edinburgh Essen Florence
+Frankfurt Genève Geneva Genoa Glasgow Graz Grenoble Hamburg Hannover Helsinki Houston Innsbruck Jacksonville Köln Lausanne Leeds Leipzig Lille Lima Lisbon Liverpool London Lyon
+Madrid Málaga Manchester Marseille Melbourne Memphis Miami Milan Milwaukee Minneapolis Montpellier Montreal Munich München Nantes Naples Nashville Newark Nice Nottingham Nürnberg
+Oakland Orlando Oslo Ottawa Oxford Paris Philadelphia Phoenix Pittsburgh Portland Porto Prague Quito Reims Rennes Richmond Rome Rotterdam Sacramento Salzburg Santiago Seattle
+Sevilla Sheffield Stockholm Strasbourg Stuttgart Sydney Toledo Toronto Toulouse Tucson Turin Valencia Vancouver Venice Vienna Warsaw Washington Wien Wiesbaden Zaragoza Zurich Zürich
+Argentina Australia Austria Belgium Brazil Canada Chile Colombia Denmark England España Finland France Germany Ireland Italy Mexico Netherlands Norway Peru Poland Portugal Scotland Spain Sweden Switzerland Wales Deutschland""".split()
+)
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Mme|Madame|Monsieur"
+#: What every text with a span has, in RE2: an at-sign, the digits of a number (seven at least, or an address's), the start of
+#: an IBAN, a title or given name before a word, or the name of a street.
+_HINT = (
+    r"@|\p{Nd}[\p{Nd} \t().:\-]{5}|[A-Z]{2}\p{Nd}{2} ?[A-Z0-9]{4}"
+    rf"|(?:{_TITLES})\.? [A-Z]|(?:{'|'.join(sorted(GIVEN))}) [A-Z]"
+    r"|\p{Nd},? (?:[A-Z]|rue|avenue|boulevard|place|impasse)|(?:straße|strasse|weg|platz|allee|gasse) \p{Nd}|(?:Calle|Avenida|Plaza) "
+)
+_NAME = r"[A-Z][a-zß-öø-ÿ]+(?:[-'][A-Z][a-zß-öø-ÿ]+)?"
+_PERSON = re.compile(rf"(?<!\w)(?:(?:{_TITLES})\.? (?:{_NAME} )?{_NAME}|(?:{'|'.join(sorted(GIVEN, key=lambda x: (-len(x), x)))})(?: [A-Z]\.)?(?: (?:(?:de|del|la|van|von|der) )*{_NAME}){{1,2}})(?!\w)")
+_STREET = re.compile(
+    rf"(?<![\w.])(?:\d{{1,5}} (?:[NSEW]\.? )?(?:{_NAME} ){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Square|Terrace|Way)(?!\w)\.?"
+    rf"|\d{{1,4}},? (?:rue|avenue|boulevard|place|impasse) (?:(?:de|du|des|la|le) )*{_NAME}"
+    rf"|{_NAME}(?:straße|strasse|weg|platz|allee|gasse) \d{{1,4}}(?!\w)|(?:Calle|Avenida|Plaza) (?:(?:de|del|la|los) )*{_NAME},? \d{{1,4}}(?!\w))"
+)
 #: Numbers and blanks, signs between them, one after the other; where a number may start in it; one without blanks.
 _RUN = re.compile(r"(?<![\w.])\+?\(?\d[\d \t().\-:]*\d(?![\w])")
 _START = re.compile(r"(?<![\w.\-(+])\(?\d")
 _PIECE = re.compile(r"\+?\(?\d[\d().\-]{5,28}\d(?![\w().\-]*\d)")
-#: A longer number is none.
+#: A longer number is none; the part of an address before the at-sign has 64 characters at most (RFC 5321).
 _LONGEST = 64
 _IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -46,12 +85,14 @@ _STRICT = {
     "card": re.compile(r"\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}|3[47]\d{2}([ \-]?)\d{6}\2\d{5}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]{11,38}"),
     "id_number": re.compile(r"\d{3}-\d{2}-\d{4}"),
+    "address": re.compile(r"\d{1,5},? \D{6,60}|\D{6,60} \d{1,4}"),
+    "person": re.compile(rf"(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|{_NAME}(?: [A-Z]\.)?(?: (?:(?:de|del|la|van|von|der) )*{_NAME})+"),
 }
 _END = r"(?![\w]|[.\-]\d)"
 _CARD, _ID = (re.compile(f"(?:{_STRICT[k].pattern}){_END}") for k in ("card", "id_number"))
 _PHONE = re.compile(rf"(?:(?:1[ .\-])?{_STRICT['phone'].pattern}|(?:\+\d{{1,3}}[ .\-]?)?\(?\d{{1,2}}\)?(?:[ .\-]\d{{2}}){{4}}){_END}")
 _ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6")
-#: Domains' ends, callings codes, issuers' digits and countries, as gazetteers.
+#: Domains' ends, calling codes, issuers' digits and countries, as gazetteers.
 _ENDS = frozenset("com org net edu gov mil int info biz io co app dev me eu de fr es it nl be at ch uk us ca au jp cn in br ru pl se no dk fi pt ie cz gr mx ar cl za kr tr ua hu ro".split())
 _CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "61", "64", "81", "82", "86", "90", "91", "351", "353", "358", "380", "420")
 _LANDS = frozenset("AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK TR".split())
@@ -62,6 +103,8 @@ _GOOD = {
     "card": r"card|visa|master|amex|credit|debit|pay|karte|tarjeta|carte",
     "iban": r"iban|bank|account|konto|transfer|compte|cuenta",
     "id_number": r"ssn|social|security|identity|passport|tax",
+    "address": r"address|live|lives|street|home|deliver|ship|wohn|adresse|dirección|habit|vive",
+    "person": r"name|named|call|contact|dear|regards|sign|author|by |born|heiß|nom|llam|señor|herr|frau",
 }
 _GOOD = {k: re.compile(r"(?i)" + v) for k, v in _GOOD.items()}
 _BAD = re.compile(r"(?i)version|release|build|isbn|issn|doi|order|invoice|ticket|article|serial|model|chapter|section|page|figure|score|date|total|sum\b|timestamp|unix|revision")
@@ -142,6 +185,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", at + 1)
     out += [(*m.span(), "ip") for m in _IP.finditer(text)]
     out += [(*m.span(), "iban") for m in _IBAN.finditer(text) if any(c.isdigit() for c in m[0][4:])]
+    out += [(*m.span(), "address") for m in _STREET.finditer(text)]
+    out += [(*m.span(), "person") for m in _PERSON.finditer(text)]
     for m in _RUN.finditer(text):
         if m.end() - m.start() >= 7:
             out += _numbers(text, *m.span())
@@ -171,6 +216,11 @@ def votes(s: str, kind: str, before: str, after: str) -> list[int]:
             gazetteer = 1 if digits.startswith(_CODES) else -1
         elif re.search(r"[()\- .]", s) is None:
             gazetteer = -1
+    elif kind == "person":
+        words = re.sub(rf"^(?:{_TITLES})\.? ", "", s).split()
+        gazetteer = -1 if words[-1] in PLACES else 1 if words[0] in GIVEN else 0
+    elif kind == "address":
+        gazetteer = 1 if any(w in PLACES for w in re.findall(_NAME, s + after)) else 0
     elif kind == "ip":
         gazetteer = -1 if re.match(r"(0|127|255)\.|\d+\.\d+\.\d+\.0$", s) else 1
     near = before[-NEAR:]
@@ -247,7 +297,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i in hint:
                 t = text[i].as_py()
                 for a, z, kind in spans(t):
-                    near = (t[a:z], kind, t[max(0, a - NEAR) : a], t[z : z + 1])
+                    near = (t[a:z], kind, t[max(0, a - NEAR) : a], t[z : z + NEAR])
                     rows.append((i, a, z - a, KINDS.index(kind), votes(*near), traits(*near)))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "start", "n_chars", "kind", "vote", "trait"])

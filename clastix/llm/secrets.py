@@ -27,11 +27,13 @@ MARK = "<secret>"
 NEAR = 48
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
-_ASSIGNED = re.compile(r"(?i)(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]+)")
+_TELLING = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credential"
+_ASSIGNED = re.compile(rf"(?i)(?:{_TELLING})s?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]+)")
 _PREFIX = r"AKIA|ASIA|gh[pousr]_|glpat-|xox[abpr]-|sk[-_]|AIza|eyJ|npm_|pypi-"
 #: What lies behind belongs to the next finding.
-_NEXT = re.compile(r"[\n,;]|(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s*[=:]")
-_HINT = rf"[0-9]|{_PREFIX}|(?i:passw|passphrase|pwd|secret|token|api.?key|credential)"
+_NEXT = re.compile(rf"[\n,;]|(?i:{_TELLING})s?[\"']?\s*[=:]")
+#: What every text with a candidate has, in RE2: a run needs a digit or a known prefix, an assigned value a telling name.
+_HINT = rf"[0-9]|{_PREFIX}|(?i:{_TELLING})"
 _KNOWN = re.compile(_PREFIX)
 _GOOD = re.compile(r"(?i)token|secret|passw|pwd|passphrase|api.?key|auth|bearer|credential|private|access.?key")
 _BAD = re.compile(r"(?i)commit|sha-?\d|md5|checksum|digest|revision|uuid|guid|hash|etag|example|sample|version|integrity|image|order|invoice|build|isbn|doi")
@@ -122,7 +124,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
     out = []
     for _ in range(n):
         quote = pick(['"', '"', "'", ""])
-        path = pick(["src/app.py", "config/settings.yml", ".env", "docs/readme.md", "src7", "tests/fixtures/a.json", "", "deploy/main.tf", "package-lock.json", "notes.txt"])
+        path = pick(["src/app.py", "config/settings.yml", ".env", "docs/readme.md", "lib/client.js", "tests/fixtures/a.json", "", "deploy/main.tf", "package-lock.json", "notes.txt"])
         if rng.random() < 0.5:
             s = pick([lambda: of(hexa, pick([32, 40, 40, 64])), lambda: of(alnum, pick([20, 24, 32, 40, 48])), lambda: "AKIA" + of(upper, 16), lambda: "ghp_" + of(alnum, 36), lambda: "sk-" + of(alnum, 40), lambda: "eyJ" + of(alnum + "-_", 60), lambda: of(alnum + "+/", 40), lambda: of(alnum + "!#$%", pick([9, 12, 16]))])()
             key = pick(["token", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "private key", "credential", "bearer", "Authorization"])
@@ -148,7 +150,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
     for _ in range(n // 4):  # values of letters only or few characters, and findings that the words behind them decide
         quote = pick(['"', "'", ""])
         key = pick(["token", "secret", "api_key", "password", "passwd", "pwd", "credential", "passphrase"])
-        before, path = f"{some(3)} {key}{pick([' = ', '=', ': '])}{quote}", pick(["src/app.py", "config/settings.yml", ".env", "", "src7", "notes.txt"])
+        before, path = f"{some(3)} {key}{pick([' = ', '=', ': '])}{quote}", pick(["src/app.py", "config/settings.yml", ".env", "", "lib/client.js", "notes.txt"])
         s, after, y = [
             lambda: ("".join(pick(word) for _ in range(3)), quote + " " + some(2), 1),
             lambda: (of(lower, pick([8, 10, 14, 20])), quote + " " + some(2), 1),
@@ -207,17 +209,19 @@ def find(text: pa.Array, paths: list[str | None], forest: Forest, threshold: flo
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, n_chars, digest, probability): each secret found; digest is the start of its SHA-256, not the secret.
 
-    A null or empty text has no findings; a null path is no path; a null id stays null. Repeated rows are
-    each reported, several findings of a text in order. An empty table gives no rows. Texts are read whole.
+    A null or empty text has no findings; a null path, or a path_col that docs lacks, is no path; a null id
+    stays null. Repeated rows are each reported, several findings of a text in order; of overlapping candidates
+    the one that starts first counts, of those the longest. An empty table gives no rows. Texts are read whole.
     """
     docs = bounded(docs)
     sent = docs.sparkSession.sparkContext.broadcast(train() if forest is None else forest)
     kind = docs.schema[id_col].dataType.simpleString()
-    columns = [id_col, text_col, *([path_col] if path_col else [])]
+    has_path = path_col is not None and path_col in docs.columns
+    columns = [id_col, text_col, *([path_col] if has_path else [])]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            paths = b.column(2).to_pylist() if path_col else [None] * b.num_rows
+            paths = [None if x is None else str(x) for x in b.column(2).to_pylist()] if has_path else [None] * b.num_rows
             got = find(b.column(1), paths, sent.value, threshold)
             row = pa.array([g[0] for g in got], pa.int64())
             digest = [hashlib.sha256(b.column(1)[g[0]].as_py()[g[1] : g[2]].encode()).hexdigest()[:12] for g in got]
@@ -227,7 +231,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
 
 def redacted(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars", forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with each secret in the texts replaced by <secret>, and length_col, where there is one, set to the new length of those texts."""
+    """docs with each secret in the texts replaced by <secret>, and length_col, where there is one, set to the new length of those texts.
+
+    All rows and columns stay, under their names and in their types: null and empty texts, rows with a null id
+    and repeated rows as they are, the last each redacted. An empty table stays empty. A path_col or
+    length_col that docs lacks is passed over. Texts are read whole.
+    """
     docs = bounded(docs)
     sent = docs.sparkSession.sparkContext.broadcast(train() if forest is None else forest)
     names = docs.columns
