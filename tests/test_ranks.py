@@ -28,19 +28,19 @@ def test_tgraph_bridges_gaps(spark):
 
 
 ASSESS = [
-    ([(("K", "P", "x"), 1), (("K", "Q", "x"), 1), (("K", "R", "x"), 1)], "3+"),
-    ([(("K", "P", "x"), 1), (("L", "Q", "x"), 1)], "linear divergence"),
-    ([(("K", "P", "x"), 2), (("K", None, "x"), 1)], "ranks skipped"),
-    ([(("K", "P", "x"), 2), (("K", "Q", "x"), 1)], "equivalent paths"),
-    ([(("K", "P", None, "x"), 1), (("K", None, "Q", "x"), 1)], "combined paths"),
+    ([(("K", "P", "x"), 1), (("K", "Q", "x"), 1), (("K", "R", "x"), 1)], "three parents"),
+    ([(("K", "P", "x"), 1), (("L", "Q", "x"), 1)], "no common ancestor"),
+    ([(("K", "P", "x"), 2), (("K", None, "x"), 1)], "rank skipped"),
+    ([(("K", "P", "x"), 2), (("K", "Q", "x"), 1)], "equal paths"),
+    ([(("K", "P", None, "x"), 1), (("K", None, "Q", "x"), 1)], "made one"),
     ([(("K", "C", "O", "x"), 2), (("K", "D", "P", "x"), 1)], "frequency"),
-    ([(("K", "C", "O", "F", "x"), 2), (("K", "D", "P", "G", "x"), 1)], "partial divergence"),
+    ([(("K", "C", "O", "F", "x"), 2), (("K", "D", "P", "G", "x"), 1)], "too far"),
 ]
 
 
 @pytest.mark.parametrize("lines, want", ASSESS)
 def test_assess(lines, want):
-    assert want in ranks.assess(lines, jump=3 if want != "partial divergence" else 2)[0]
+    assert want in ranks.assess(lines, jump=3 if want != "too far" else 2)[0]
 
 
 def test_resolution(spark):
@@ -51,6 +51,30 @@ def test_resolution(spark):
     assert len(got) == 9
 
 
+def test_resolution_keeps_clashing_columns(spark):
+    x = spark.createDataFrame([("K", "P", "x", 1, 2), ("K", "Q", "x", 3, 4), ("K", "P", "x", 5, 6)], "a0 string, b string, c0 string, hit int, o0 int")
+    out = ranks.resolve_duplicates(x, ["a0", "b", "c0"])
+    assert out.columns == x.columns and rows(out) == [("K", "P", "x", 1, 2), ("K", "P", "x", 3, 4), ("K", "P", "x", 5, 6)]
+    assert ranks.resolve_duplicates(x.limit(0), ["a0", "b", "c0"]).isEmpty()
+
+
+def test_shared_folder_on_a_cluster_must_be_named(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from clastix import shared
+
+    conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    on = lambda master, conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared.shared_dir(on("yarn", conf)) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(on("yarn", {}))
+    with shared.collected() as made:
+        t = shared.written(spark.range(3), "t")
+    assert made == [t] and t.count() == 3
+    shared.drop(t)
+    shared.drop(t)
+
+
 def test_completeness_mode():
     lines = [(("K", None, "O", "x"), 5), (("K", "D", "P", "x"), 1)]
     assert ranks.assess(lines, "completeness", 4)[1] == [("x", "O")]
