@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import decontaminate, html, jaccard, language, licenses, packing, pii, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +78,6 @@ QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op7_toxicity": op7_toxicity,
     "op4_quality_rules": op4_quality_rules,
-    "pipeline": corpus_pipeline.run,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
     "op9_language_id": op9_language_id,

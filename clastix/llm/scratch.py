@@ -1,48 +1,20 @@
-"""Tables written in the cluster's shared folder, to cut lineage and to survive lost executors."""
+"""What the text operators share: tables in the cluster's shared folder, joins of a checked size, Arrow batches of few bytes."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
+from ..shared import collected, drop, fresh, shared_dir, written
+
+__all__ = ["bounded", "collected", "drop", "fresh", "row_key", "shared_dir", "sized", "written"]
 
 #: A side of a join is broadcast up to this many rows of one long; beyond it the join shuffles.
 BROADCAST_ROWS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="clastix-"))
-    return _OWN[0]
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df as a Parquet table of the shared folder, read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small with a broadcast hint if it has at most limit rows, else as it is, so that the join shuffles."""
     n = small.count() if rows is None else rows
@@ -50,25 +22,19 @@ def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS
 
 
 def bounded(df: DataFrame, megabytes: int = 8) -> DataFrame:
-    """df, its session set to hand Arrow batches of so many megabytes at most to Python: texts are long, and a batch is in memory on both sides."""
+    """df, its session set to hand Arrow batches of so many megabytes at most to Python: texts are long, and a batch is in memory on both sides.
+
+    A lazy result is planned when it runs, so the setting stays; a size that the session was given by name is left alone.
+    """
+    session = df.sparkSession
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
-    have = df.sparkSession.conf.get(name)
-    if not re.fullmatch(r"\d+b?", have) or int(have.rstrip("b")) > most:
-        df.sparkSession.conf.set(name, str(most))
+    have = session.conf.get(name)
+    given = session.sparkContext.getConf().contains(name)
+    if not given and (not re.fullmatch(r"\d+b?", have) or int(have.rstrip("b")) > most):
+        session.conf.set(name, str(most))
     return df
 
 
 def row_key(*columns: Column | str) -> Column:
     """A 64-bit key of these columns; a null differs from every value."""
     return F.xxhash64(*columns)
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names like these that no column of df has."""
-    have, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in have:
-            n += "_"
-        have.add(n.lower())
-        out.append(n)
-    return out
