@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,17 +246,38 @@ def test_licenses_as_published(spark):
         assert best > 0.9
 
 
+def quality_stops(t: str) -> tuple:
+    n = len(t.split())
+    ratio = sum(w in quality.STOP_WORDS for w in t.split()) / n
+    return ("stop_words" if n >= quality.STOP_FROM and ratio < 0.02 else "", pytest.approx(ratio))
+
+
+def test_quality_stop_words_of_short_texts(spark):
+    """The ratio is what it says; only the rule leaves short texts alone."""
+    got = {r.doc_id: r for r in quality.assess(spark.createDataFrame([(1, "fish chips bird"), (2, "fish bird " * 30), (3, "fish bird " * 24 + "the"), (4, "THE der Más, fish")], "doc_id long, text string"), rules=[r for r in quality.RULES if r[0] == "stop_words"]).collect()}
+    assert [(got[k].stop_word_ratio, got[k].keep) for k in (1, 2, 3, 4)] == [(0, True), (0, False), (1 / 49, True), (0.75, True)]
+
+
+@pytest.mark.parametrize("junk", ["7" * 1_000_000, "7 " * 500_000, "A" * 1_000_000 + "a", "A1" * 500_000 + "a ", "..." * 333_000, " " * 1_000_000, "\n \t" * 333_000, "the " * 250_000, "- " * 500_000, "é" * 500_000], ids=range(10))
+def test_quality_of_long_junk_is_quick(spark, junk):
+    began = time.perf_counter()
+    quality.assess(spark.createDataFrame([(1, junk)], "doc_id long, text string")).collect()
+    assert time.perf_counter() - began < 10
+
+
 def test_quality(spark, docs, empty):
     got = {r.doc_id: r for r in quality.assess(docs).collect()}
     assert got[4].broken.startswith("too_short") and got[5].broken == got[6].broken == got[4].broken
-    assert got[1].keep or got[1].broken
+    w = text(1, 80).split()
+    assert got[1].n_words == 80 and got[1].distinct_word_ratio == pytest.approx(len(set(w)) / 80) and got[1].mean_word_length == pytest.approx(sum(map(len, w)) / 80)
+    assert (got[1].broken, got[1].stop_word_ratio) == quality_stops(text(1, 80)) and (got[9].broken, got[9].stop_word_ratio) == quality_stops(LONG)
     assert quality.assess(docs).count() == len(RAW) and quality.assess(empty).isEmpty()
     kept = quality.kept(docs.withColumn("m", F.lit(1)))
     assert kept.columns == [*docs.columns, "m"]
     verdicts = collections.Counter(r.doc_id for r in quality.assess(docs).where("keep").collect())
     assert verdicts == collections.Counter(r.doc_id for r in kept.collect())
     edge = spark.createDataFrame([(1, "aa bb the cc")], "doc_id long, text string")
-    assert quality.assess(edge, rules=(("short", "n_words", 4, 4),)).first().keep
+    assert quality.assess(edge, rules=(("short", "n_words", 4, 4, 0),)).first().keep
     assert "Python" not in quality.assess(docs)._jdf.queryExecution().toString()
 
 
