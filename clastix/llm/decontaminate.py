@@ -8,6 +8,7 @@ Every suffix of every test item is binary-searched in every shard. A shard holds
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,13 @@ MIN_WORDS = 13
 LEAST = 5
 #: Words in a shard, about (a longer text is one shard): 22 bits hold a position.
 SHARD_WORDS = 1_000_000
-#: Bytes of test items that tasks get at once; a larger benchmark is searched in several passes.
+#: Bytes of test items that tasks get at once; a larger benchmark is searched in several passes, one after the other.
 TEST_BYTES = 64 << 20
 
+#: Test suffixes that are searched at a time, and places of them that are compared at a time.
+SUFFIXES_AT_ONCE = 50_000
+PLACES_AT_ONCE = 1_000_000
+
 _FOUND = "doc_id long, item_id long, n_words long, doc_word long, item_word long"
 
 
@@ -91,50 +96,113 @@ def search(t: Tests, hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray,
     if not len(hashes) or not len(t.start):
         return none
     vocabulary, code = np.unique(hashes, return_inverse=True)
-    sa = suffix_array(code, t.depth + 1)
     test = np.minimum(np.searchsorted(vocabulary, t.hash), len(vocabulary) - 1)
     known = vocabulary[test] == t.hash
     bad = np.append(0, np.cumsum(~known))
     start = t.start[(bad[t.start + t.need[t.start]] - bad[t.start]) == 0]
     if not len(start):
         return none
-    n, need = len(code), t.need[start]
-    wide = np.arange(int(need.max()))
-
-    def bound(right: bool) -> np.ndarray:
-        """The first place in the array whose suffix is not before (right: is after) the first need words of each test suffix."""
-        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), n)
-        while (go := lo < hi).any():
-            mid = (lo + hi) // 2
-            p = sa[np.minimum(mid, n - 1)][:, None] + wide
+    sa = suffix_array(code, t.depth + 1)
+    # a longest match has another word (or nothing) before it in the text than in the item; -1 is no word, -2 none either
+    before = np.full(len(code), -2, np.int64)
+    before[1:] = np.where(text[1:] == text[:-1], code[:-1], -2)
+    before = before[sa]
+    inside = start > t.off[t.item[start]]
+    word = np.where(inside & known[start - 1], test[start - 1], -1)
+    best = none
+    for i in range(0, len(start), SUFFIXES_AT_ONCE):
+        part = slice(i, i + SUFFIXES_AT_ONCE)
+        s = start[part]
+        lo, hi = (_bound(sa, code, test, s, t.need[s], right) for right in (False, True))
+        some = np.flatnonzero(hi > lo)
+        # places where all the rest of the item follows need no more comparing
+        low, high = (_bound(sa, code, test, s[some], t.left[s[some]], right) for right in (False, True))
+        # suffixes alike in their first words, and in the word before them, have the same places
+        same, of = np.unique(np.column_stack([lo[some], hi[some], word[part][some]]), axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        order = np.argsort(of, kind="stable")
+        alike = np.append(np.searchsorted(of[order], np.arange(len(same))), len(of))
+        for u, k in _places(same, before):
+            many = (alike[u + 1] - alike[u]).astype(np.int64)
+            for x, z in _pieces(many):
+                m = many[x:z]
+                row = np.repeat(np.arange(x, z), m)
+                mine = order[alike[u[row]] + np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)]
+                whole = (low[mine] <= k[row]) & (k[row] < high[mine])
+                best = _longest(best, _extended(t, hashes, text, s[some[mine]], sa[k[row]], whole))
+    return best
+
+
+def _bound(sa: np.ndarray, code: np.ndarray, test: np.ndarray, start: np.ndarray, need: np.ndarray, right: bool) -> np.ndarray:
+    """The first place in the array whose suffix is not before (right: is after) the first need words of each test suffix."""
+    n, wide = len(code), np.arange(16)
+    lo, hi = np.zeros(len(start), np.int64), np.full(len(start), n)
+    go = np.arange(len(start))
+    while len(go):
+        mid = (lo[go] + hi[go]) // 2
+        before = np.full(len(go), right)
+        row, done = np.arange(len(go)), 0
+        while len(row):  # 16 words at a time, of those that are equal so far
+            p = sa[mid[row]][:, None] + done + wide
             have = np.where(p < n, code[np.minimum(p, n - 1)], -1)
-            want = test[np.minimum(start[:, None] + wide, len(test) - 1)]
-            diff = (have != want) & (wide < need[:, None])
-            at = np.where(diff.any(1), diff.argmax(1), -1)
-            row = np.arange(len(start))
-            before = np.where(at >= 0, have[row, at] < want[row, at], right)
-            lo, hi = np.where(go & before, mid + 1, lo), np.where(go & ~before, mid, hi)
-        return lo
-
-    lo, hi = bound(False), bound(True)
-    count = hi - lo
-    s = np.repeat(start, count)
-    p = sa[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            want = test[np.minimum(start[go[row]][:, None] + done + wide, len(test) - 1)]
+            diff = (have != want) & (done + wide < need[go[row]][:, None])
+            at, each = diff.argmax(1), np.arange(len(row))
+            other = diff[each, at]
+            before[row[other]] = have[each, at][other] < want[each, at][other]
+            done += 16
+            row = row[~other & (need[go[row]] > done)]
+        lo[go], hi[go] = np.where(before, mid + 1, lo[go]), np.where(before, hi[go], mid)
+        go = go[lo[go] < hi[go]]
+    return lo
+
+
+def _pieces(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes sum to PLACES_AT_ONCE, about; a larger one makes a range by itself."""
+    total, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PLACES_AT_ONCE, "right")))
+        yield i, j
+        i = j
+
+
+def _places(same: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of same, place in the array) for same (first place, last + 1, word before), without places that the same word is before."""
+    size = same[:, 1] - same[:, 0] if len(same) else np.zeros(0, np.int64)
+    for i, j in _pieces(size):
+        c = size[i:j]
+        u = np.repeat(np.arange(i, j), c)
+        k = same[u, 0] + np.arange(len(u)) - np.repeat(np.cumsum(c) - c, c)
+        other = before[k] != same[u, 2]
+        yield u[other], k[other]
+
+
+def _extended(t: Tests, hashes: np.ndarray, text: np.ndarray, s: np.ndarray, p: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The matches of test suffixes s with places p, as far as they go within a text and an item: (text, item, words, position, position in the item). whole: all the item's rest follows."""
     end = np.searchsorted(text, text[p], "right")  # where the text of this place ends
     ok = p + t.need[s] <= end
-    s, p, end = s[ok], p[ok], end[ok]
-    length = t.need[s].copy()
-    more = np.arange(len(s))
+    s, p, end, whole = s[ok], p[ok], end[ok], whole[ok]
     most = np.minimum(t.left[s], end - p)
+    length = np.where(whole, most, t.need[s])
+    more = np.flatnonzero(~whole)
     while len(more):
         more = more[length[more] < most[more]]
         more = more[hashes[p[more] + length[more]] == t.hash[s[more] + length[more]]]
         length[more] += 1
-    item = t.item[s]
-    order = np.lexsort((s, p, -length, item, text[p]))
-    x, item, length, p, s = text[p][order], item[order], length[order], p[order], s[order]
-    new = np.append(True, (x[1:] != x[:-1]) | (item[1:] != item[:-1])) if len(x) else np.zeros(0, bool)
-    return x[new], item[new], length[new], p[new], (s - t.off[item])[new]
+    return text[p], t.item[s], length, p, s - t.off[t.item[s]]
+
+
+def _longest(*found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Of several results one: for each text and item the longest match, of equal ones the first in the text, then in the item."""
+    x, item, length, p, s = (np.concatenate(v) for v in zip(*found))
+    _, of = np.unique(x * (int(item.max(initial=0)) + 1) + item, return_inverse=True)
+    for k in range(3):
+        value = (-length, p, s)[k]
+        least = np.full(int(of.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, value)
+        keep = value == least[of]
+        x, item, length, p, s, of = (v[keep] for v in (x, item, length, p, s, of))
+    return x, item, length, p, s
 
 
 def _shards(ids: list[int], texts: list[str], min_words: int, least: int):
@@ -190,11 +258,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     tests = benchmark.select(F.col(test_id).cast("long").alias("id"), F.col(test_text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // TEST_BYTES))
-    out = None
+    parts = []
     for k in range(passes):
         part = (tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k) if passes > 1 else tests).orderBy("id", "text").collect()
         one = texts.mapInArrow(_shards([r[0] for r in part], [r[1] for r in part], min_words, least), _FOUND)
-        out = one if out is None else out.unionByName(one)
+        parts.append(written(one, "matches") if passes > 1 else one)
+    out = reduce(DataFrame.unionByName, parts)
     best = F.max_by(F.struct("n_words", "doc_word", "item_word"), F.struct("n_words", -F.col("doc_word"), -F.col("item_word"))).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*")
 
