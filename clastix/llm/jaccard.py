@@ -5,9 +5,11 @@ one global order, rare first; two texts of similarity t or more share an n-gram
 |x| - ceil(t |x|) + 1 of each. Only those are joined. Length, positional and suffix filters then drop
 pairs that cannot reach t, and each pair left is verified once, on the whole sets.
 
-N-grams travel as blocks of 48-bit hashes, not as rows: a row for each n-gram would take several times
+N-grams travel as blocks of 64-bit hashes, not as rows: a row for each n-gram would take several times
 the input in shuffle files. An n-gram that a single text has (two thirds of them, in prose) goes no
-further than the count. Identical texts are found first and enter the join as one.
+further than the count. Identical texts are found first and enter the join as one. No task holds more than
+blocks of a bounded size: the texts of a frequent n-gram are cut into parts, each two of which are a unit of
+work, and so are the texts that share their least n-gram.
 """
 
 from __future__ import annotations
@@ -29,15 +31,27 @@ from .scratch import bounded, drop, fresh, row_key, sized, written
 
 N = 5
 THRESHOLD = 0.4
-#: N-grams in a bucket of the count, and in the block of one map task, about.
+#: N-grams in a bucket of the count, and in the block of one map task, about; more if the table is so large that blocks would fall to crumbs.
 BLOCK_GRAMS = 1_000_000
-#: Texts whose sets one verifying task holds, about.
-CELL_TEXTS = 2_500
+#: Shuffles of blocks have so many partitions at most; each then takes its buckets one after the other.
+PARTITIONS = 50_000
+#: Texts that share a prefix n-gram are cut into parts of so many, about, if they may be more.
+HOT_TEXTS = 2_000
+#: Texts, and bytes of their sets, of one unit of pairs.
+CELL_TEXTS, CELL_BYTES = 2_500, 8 << 20
+#: Bytes of sets that a verifying task reads, about.
+VERIFY_BYTES = 32 << 20
 #: Pairs that a task makes at a time.
 PAIRS_AT_ONCE = 500_000
 
-_BLOCK = "bucket int, src long, texts binary, counts binary, grams binary, ranks binary"
-_TOP = np.uint64(45)
+_BLOCK = "bucket long, src long, texts binary, counts binary, grams binary, ranks binary"
+#: Parts of the hash range in each of which the suffix filter counts n-grams; a count is sent as the place of a value not below it.
+_TAILS = 8
+_LEVELS = [0]
+while len(_LEVELS) < 255:
+    _LEVELS.append(max(_LEVELS[-1] + 1, int(_LEVELS[-1] * 1.06)))
+_LEVELS = np.array([*_LEVELS, 1 << 31])
+_SIDE = 30
 
 
 @dataclass(frozen=True)
@@ -78,14 +92,20 @@ def _emit(rows: Iterator[tuple], schema: pa.Schema, most: int = 8 << 20) -> Iter
         yield _batch(dict(zip(schema.names, zip(*held))), schema)
 
 
-def _grams(n: int, buckets: int):
+def _layout(grams: int) -> tuple[int, int, int]:
+    """(n-grams in a block, buckets, partitions): a block meets at least a few n-grams of each bucket, so blocks grow as the root of a large table."""
+    block = max(BLOCK_GRAMS, math.isqrt(16 * grams))
+    buckets = max(1, math.ceil(grams / block))
+    return block, buckets, math.ceil(buckets / math.ceil(buckets / PARTITIONS))
+
+
+def _grams(n: int, block: int, buckets: int):
     """Texts to blocks: n-gram hashes by bucket; with a negative bucket the block's ids and set sizes."""
     schema = _arrow(_BLOCK)
 
-    def flush(part: int, turn: int, keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[tuple]:
-        key, src = np.concatenate(keys), (part << 24) | turn
-        text, gram = (key >> np.uint64(48)).astype(np.uint16), key & T.LOW48
-        ids_ = np.concatenate(ids)
+    def flush(part: int, turn: int, held: list[tuple[np.ndarray, np.ndarray]], ids: list[np.ndarray]) -> Iterator[tuple]:
+        src, ids_ = (part << 24) | turn, np.concatenate(ids)
+        text, gram = (np.concatenate(x) for x in zip(*held))
         yield -1 - src % buckets, src, _bytes(ids_, "<i8"), _bytes(np.bincount(text, minlength=len(ids_)), "<u4"), b"", b""
         bucket = gram % np.uint64(buckets)
         order = np.argsort(bucket.astype(np.uint16) if buckets <= 65536 else bucket, kind="stable")
@@ -93,11 +113,11 @@ def _grams(n: int, buckets: int):
         cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
         for i, j in zip(cuts, cuts[1:]):
             if i < j:
-                yield int(bucket[i]), src, *_coded(text[i:j]), T.pack48(gram[i:j]), b""
+                yield int(bucket[i]), src, *_coded(text[i:j]), _bytes(gram[i:j], "<u8"), b""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         part = TaskContext.get().partitionId()
-        keys: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         ids: list[np.ndarray] = []
         size = count = turn = 0
         for b in batches:
@@ -106,19 +126,22 @@ def _grams(n: int, buckets: int):
             for i, j in T.chunks(off):
                 h, _, _, word = T.words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 gram, text = T.ngrams(h, word, n)
-                if count + j - i > 65535 or size > BLOCK_GRAMS:
+                if count + j - i > 65535 or size > block:
                     if size:
-                        yield from flush(part, turn, keys, ids)
-                    keys, ids, size, count, turn = [], [], 0, 0, turn + 1
+                        yield from flush(part, turn, held, ids)
+                    held, ids, size, count, turn = [], [], 0, 0, turn + 1
                     T.settle()
-                key = ((text + count).astype(np.uint64) << np.uint64(48)) | (gram & T.LOW48)
-                key.sort()
-                keys.append(key[np.append(True, key[1:] != key[:-1])] if len(key) else key)
+                text = text.astype(np.uint16)
+                order = np.argsort(gram)
+                order = order[np.argsort(text[order], kind="stable")]
+                gram, text = gram[order], text[order]
+                new = np.append(True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1]))[: len(gram)]
+                held.append((text[new] + np.uint16(count), gram[new]))
                 ids.append(id_[i:j])
-                size, count = size + len(keys[-1]), count + j - i
+                size, count = size + len(held[-1][1]), count + j - i
         if size:
-            yield from flush(part, turn, keys, ids)
-        keys.clear()
+            yield from flush(part, turn, held, ids)
+        held.clear()
         T.settle()
 
     return lambda batches: _emit(rows(batches), schema)
@@ -143,7 +166,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in t.to_pylist():
                     yield tuple(r.values())
                 continue
-            grams = [T.unpack48(x.as_py()) for x in t["grams"]]
+            grams = [np.frombuffer(x.as_py(), "<u8") for x in t["grams"]]
             gram = np.concatenate(grams)
             order = np.argsort(gram)
             s = gram[order]
@@ -157,17 +180,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = rank[at : at + len(g)]
                 keep = r > 0
                 if keep.any():
-                    yield bucket, src, *_coded(text[at : at + len(g)][keep]), T.pack48(g[keep]), r[keep].tobytes()
+                    yield bucket, src, *_coded(text[at : at + len(g)][keep]), _bytes(g[keep], "<u8"), r[keep].tobytes()
                 at += len(g)
 
     return _emit(rows(), _arrow(_BLOCK))
 
 
-_PREFIX = "kind int, key long, n long, cell long, texts binary, ns binary, cells binary, counts binary, grams binary, places binary"
+_PREFIX = "kind int, key long, n long, cell long, texts binary, ns binary, shared binary, cells binary, counts binary, grams binary, places binary, before binary, tails binary"
+
+
+def _parts_of(rank: np.ndarray, most: int) -> np.ndarray:
+    """Into how many parts the texts of an n-gram of this rarity rank are cut: the rank bounds how many texts have it."""
+    return np.maximum(1, np.ceil(2.0 ** ((np.arange(256) + 1) / 4) / most).astype(np.int64))[rank]
+
+
+def _units(gram: np.ndarray, rank: np.ndarray, id_: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posting, unit, side) of each posting in each unit of work that it belongs to.
+
+    The texts of an n-gram that few have are one unit, side 0, and all pairs in it are made. Else a text is in one
+    of so many parts, and in a unit for each two of them: with its own part as side 0, with another as side 1 or 2, of
+    which only the pairs across are made.
+    """
+    many = _parts_of(rank, most)
+    of = np.repeat(np.arange(len(gram)), many)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    own = (T.mix(id_.astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)[of]
+    low, high, m = np.minimum(own, other), np.maximum(own, other), many[of]
+    unit = np.where(m == 1, gram[of], T.mix(gram[of] + (low * m + high + 1).astype(np.uint64) * T._STEP))
+    return of, unit, np.where(own == other, 0, np.where(own < other, 1, 2))
+
 
+def _prefixes(t: float, buckets: int, most: int):
+    """Blocks by source to kind 0: the shared n-grams of a text, and kind 1: blocks of prefix n-grams by bucket.
 
-def _prefixes(t: float, buckets: int):
-    """Blocks by source to kind 0: the shared n-grams of a text, and kind 1: blocks of prefix n-grams by bucket."""
+    A prefix n-gram has its place in its text's order, the hash of the shared one before it, and how many shared ones
+    follow it in each part of the hash range.
+    """
     schema = _arrow(_PREFIX)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -179,94 +227,124 @@ def _prefixes(t: float, buckets: int):
                 continue
             ids, sizes = np.frombuffer(head["texts"][0].as_py(), "<i8"), np.frombuffer(head["counts"][0].as_py(), "<u4").astype(np.int64)
             text = _decoded(body)
-            gram = np.concatenate([T.unpack48(x.as_py()) for x in body["grams"]])
+            gram = np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in body["grams"]])
             rank = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in body["ranks"]])
             order = np.lexsort((gram, rank, text))
-            text, gram = text[order], gram[order]
+            text, gram, rank = text[order], gram[order], rank[order]
             begin = np.searchsorted(text, np.arange(len(ids) + 1))
             shared = np.diff(begin)
             place = np.arange(len(text)) - begin[text] + (sizes - shared)[text]
             length = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
-            prefix = place < length[text]
+            prefix = np.flatnonzero(place < length[text])
             active = np.bincount(text[prefix], minlength=len(ids)) > 0
             cells = np.zeros(len(ids), np.uint32)
+            none = (b"",) * 9
             for k in np.flatnonzero(active).tolist():
                 g = np.sort(gram[begin[k] : begin[k + 1]])
                 cells[k] = int(g[0]) % 2147483647
-                yield 0, int(ids[k]), int(sizes[k]), int(cells[k]), b"", b"", b"", b"", T.pack48(g), b""
-            text, gram, place = text[prefix], gram[prefix], place[prefix]
-            to = gram % np.uint64(buckets)
-            order = np.lexsort((text, to))
-            to, text, gram, place = to[order], text[order], gram[order], place[order]
+                yield 0, int(ids[k]), int(sizes[k]), int(cells[k]), *none[:5], _bytes(g, "<u8"), *none[:3]
+            tails = np.empty((len(prefix), _TAILS), np.uint8)
+            for q in range(_TAILS):
+                so_far = np.append(0, np.cumsum((gram >> np.uint64(61)) == q, dtype=np.int32))
+                tails[:, q] = np.searchsorted(_LEVELS, so_far[begin[text[prefix] + 1]] - so_far[prefix + 1])
+            before = np.where(prefix > begin[text[prefix]], gram[prefix - 1] & T.LOW48, 0).astype(np.uint64)
+            of, unit, side = _units(gram[prefix], rank[prefix], ids[text[prefix]], most)
+            to = unit % np.uint64(buckets)
+            order = np.lexsort((text[prefix[of]], to))
+            of, unit, side, to = of[order], unit[order], side[order], to[order]
+            text, place = text[prefix[of]], place[prefix[of]] | (side << _SIDE)
             cuts = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
             for i, j in zip(cuts, cuts[1:]):
                 if i < j:
                     x, c = _coded(text[i:j])
                     k = np.frombuffer(x, "<u2")
-                    yield 1, int(to[i]), 0, 0, _bytes(ids[k], "<i8"), _bytes(sizes[k], "<u4"), _bytes(cells[k], "<u4"), c, T.pack48(gram[i:j]), _bytes(place[i:j], "<u4")
+                    yield 1, int(to[i]), 0, 0, _bytes(ids[k], "<i8"), _bytes(sizes[k], "<u4"), _bytes(shared[k], "<u4"), _bytes(cells[k], "<u4"), c, _bytes(unit[i:j], "<u8"), _bytes(place[i:j], "<u4"), T.pack48(before[of[i:j]]), tails[of[i:j]].tobytes()
 
     return lambda batches: _emit(rows(batches), schema)
 
 
-_PAIR = "target int, kind int, id long, a binary, b binary"
+_FOUND_PAIRS = "to int, target long, ids binary, shared binary, a binary, b binary"
 
 
-def _spread(cells: np.ndarray, ids: np.ndarray, hot: dict[int, int], targets: int) -> np.ndarray:
-    """The verifying task of each text: that of its cell; the texts of a hot cell are spread over as many as hot says."""
+def _cells(cells: np.ndarray, a: np.ndarray, b: np.ndarray, hot: dict[int, int], targets: int) -> np.ndarray:
+    """The unit of each pair of ids (a, b), a the shorter text, of this cell: that of the cell; a hot cell has one for each two of so many parts of its texts."""
     part = np.zeros(len(cells), np.uint64)
     if hot:
         known = np.array(sorted(hot))
         at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
-        many = np.array([hot[c] for c in known.tolist()])[at]
-        part = np.where(known[at] == cells, ids % many, 0).astype(np.uint64)
-    return (T.mix((cells.astype(np.uint64) << np.uint64(32)) + part) % np.uint64(targets)).astype(np.int64)
+        many = np.where(known[at] == cells, np.array([hot[c] for c in known.tolist()])[at], 1).astype(np.uint64)
+        pa_, pb = (T.mix(x.astype(np.uint64)) % many for x in (a, b))
+        part = pa_ * many + pb
+    return (T.mix(T.mix(cells.astype(np.uint64) + np.uint64(1)) + part) % np.uint64(targets)).astype(np.int64)
 
 
-def _candidates(t: float, targets: int, hot: dict[int, int]):
-    """Prefix blocks by bucket to blocks of pairs by the verifying task of the shorter text, after the length and positional filters."""
-    schema = _arrow(_PAIR)
+def _made(t: float, unit: np.ndarray, side: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray, tails: np.ndarray, most_pairs: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of postings, sorted by unit, side and size, that pass the filters.
 
-    def pairs(gram, text, n, place) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.lexsort((text, n[text], gram))
-        gram, text, place = gram[order], text[order], place[order]
-        size = n[text]
-        end = np.flatnonzero(np.append(gram[1:] != gram[:-1], True)) + 1
-        stop = end[np.searchsorted(end, np.arange(len(gram)), "right")]
-        after = stop - np.arange(len(gram)) - 1
-        total, i = np.cumsum(after), 0
-        while i < len(gram):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS_AT_ONCE, "right")))
-            c = after[i:j]
-            x = np.repeat(np.arange(i, j), c)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
-            need = np.ceil(t / (1 + t) * (size[x] + size[y]) - 1e-9)
-            keep = (size[x] >= t * size[y] - 1e-9) & (np.minimum(size[x] - place[x], size[y] - place[y]) >= need) & (text[x] != text[y])
-            yield text[x[keep]], text[y[keep]]
-            i = j
+    Length: only sizes within the threshold are paired. Positional: the n-grams from this one on must suffice. Suffix:
+    so must this one and, in each part of the hash range, as many as both texts have after it. A pair whose n-gram before this
+    is the same was made at that one. The first n-gram in common passes if the pair is similar.
+    """
+    new = np.append(True, (unit[1:] != unit[:-1]) | ((side[1:] > 0) != (side[:-1] > 0)))[: len(unit)]
+    group = (np.cumsum(new) - 1) * 2
+    key = (group + (side == 2)) << 32 | n
+    at, partner = np.arange(len(unit)), (group + (side == 1)) << 32
+    hi = np.searchsorted(key, partner | np.floor(n / t + 1e-9).astype(np.int64), "right")
+    lo = np.where(side == 0, at + 1, np.searchsorted(key, partner | np.ceil(n * t - 1e-9).astype(np.int64), "left"))
+    after = np.where(side == 2, 0, np.maximum(hi - lo, 0))
+    left = n - place
+    total, i = np.cumsum(after), 0
+    while i < len(unit):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most_pairs, "right")))
+        c = after[i:j]
+        x = np.repeat(np.arange(i, j), c)
+        y = lo[x] + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+        need = np.ceil(t / (1 + t) * (n[x] + n[y]) - 1e-9)
+        keep = (np.minimum(left[x], left[y]) >= need) & ((before[x] != before[y]) | (before[x] == 0))
+        x, y, need = x[keep], y[keep], need[keep]
+        most = np.ones(len(x))
+        for q in range(_TAILS):
+            most += _LEVELS[np.minimum(tails[x, q], tails[y, q])]
+        yield x[most >= need], y[most >= need]
+        i = j
+
+
+def _candidates(t: float, targets: int, parts: int, hot: dict[int, int], most_pairs: int):
+    """Prefix blocks by bucket to blocks of pairs by unit, the shorter text (of equal ones that of the lower id) first."""
+    schema = _arrow(_FOUND_PAIRS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, b in runs(batches, "key"):
-            raw = {k: [x.as_py() for x in b[k]] for k in ("texts", "ns", "cells", "counts", "grams", "places")}
+            raw = {k: [x.as_py() for x in b[k]] for k in ("texts", "ns", "shared", "cells", "counts", "grams", "places", "before", "tails")}
             join = lambda k, kind, raw=raw: np.concatenate([np.frombuffer(x, kind) for x in raw[k]])
             ids, at, of = np.unique(join("texts", "<i8"), return_index=True, return_inverse=True)
-            n, cells = join("ns", "<u4").astype(np.int64)[at], join("cells", "<u4")[at]
+            n, shared, cells = join("ns", "<u4").astype(np.int64)[at], join("shared", "<u4")[at], join("cells", "<u4")[at]
             text = np.repeat(of, join("counts", "<u4"))
-            gram = np.concatenate([T.unpack48(x) for x in raw["grams"]])
-            place = join("places", "<u4").astype(np.int64)
+            unit, place = join("grams", "<u8"), join("places", "<u4").astype(np.int64)
+            before, tails = np.concatenate([T.unpack48(x) for x in raw["before"]]), join("tails", np.uint8).reshape(-1, _TAILS)
+            raw.clear()
+            side, place = place >> _SIDE, place & ((1 << _SIDE) - 1)
+            order = np.lexsort((text, n[text], side, unit))
+            text = text[order]
             found, held = np.zeros(0, np.int64), []
-            for x, y in pairs(gram, text, n, place):
-                held.append(x * len(ids) + y)
-                if sum(map(len, held)) > 4 * PAIRS_AT_ONCE:
+            for x, y in _made(t, unit[order], side[order], n[text], place[order], before[order], tails[order], most_pairs):
+                x, y = text[x], text[y]
+                swap = (n[x] > n[y]) | ((n[x] == n[y]) & (x > y))
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                held.append((x * len(ids) + y)[x != y])
+                if sum(map(len, held)) > 4 * most_pairs:
                     found, held = np.unique(np.concatenate([found, *held])), []
             found = np.unique(np.concatenate([found, *held]))
             x, y = found // max(1, len(ids)), found % max(1, len(ids))
-            target = _spread(cells, ids, hot, targets)[x]
+            target = _cells(cells[x], ids[x], ids[y], hot, targets)
             order = np.argsort(target, kind="stable")
             x, y, target = x[order], y[order], target[order]
             cuts = [0, *(np.flatnonzero(target[1:] != target[:-1]) + 1).tolist(), len(target)]
             for i, j in zip(cuts, cuts[1:]):
-                if i < j:
-                    yield int(target[i]), 1, 0, _bytes(ids[x[i:j]], "<i8"), _bytes(ids[y[i:j]], "<i8")
+                for k in range(i, j, 1_000_000):
+                    both = np.concatenate([x[k : min(j, k + 1_000_000)], y[k : min(j, k + 1_000_000)]])
+                    own, where = np.unique(both, return_inverse=True)
+                    yield int(target[i]) % parts, int(target[i]), _bytes(ids[own], "<i8"), _bytes(shared[own], "<u4"), _bytes(where[: len(both) // 2], "<u4"), _bytes(where[len(both) // 2 :], "<u4")
 
     return lambda batches: _emit(rows(batches), schema)
 
@@ -281,23 +359,53 @@ def _distinct(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return a[new], b[new]
 
 
-def _once():
-    """Blocks of pairs by target to kind 1: each pair once, and kind 0: the texts that the target needs."""
+_PAIR = "kind int, sub long, id long, w long, a binary, b binary"
+
+
+def _halves(w: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of groups, in order, of entries of so many bytes: about half of most in each."""
+    return (np.cumsum(w) - w) // max(1, most // 2)
+
+
+def _once(most: int, most_pairs: int):
+    """Blocks of pairs by unit to kind 1: each pair once, by sub-units whose sets have a bounded size, and kind 0: the texts that a sub-unit needs."""
     schema = _arrow(_PAIR)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for target, p in runs(batches, "target"):
-            held, size = [_distinct([])], 0
-            for x in zip(p["a"], p["b"]):
-                held.append(tuple(np.frombuffer(v.as_py(), "<i8") for v in x))
+            held, size, ids, shared = [_distinct([])], 0, [], []
+            for own, w, x, y in zip(p["ids"], p["shared"], p["a"], p["b"]):
+                own = np.frombuffer(own.as_py(), "<i8")
+                held.append(tuple(own[np.frombuffer(v.as_py(), "<u4")] for v in (x, y)))
+                ids.append(own)
+                shared.append(np.frombuffer(w.as_py(), "<u4"))
                 size += len(held[-1][0])
-                if size > PAIRS_AT_ONCE:
+                if size > most_pairs:
                     held, size = [_distinct(held)], 0
             a, b = _distinct(held)
-            for x in np.unique(np.concatenate([a, b])).tolist():
-                yield target, 0, x, b"", b""
-            for i in range(0, len(a), 1_000_000):
-                yield target, 1, 0, _bytes(a[i : i + 1_000_000], "<i8"), _bytes(b[i : i + 1_000_000], "<i8")
+            ids, at = np.unique(np.concatenate(ids), return_index=True)
+            w = 8 * np.concatenate(shared)[at].astype(np.int64) + 64
+            x, y, seq = np.searchsorted(ids, a), np.searchsorted(ids, b), 0
+            own = np.unique(x)
+            group = np.zeros(len(ids), np.int64)
+            group[own] = _halves(w[own], most)
+            edge = [0, *(np.flatnonzero(np.diff(group[x])) + 1).tolist(), len(x)]
+            for i, j in zip(edge, edge[1:]):
+                mine, theirs = x[i:j], y[i:j]
+                other = np.unique(theirs)
+                half = np.zeros(len(ids), np.int64)
+                half[other] = _halves(w[other], most)
+                order = np.argsort(half[theirs], kind="stable")
+                mine, theirs = mine[order], theirs[order]
+                cut = [0, *(np.flatnonzero(np.diff(half[theirs])) + 1).tolist(), len(theirs)]
+                for k, m in zip(cut, cut[1:]):
+                    if k == m:
+                        continue
+                    sub, seq = (target << 24) | seq, seq + 1
+                    for z in np.unique(np.concatenate([mine[k:m], theirs[k:m]])).tolist():
+                        yield 0, sub, int(ids[z]), int(w[z]), b"", b""
+                    for z in range(k, m, 1_000_000):
+                        yield 1, sub, 0, 0, _bytes(ids[mine[z : min(m, z + 1_000_000)]], "<i8"), _bytes(ids[theirs[z : min(m, z + 1_000_000)]], "<i8")
 
     return lambda batches: _emit(rows(batches), schema)
 
@@ -306,16 +414,12 @@ _FOUND = "a long, b long, shared long, n_a long, n_b long, jaccard double"
 
 
 def _verify(t: float):
-    """Sets (kind 0) and pairs (kind 1) of one target to the pairs of similarity t or more; before that the suffix filter."""
+    """Sets (kind 0) and pairs (kind 1) of one sub-unit to the pairs of similarity t or more."""
     schema = _arrow(_FOUND)
 
-    def check(pairs: tuple[np.ndarray, np.ndarray], ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def check(pairs: tuple[np.ndarray, np.ndarray], ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         a, b = np.searchsorted(ids, pairs[0]), np.searchsorted(ids, pairs[1])
         need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9)
-        for i in range(0, len(a), 200_000):  # suffix filter: no more is shared than each eighth of the hash range has in both
-            s = slice(i, i + 200_000)
-            need[s][np.minimum(parts[a[s]], parts[b[s]]).sum(1) < need[s]] = -1
-        a, b, need = a[need > 0], b[need > 0], need[need > 0]
         shared = np.zeros(len(a), np.int64)
         cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
         for i, j in zip(cuts, cuts[1:]):
@@ -336,37 +440,39 @@ def _verify(t: float):
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[x], ids[y], shared, n[x], n[y], shared / (n[x] + n[y] - shared))], schema=schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, r in runs(batches, "target"):
+        for _, r in runs(batches, "sub"):
             kind = r["kind"].to_numpy()
             s, p = r.filter(pa.array(kind == 0)), r.filter(pa.array(kind == 1))
-            if not p.num_rows:
-                continue
             ids, at = np.unique(s["id"].to_numpy(), return_index=True)
             n = s["n"].to_numpy()[at]
-            sets = [T.unpack48(s["a"][i].as_py()) for i in at.tolist()]
-            parts = np.stack([np.bincount((x >> _TOP).astype(np.int64), minlength=8) for x in sets])
+            sets = [np.frombuffer(s["a"][i].as_py(), "<u8") for i in at.tolist()]
             for x in p.to_pylist():
-                yield from check((np.frombuffer(x["a"], "<i8"), np.frombuffer(x["b"], "<i8")), ids, n, sets, parts)
+                yield from check((np.frombuffer(x["a"], "<i8"), np.frombuffer(x["b"], "<i8")), ids, n, sets)
 
     return go
 
 
 def _pairs(texts: DataFrame, chars: int, n: int, t: float) -> DataFrame:
-    buckets = max(1, math.ceil(chars / 6 / BLOCK_GRAMS))
-    blocks = texts.mapInArrow(_grams(n, buckets), _BLOCK).withColumn("to", F.pmod("bucket", F.lit(buckets)))
-    counted = blocks.repartitionById(buckets, "to").drop("to").sortWithinPartitions("bucket").mapInArrow(_count, _BLOCK)
-    split = counted.repartition(buckets, "src").sortWithinPartitions("src").mapInArrow(_prefixes(t, buckets), _PREFIX)
+    block, buckets, parts = _layout(chars // 6)
+    blocks = texts.mapInArrow(_grams(n, block, buckets), _BLOCK).withColumn("to", F.pmod("bucket", F.lit(parts)).cast("int"))
+    counted = blocks.repartitionById(parts, "to").drop("to").sortWithinPartitions("bucket").mapInArrow(_count, _BLOCK)
+    split = counted.repartition(parts, "src").sortWithinPartitions("src").mapInArrow(_prefixes(t, buckets, HOT_TEXTS), _PREFIX)
     prefixes = written(split, "prefixes", "kind")
-    sets = prefixes.where("kind = 0").select("key", "n", "cell", "grams")
-    sizes = sets.groupBy("cell").count().agg(F.sum("count"), F.map_from_entries(F.collect_list(F.when(F.col("count") > CELL_TEXTS, F.struct("cell", F.ceil(F.col("count") / CELL_TEXTS)))))).first()
-    targets, hot = max(1, math.ceil((sizes[0] or 0) / CELL_TEXTS)), {int(k): int(v) for k, v in (sizes[1] or {}).items()}
-    postings = prefixes.where("kind = 1").drop("kind", "n", "cell")
-    found = postings.repartitionById(buckets, F.col("key").cast("int")).sortWithinPartitions("key").mapInArrow(_candidates(t, targets, hot), _PAIR)
-    once = written(found.repartitionById(targets, "target").sortWithinPartitions("target").mapInArrow(_once(), _PAIR), "pairs", "kind")
-    needed = once.where("kind = 0").select("target", F.col("id").alias("key")).join(sets, "key")
-    whole = needed.select("target", F.lit(0).alias("kind"), F.col("key").alias("id"), "n", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
-    joined = whole.unionByName(once.where("kind = 1").select("target", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), "a", "b"))
-    out = joined.repartitionById(targets, "target").sortWithinPartitions("target", "kind").mapInArrow(_verify(t), _FOUND)
+    sets = prefixes.where("kind = 0").select(F.col("key").alias("id"), "n", "cell", "grams")
+    by_cell = sets.groupBy("cell").agg(F.count("*").alias("c"), F.sum(F.octet_length("grams") + 64).alias("w"))
+    units = F.greatest(F.ceil(F.col("c") / CELL_TEXTS), F.ceil(F.col("w") / CELL_BYTES))
+    # at most one entry for CELL_TEXTS texts or CELL_BYTES of sets goes to the driver
+    sizes = by_cell.agg(F.sum("c"), F.sum("w"), F.map_from_entries(F.collect_list(F.when(units > 1, F.struct("cell", units))))).first()
+    targets, hot = max(1, math.ceil((sizes[0] or 0) / CELL_TEXTS), math.ceil((sizes[1] or 0) / CELL_BYTES)), {int(k): int(v) for k, v in (sizes[2] or {}).items()}
+    tasks = math.ceil(targets / math.ceil(targets / PARTITIONS))
+    postings = prefixes.where("kind = 1").drop("kind", "n", "cell").withColumn("to", F.pmod("key", F.lit(parts)).cast("int"))
+    found = postings.repartitionById(parts, "to").drop("to").sortWithinPartitions("key").mapInArrow(_candidates(t, targets, tasks, hot, PAIRS_AT_ONCE), _FOUND_PAIRS)
+    once = written(found.repartitionById(tasks, "to").drop("to").sortWithinPartitions("target").mapInArrow(_once(CELL_BYTES, PAIRS_AT_ONCE), _PAIR), "pairs", "kind")
+    needed = once.where("kind = 0")
+    tasks = min(PARTITIONS, max(1, math.ceil((needed.agg(F.sum("w")).first()[0] or 0) / VERIFY_BYTES)))
+    whole = needed.select("sub", "id").join(sets.select("id", "n", "grams"), "id").select("sub", F.lit(0).alias("kind"), "id", "n", F.col("grams").alias("a"), F.lit(None).cast("binary").alias("b"))
+    joined = whole.unionByName(once.where("kind = 1").select("sub", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("n"), "a", "b"))
+    out = joined.repartition(tasks, "sub").sortWithinPartitions("sub", "kind").mapInArrow(_verify(t), _FOUND)
     pairs = written(out, "similar")
     drop(prefixes, once)
     return pairs

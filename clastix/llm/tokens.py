@@ -59,12 +59,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about that many bytes; a longer text makes a range by itself."""
+def chunks(offsets: np.ndarray, most: int = 1 << 18, rows: int = 50_000) -> Iterator[tuple[int, int]]:
+    """Ranges of so many rows at most and of about that many bytes; a longer text makes a range by itself."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield i, min(j, n)
+        j = min(j, n, i + rows)
+        yield i, j
         i = j
 
 
