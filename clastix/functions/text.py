@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -120,21 +122,89 @@ def nearest_window(text: str, pattern: str, method: str = "jaccard", q: int = 1)
     return min(distance(text[i : i + w], pattern, method, q) for i in range(max(0, len(text) - w) + 1))
 
 
-def _pairwise(f: Callable[[str, str], float]):
+def jaro_of(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro() of each pair of two lists, the pairs side by side."""
+    out = np.zeros(len(a))
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    order = np.argsort(size.max(1), kind="stable")
+    at = 0
+    while at < len(order):
+        # a slice of pairs of like lengths, its tables of a few million cells
+        some = order[at : at + max(1, 2_000_000 // max(1, int(size[order[min(len(order), at + 4096) - 1]].max()))) ][:4096]
+        at += len(some)
+        out[some] = _jaro([a[k] for k in some.tolist()], [b[k] for k in some.tolist()], size[some])
+    return out
+
+
+def _letters(x: list[str], width: int, pad: int) -> np.ndarray:
+    out = np.full((len(x), width), pad, np.int64)
+    flat = np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.array([len(s) for s in x])
+    out[np.arange(width) < size[:, None]] = flat
+    return out
+
+
+def _jaro(a: list[str], b: list[str], size: np.ndarray) -> np.ndarray:
+    n, m = size[:, 0], size[:, 1]
+    x, y = _letters(a, max(1, int(n.max())), -1), _letters(b, max(1, int(m.max())), -2)
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+    free = np.arange(y.shape[1]) < m[:, None]
+    first = np.zeros(x.shape, bool)
+    row, place = np.arange(len(a)), np.arange(y.shape[1])
+    for i in range(x.shape[1]):
+        fits = free & (y == x[:, i : i + 1]) & (np.abs(place - i) <= reach[:, None])
+        j = fits.argmax(1)
+        first[:, i] = fits[row, j]
+        free[row[first[:, i]], j[first[:, i]]] = False
+    second = (place < m[:, None]) & ~free
+    k = first.sum(1)
+    one, two = x[first], y[second]  # matched letters of all pairs in their order
+    other = np.add.reduceat(np.append((one != two), False).astype(np.int64), np.append(0, np.cumsum(k)[:-1])) if len(k) else k
+    swaps = np.where(k > 0, other, 0) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        got = (k / n + k / m + (k - swaps) / k) / 3
+    return np.where(k > 0, got, np.where((n == 0) & (m == 0), 1.0, 0.0))
+
+
+def _pairwise(f: Callable[[list[str], list[str]], np.ndarray]):
     @F.pandas_udf("double")
     def each(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="float64")
+        ok = (a.notna() & b.notna()).to_numpy()
+        out = np.full(len(a), np.nan)
+        out[ok] = f(a[ok].tolist(), b[ok].tolist())
+        return pd.Series(out).where(ok, None)
 
     return each
 
 
 def jaro_similarity():
     """A user function of two text columns."""
-    return _pairwise(jaro)
+    return _pairwise(jaro_of)
 
 
-def window_distance(method: str, q: int):
-    """A user function of text and pattern."""
+_CHARS = "regexp_extract_all({}, '(?s).', 0)"
+
+
+def letter_mask(x: str) -> Column:
+    """A 64-bit mask of the letters of a text column: letters whose bits differ differ."""
+    return F.expr(f"aggregate(transform({_CHARS.format(x)}, c -> shiftleft(1L, ascii(c) % 64)), 0L, (a, b) -> a | b)")
+
+
+def window_distance(method: str, q: int) -> Callable[[Column, Column], Column]:
+    """A function of the columns text and pattern: an expression where Spark has the distance, else a user function."""
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}")
-    return _pairwise(lambda a, b: nearest_window(a, b, method, q))
+    if method in ("lv", "hamming") or method == "jaccard" and q == 1:
+        return lambda a, b: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(0), F.length(a) - F.length(b)) + 1), lambda i: _built_in(method, F.substr(a, i, F.length(b)), b)))
+    return _pairwise(lambda a, b: np.array([nearest_window(x, y, method, q) for x, y in zip(a, b)]))
+
+
+def _built_in(method: str, a: Column, b: Column) -> Column:
+    if method == "lv":
+        return F.levenshtein(a, b).cast("double")
+    x, y = (F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)) for c in (a, b))
+    if method == "hamming":
+        unlike = F.aggregate(F.zip_with(x, y, lambda u, v: (u != v).cast("double")), F.lit(0.0), lambda s, v: s + v)
+        return F.when(F.size(x) == F.size(y), unlike).otherwise(float("inf"))
+    every = F.size(F.array_union(x, y))
+    return F.when(every == 0, 0.0).otherwise(1 - F.size(F.array_intersect(x, y)) / every)

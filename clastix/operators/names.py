@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import METHODS, jaro_similarity, window_distance
+from ..functions.text import METHODS, jaro_similarity, letter_mask, window_distance
 from ..schema import require, require_text
+from ..shared import drop, fresh, written
 
 
 def clean_name(x: Column, terms: list[str] | None = None, collapse: list[str] | None = None) -> Column:
@@ -80,7 +81,8 @@ def spell_check(
     They share their first str_ and last str2 characters, and each of the expressions pref (at the start)
     and suff (at the end) fits both or neither. freq1 and freq2 count the terms in all groups; m2 is the
     least distance by alternative of t2 from the stretches of t1 of its length. Pairs are compared only
-    within a group and a beginning, if their lengths allow the distance.
+    within a group and a beginning, if their lengths and the letters that only one of them has allow the
+    distance. A null term counts nowhere, a null group only in freq. An empty table gives no rows.
     """
     require_text(df, terms, groups)
     if alternative not in METHODS:
@@ -92,10 +94,14 @@ def spell_check(
         seen = seen.where(~F.col("group").isin(*exclude))
     block = F.left("t", F.lit(str_)) if str_ else F.lit("")
     seen = seen.distinct().withColumn("block", block)
-    a, b = seen.withColumnRenamed("t", "t1"), seen.withColumnRenamed("t", "t2")
+    seen = seen.withColumn("k", letter_mask("t"))
+    a, b = seen.withColumnsRenamed({"t": "t1", "k": "k1"}), seen.withColumnsRenamed({"t": "t2", "k": "k2"})
     pairs = a.join(b, ["group", "block"]).where("t1 < t2")
     n, m = F.length("t1"), F.length("t2")
     pairs = pairs.where(1 - (F.least(n, m) / F.greatest(n, m) + 2) / 3 < jw)
+    # a letter that the other has not matches nothing
+    most = F.least(n - F.bit_count(F.expr("k1 & ~k2")), m - F.bit_count(F.expr("k2 & ~k1")))
+    pairs = pairs.where(1 - (most / n + most / m + 1) / 3 < jw + 1e-9)
     if str2:
         pairs = pairs.where(F.right("t1", F.lit(str2)) == F.right("t2", F.lit(str2)))
     for p in [*(f"^{p}" for p in pref or []), *(f"{s}$" for s in suff or [])]:
@@ -106,26 +112,27 @@ def spell_check(
     return scored.join(f1, "t1").join(f2, "t2").select("group", "t1", "t2", "m2", "freq1", "freq2")
 
 
-def replacements(synonyms: DataFrame, thresh: float) -> dict[str, str]:
-    """What clean_spell replaces: of each pair with m2 below thresh the rarer term by the commoner; equally common ones stay.
+def replacements(synonyms: DataFrame, thresh: float) -> DataFrame:
+    """(old, new): what clean_spell replaces: of each pair with m2 below thresh the rarer term by the commoner; equally common ones stay.
 
-    Chains are followed in the order of the pairs. The table of synonyms is read to the driver: it holds
-    vocabulary, not occurrences.
+    A term with several commoner ones takes the commonest, of equal ones the first in the alphabet; chains lead to
+    their end, each round of joins halving them. Repeated pairs count once; without a pair there are no rows.
     """
-    rows = synonyms.where(F.col("m2") < thresh).where("freq1 <> freq2").orderBy("t1", "t2", "group").select("t1", "t2", "freq1", "freq2").collect()
-    to: dict[str, str] = {}
-    for t1, t2, f1, f2 in rows:
-        low, high = (t1, t2) if f1 < f2 else (t2, t1)
-        to = {k: high if v == low else v for k, v in to.items()}
-        to.setdefault(low, high)
-    return {k: v for k, v in to.items() if k != v}
-
-
-def replace_names(df: DataFrame, column: str, to: dict[str, str]) -> DataFrame:
-    """df with the names of a column replaced, by a join."""
-    if not to:
-        return df
-    table = df.sparkSession.createDataFrame(list(to.items()), "__from string, __to string")
-    joined = df.join(table, F.col(column) == F.col("__from"), "left")
-    return joined.withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
-
+    first = F.col("freq1") < F.col("freq2")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    pairs = synonyms.where((F.col("m2") < thresh) & (F.col("freq1") != F.col("freq2"))).select(pick("t1", "t2").alias("old"), pick("t2", "t1").alias("new"), pick("freq2", "freq1").alias("f"))
+    to = written(pairs.groupBy("old").agg(F.min(F.struct(-F.col("f"), "new"))["new"].alias("new")), "replacements")
+    while True:
+        on = to.select(F.col("old").alias("new"), F.col("new").alias("end"))
+        further = to.join(on, "new", "left")
+        if further.where("end IS NOT NULL").isEmpty():
+            return to
+        last, to = to, written(further.select("old", F.coalesce("end", "new").alias("new")), "replacements")
+        drop(last)
+
+
+def replace_names(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """df with the names of a column replaced as (old, new) of replacements() says, by a join; all columns are kept."""
+    old, new = fresh(df, "old", "new")
+    joined = df.join(to.select(F.col("old").alias(old), F.col("new").alias(new)), F.col(column) == F.col(old), "left")
+    return joined.withColumn(column, F.coalesce(new, column)).drop(old, new)

@@ -65,9 +65,10 @@ CONFLICT = """h AS (SELECT p_type AS "class", p_brand AS "order", p_name AS fami
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of some documents as terms, in groups by language."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 40")
-    return d.select(F.col("lang").alias("groups"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("terms")).where(F.length("terms").between(4, 12))
+    """The first words of all lines of all documents as terms, in groups by language."""
+    line = F.explode(F.split(F.lower("text"), "\n"))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("groups"), line.alias("line"))
+    return d.select("groups", F.regexp_extract("line", "[a-z]+", 0).alias("terms")).where(F.length("terms").between(4, 12))
 
 
-VOCABULARY = """v AS (SELECT groups, terms FROM (SELECT lang AS groups, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS terms FROM documents WHERE doc_id < 40) WHERE length(terms) BETWEEN 4 AND 12)"""
+VOCABULARY = """v AS (SELECT groups, terms FROM (SELECT groups, regexp_extract(line, '[a-z]+') AS terms FROM (SELECT lang AS groups, unnest(string_split(lower(text), chr(10))) AS line FROM documents)) WHERE length(terms) BETWEEN 4 AND 12)"""

@@ -42,8 +42,52 @@ _WINDOW = """list_min(list_transform(range(0, greatest(0, length(t1) - length(t2
   / len(list_distinct(list_concat(string_split(substr(t1, i + 1, length(t2)), ''), string_split(t2, ''))))))"""
 
 
-@query("spell_check", f"""WITH {A.VOCABULARY}, d AS (SELECT DISTINCT * FROM v), f AS (SELECT terms, count(*) AS n FROM v GROUP BY 1),
+_PAIRS = f"""WITH {A.VOCABULARY}, d AS (SELECT DISTINCT * FROM v), f AS (SELECT terms, count(*) AS n FROM v GROUP BY 1),
 p AS (SELECT a.terms AS t1, b.terms AS t2, a.groups AS g FROM d a JOIN d b ON a.groups = b.groups AND left(a.terms, 1) = left(b.terms, 1) AND a.terms < b.terms WHERE 1 - jaro_similarity(a.terms, b.terms) < 0.1)
-SELECT t1, t2, g AS "group", x.n AS freq1, y.n AS freq2, round({_WINDOW}, 6) AS m2 FROM p JOIN f x ON x.terms = t1 JOIN f y ON y.terms = t2 WHERE NOT (t1 LIKE '%ing') = NOT (t2 LIKE '%ing')""")
+SELECT t1, t2, g AS "group", x.n AS freq1, y.n AS freq2, round({{m2}}, 6) AS m2 FROM p JOIN f x ON x.terms = t1 JOIN f y ON y.terms = t2"""
+
+
+@query("spell_check", _PAIRS.format(m2=_WINDOW) + " WHERE NOT (t1 LIKE '%ing') = NOT (t2 LIKE '%ing')")
 def spell_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.spell_check(A.vocabulary(spark, sf_dir), "terms", "groups", suff=["ing"]).withColumn("m2", F.round("m2", 6))
+
+
+def _spelled(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return names.spell_check(A.vocabulary(spark, sf_dir), "terms", "groups", **options).withColumn("m2", F.round("m2", 6))
+
+
+def _least(distance: str) -> str:
+    """The least distance of t2 from the stretches w of t1 of its length."""
+    each = distance.replace("{w}", "substr(t1, i + 1, length(t2))")
+    return f"list_min(list_transform(range(0, greatest(0, length(t1) - length(t2)) + 1), lambda i: {each}))"
+
+
+_COUNT = "(length({x}) - length(replace({x}, c, '')))"
+_LETTERS = "string_split('abcdefghijklmnopqrstuvwxyz', '')"
+_OVER = lambda e: f"list_sum(list_transform({_LETTERS}, lambda c: {e}))"
+_A, _B = _COUNT.format(x="{w}"), _COUNT.format(x="t2")
+
+
+@query("spell_check_lv", _PAIRS.format(m2=_least("levenshtein({w}, t2)::DOUBLE")) + " WHERE right(t1, 2) = right(t2, 2)")
+def spell_check_lv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelled(spark, sf_dir, alternative="lv", str2=2)
+
+
+@query("spell_check_dl", _PAIRS.format(m2=_least("damerau_levenshtein({w}, t2)::DOUBLE")) + " WHERE g <> 'de'")
+def spell_check_dl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelled(spark, sf_dir, alternative="dl", exclude=["de"])
+
+
+@query("spell_check_hamming", _PAIRS.format(m2=_least("CASE WHEN length({w}) = length(t2) THEN hamming({w}, t2)::DOUBLE ELSE CAST('inf' AS DOUBLE) END")) + " WHERE (t1 LIKE 'th%') = (t2 LIKE 'th%')")
+def spell_check_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelled(spark, sf_dir, alternative="hamming", pref=["th"])
+
+
+@query("spell_check_qgram", _PAIRS.format(m2=_least(_OVER(f"abs({_A} - {_B})") + "::DOUBLE")))
+def spell_check_qgram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelled(spark, sf_dir, alternative="qgram")
+
+
+@query("spell_check_cosine", _PAIRS.format(m2="greatest(0, " + _least(f"1 - {_OVER(f'{_A} * {_B}')} / sqrt({_OVER(f'{_A} * {_A}')} * {_OVER(f'{_B} * {_B}')})") + ")"))
+def spell_check_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelled(spark, sf_dir, alternative="cosine")
