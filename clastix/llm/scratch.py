@@ -11,13 +11,15 @@ from ..shared import collected, drop, fresh, shared_dir, written
 
 __all__ = ["bounded", "collected", "drop", "fresh", "row_key", "shared_dir", "sized", "written"]
 
-#: A side of a join is broadcast up to this many rows of one long; beyond it the join shuffles.
-BROADCAST_ROWS = 4_000_000
+#: A side of a join is broadcast up to so many bytes of values; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
-def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if it has at most limit rows, else as it is, so that the join shuffles."""
-    n = small.count() if rows is None else rows
+def sized(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """small with a broadcast hint if its values have at most limit bytes, else as it is, so that the join shuffles; a value of a fixed size counts as 8."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in small.dtypes if kind in ("string", "binary")]
+    each = sum(wide, F.lit(8 * (len(small.columns) - len(wide))))
+    n = small.agg(F.sum(each.cast("long"))).first()[0] or 0
     return F.broadcast(small) if n <= limit else small
 
 

@@ -56,7 +56,7 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def bench(spark):
-    return spark.createDataFrame([(1, text(50, 20), "x"), (1, text(50, 20), "x"), (2, None, "x"), (3, "", "x"), (None, text(2, 60), "x"), (4, "of the", "x"), (5, text(3, 50)[:60], "x")], "item_id long, text string, id string")
+    return spark.createDataFrame([(1, text(50, 20), "x"), (1, text(50, 20), "x"), (2, None, "x"), (3, "", "x"), (None, text(2, 60), "x"), (4, "of the", "x"), (5, " ".join(text(3, 50).split()[:9]), "x")], "item_id long, text string, id string")
 
 
 def grams(t: str) -> set:
@@ -84,11 +84,14 @@ def test_jaccard_edges(docs, empty):
     assert jaccard.deduplicated(empty).isEmpty()
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.8])
-def test_jaccard_brute_force(spark, monkeypatch, threshold):
+@pytest.mark.parametrize("threshold, hot, bytes_", [(0.3, 2000, 8 << 20), (0.8, 2000, 8 << 20), (0.3, 3, 1500), (0.8, 2, 400)])
+def test_jaccard_brute_force(spark, monkeypatch, threshold, hot, bytes_):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 300)
     monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 50)
     monkeypatch.setattr(jaccard, "CELL_TEXTS", 5)
+    monkeypatch.setattr(jaccard, "HOT_TEXTS", hot)
+    monkeypatch.setattr(jaccard, "CELL_BYTES", bytes_)
+    monkeypatch.setattr(jaccard, "VERIFY_BYTES", 5000)
     rng = random.Random(5)
     base = [text(k, 40).split() for k in range(12)]
     texts = []
@@ -122,9 +125,35 @@ def test_chain_of_similar_texts_is_one_group(spark):
     assert sorted(r.id for r in jaccard.losers(jaccard.Similar(copies, pairs)).collect()) == [*range(2, 43), 101]
 
 
+def longest_match(t: str, item: str) -> tuple | None:
+    """(words, place in the text, place in the item) of the longest match that counts, by trying every pair of places."""
+    d, w = WORD.findall(t.lower()), WORD.findall(item.lower())
+    need = min(decontaminate.MIN_WORDS, len(w))
+    found = []
+    for a in range(len(d)):
+        for b in range(len(w)):
+            k = 0
+            while a + k < len(d) and b + k < len(w) and d[a + k] == w[b + k]:
+                k += 1
+            if k >= need >= decontaminate.LEAST:
+                found.append((-k, a, b))
+    return (-min(found)[0], *min(found)[1:]) if found else None
+
+
+def test_decontamination_of_repeated_words_is_quick(spark):
+    """A megabyte of one word, and of two in turn, against items of the same: every place matches every place."""
+    junk = spark.createDataFrame([(1, "the " * 300_000), (2, "to be " * 200_000), (3, text(7, 30))], "doc_id long, text string")
+    items = spark.createDataFrame([(k, "the " * (100 + k)) for k in range(5)] + [(9, "be to " * 60)], "item_id long, text string")
+    began = time.perf_counter()
+    got = rows(decontaminate.matches(junk, items))
+    assert got == [*[(1, k, 100 + k, 0, 0) for k in range(5)], (2, 9, 120, 1, 0)]
+    assert time.perf_counter() - began < 20
+
+
 def test_decontamination_edges(docs, empty, bench):
-    got = rows(decontaminate.matches(docs, bench))
-    assert [(r[0], r[1], r[2], r[4]) for r in got] == [(11, 5, len(WORD.findall(text(3, 50)[:60])) if (11, 5) in {(r[0], r[1]) for r in got} else 0, 0)] * ((11, 5) in {(r[0], r[1]) for r in got}) + [(12, 1, 20, 0)]
+    items = [(1, text(50, 20)), (3, ""), (4, "of the"), (5, " ".join(text(3, 50).split()[:9]))]
+    want = sorted({(i, k, *m) for i, t, _ in RAW if i is not None and t for k, other in items if (m := longest_match(t, other))}, key=str)
+    assert rows(decontaminate.matches(docs, bench)) == want and {r[:2] for r in want} == {(11, 5), (12, 1)}
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns and {1, 9, None, 4, 5} <= {r.doc_id for r in kept.collect()} and 12 not in {r.doc_id for r in kept.collect()}
     assert decontaminate.matches(empty, bench).isEmpty() and decontaminate.matches(docs, bench.limit(0)).isEmpty()

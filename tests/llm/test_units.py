@@ -93,9 +93,58 @@ def test_distinct_pairs():
 
 
 def test_hot_cells_are_spread():
-    cells, ids = np.array([5, 5, 5, 5, 9, 9], np.uint32), np.arange(6)
-    assert len(set(jaccard._spread(cells, ids, {}, 1000).tolist())) == 2
-    assert len(set(jaccard._spread(cells, ids, {5: 4}, 1000).tolist())) == 5
+    cells, a, b = np.array([5] * 100 + [9] * 100, np.uint32), np.arange(200), np.arange(200) * 7
+    assert len(set(jaccard._cells(cells, a, b, {}, 1 << 40).tolist())) == 2
+    got = jaccard._cells(cells, a, b, {5: 3}, 1 << 40)
+    assert len(set(got[:100].tolist())) == 9 and len(set(got[100:].tolist())) == 1
+
+
+def test_units_of_frequent_ngrams_hold_each_pair():
+    ids = np.arange(40)
+    of, unit, side = jaccard._units(np.full(40, 77, np.uint64), np.full(40, 18, np.uint8), ids, 4)
+    pairs = []
+    for u in np.unique(unit):
+        at = np.flatnonzero(unit == u)
+        pairs += [tuple(sorted((of[i], of[j]))) for i in at for j in at if i < j and (side[i] == 0 or side[i] != side[j])]
+    assert len(pairs) == len(set(pairs)) == 40 * 39 // 2 and len(np.unique(unit)) > 10
+    few = jaccard._units(np.arange(5, dtype=np.uint64), np.full(5, 4, np.uint8), ids[:5], 4)
+    assert few[1].tolist() == [0, 1, 2, 3, 4] and not few[2].any()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 40), min_size=1, max_size=25), min_size=2, max_size=12), st.sampled_from([0.3, 0.4, 0.7, 1.0]), st.integers(0, 3))
+def test_filters_keep_every_similar_pair(sets, t, cut):
+    """All texts as one unit for each n-gram, or cut in two: every similar pair is made once at least, by its first common n-gram."""
+    df = {g: sum(g in s for s in sets) for s in sets for g in s}
+    mixed = {g: int(T_mix(g)) for g in df}
+    found = set()
+    post = []
+    for k, s in enumerate(sets):
+        own = sorted(s, key=lambda g: (df[g], mixed[g]))
+        shared = [g for g in own if df[g] > 1]
+        for i, g in enumerate(own):
+            if df[g] > 1 and i < len(own) - -(-t * len(own) // 1) + 1 + 1e-9:
+                later = [mixed[h] >> 61 for h in own[i + 1 :]]
+                tails = np.searchsorted(jaccard._LEVELS, [later.count(q) for q in range(8)])
+                at = shared.index(g)
+                post.append((g, (k < cut) + 1 if cut else 0, len(s), k, i, mixed[shared[at - 1]] & ((1 << 48) - 1) if at else 0, tails))
+    post.sort(key=lambda x: x[:4])
+    if post:
+        g, side, n, k, place, before = (np.array([p[c] for p in post], np.uint64 if c in (0, 5) else np.int64) for c in range(6))
+        for x, y in jaccard._made(t, g, side, n, place, before, np.array([p[6] for p in post], np.uint8)):
+            found |= {tuple(sorted(p)) for p in zip(k[x].tolist(), k[y].tolist())}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12}
+    assert {p for p in want if not cut or (p[0] < cut) != (p[1] < cut)} <= found
+
+
+def T_mix(g):
+    return tokens.mix(np.array([g + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+
+
+def test_layout_of_tables_of_all_sizes():
+    assert jaccard._layout(0)[1:] == (1, 1) and jaccard._layout(100_000_000) == (1_000_000, 100, 100)
+    block, buckets, parts = jaccard._layout(17 * 10**12)
+    assert block < 20_000_000 and block / buckets > 8 and parts <= jaccard.PARTITIONS
 
 
 def test_forest_and_secrets():
@@ -226,13 +275,124 @@ PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><
 
 def test_html():
     assert html.best(PAGE)[0] == "html>body>div.main-#.post"
-    assert html.text_of(PAGE, "html>body>div.main-#.post") == "One two\nthree & four\nfive"
-    assert html.text_of(PAGE, "html>body>section") is None
+    key = html.path_key
+    assert html.text_of(PAGE, key("html>body>div.main-#.post")) == ("html>body>div.main-#.post", "One two\nthree & four\nfive")
+    assert html.text_of(PAGE, key("html>body>section")) is None and html.text_of("a <b>b</b>", key("")) == ("", "a b")
     assert html.best("") is None and html.best("<nav>x</nav>") is None and html.best("just text")[0] == ""
     opened = [e for e in html.events("</p><div><p>a</span><td>b</div></div><") if e[0] != "text"]
     assert [e[0] for e in opened].count("open") == [e[0] for e in opened].count("close")
 
 
+#: The tags of a page by one expression, which takes quadratic time on some pages.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+HTML_PARTS = st.sampled_from(["<a ", "<b>", "</b>", "<p", "</", "<!--", "-->", "<script>", "</script >", "<STYLE x>", "</style>", "<![CDATA[", "]]>", "<!", "<?", '"', "'", ">", "<", " ", "=", "x", "/", "/>", "<td>", "<li>", "<ul>", "</ul>", "<div class='a1 b'>", "</div>", "<p>", "<scripty>", "\n"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(HTML_PARTS, max_size=24).map("".join))
+def test_html_tags_match_brute_force(page):
+    want = [(*m.span(), m[3] and m[3].lower(), m[2] == "/" if m[3] else False, m[4] or "" if m[3] else "") for m in TOKEN.finditer(page)]
+    assert [(a, z, t, c, x) for a, z, t, c, x in html.tags(page)] == want
+
+
+def brute_events(page):
+    """events() with a stack that is searched from its top for each tag."""
+    stack, at = [], 0
+    for m in TOKEN.finditer(page):
+        if m.start() > at:
+            yield "text", page[at : m.start()], ""
+        at = m.end()
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if m[2]:
+            if tag in stack:
+                while stack[-1] != tag:
+                    yield "close", stack.pop(), ""
+                yield "close", stack.pop(), ""
+            continue
+        ends = html.SAME.get(tag, set()) | ({"p"} if tag in html.ENDS_P else set())
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k] in ends:
+                while len(stack) > k:
+                    yield "close", stack.pop(), ""
+                break
+            if stack[k] in html.CONTAINERS or stack[k] in ("ul", "ol", "dl", "table"):
+                break
+        yield "open", tag, m[4]
+        if tag in html.VOID or m[4].endswith("/") and tag not in html.BLOCKS:
+            yield "close", tag, ""
+        else:
+            stack.append(tag)
+    if at < len(page):
+        yield "text", page[at:], ""
+    while stack:
+        yield "close", stack.pop(), ""
+
+
+def brute_scores(page):
+    """Scores by the names of paths."""
+    out, path, quiet, link, boxes = {}, [], 0, 0, [["", 0.0]]
+    for what, value, attributes in brute_events(page):
+        if what == "text":
+            if not quiet:
+                n = len(" ".join(value.split()))
+                boxes[-1][1] += -n if link else n
+            continue
+        sign = 1 if what == "open" else -1
+        quiet += sign * (value in html.NOISE)
+        link += sign * (value == "a")
+        if what == "open":
+            path.append(html._step(value, attributes))
+            if value in html.CONTAINERS:
+                boxes.append([">".join(path), 0.0])
+        else:
+            path.pop()
+            if value in html.CONTAINERS:
+                name, got = boxes.pop()
+                out[name] = out.get(name, 0.0) + got
+                boxes[-1][1] += max(0.0, got) / 2
+    return out | ({"": boxes[0][1]} if boxes[0][1] else {})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(HTML_PARTS, max_size=24).map("".join))
+def test_html_scores_and_texts_match_brute_force(page):
+    assert list(html.events(page)) == list(brute_events(page))
+    paths, got = html.scores(page)
+    want = brute_scores(page)
+    assert {paths.name(k): v for k, v in got.items()} == want
+    top = max(((v, len(k)) for k, v in want.items() if v > 0), default=None)
+    mine = html.best(page)
+    assert (mine and (mine[1], len(mine[0]))) == top
+    if mine:
+        assert html.text_of(page, html.path_key(mine[0]))[0] == mine[0]
+
+
+JUNK = {
+    "open": "<a " * 330_000,
+    "closed": "<a " * 330_000 + ">",
+    "quote": "<a '" * 250_000 + ">",
+    "quotes": "<a '<b \"" * 125_000 + ">",
+    "names": "<a" * 500_000,
+    "script": "<script " * 125_000,
+    "nested": "<div>" * 100_000 + "text" + "</div>" * 100_000,
+    "unclosed": "<b>" * 100_000 + "<h1></h1>" * 70_000,
+    "wall": "<td>" + "<b>" * 100_000 + "<h1></h1>" * 70_000,
+    "ends": "<b>" * 150_000 + "</i>" * 130_000,
+    "comments": "<!--" * 250_000,
+    "less": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", JUNK)
+def test_html_of_long_junk_is_quick(name):
+    began = time.perf_counter()
+    got = html.best(JUNK[name])
+    html.text_of(JUNK[name], html.path_key(got[0] if got else "body"))
+    assert time.perf_counter() - began < 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/pdiv ab=\"'!-", max_size=60))
 def test_html_is_always_nested(page):
