@@ -72,3 +72,25 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VOCABULARY = """v AS (SELECT groups, terms FROM (SELECT groups, regexp_extract(line, '[a-z]+') AS terms FROM (SELECT lang AS groups, unnest(string_split(lower(text), chr(10))) AS line FROM documents)) WHERE length(terms) BETWEEN 4 AND 12)"""
+
+
+def tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families (200 of them, of orders) below two orders of one class, below one order with gaps, or below several: 0, 1, 2 of kind."""
+    k, h = F.col("o_custkey") % 200, F.col("o_orderkey") % 5
+    one = lambda j: F.concat(F.lit("Ord"), F.translate((k % 8).cast("string"), "01234567", "bcdfghjk"), F.lit("o"), F.translate(j.cast("string"), "01234", "npqrs"), F.lit("ales"))
+    order = F.when(k % 3 == 0, one(F.when(h < 3, 1).otherwise(2))).when((k % 3 == 1) & (h < 2), None).when(k % 3 == 1, one(F.lit(1))).otherwise(one(h % 4))
+    name = F.translate(F.lpad(k.cast("string"), 3, "0"), "012", "BCD").substr(1, 1)
+    family = F.concat(name, F.translate((k / 10).cast("int") % 10, "0123456789", "npqrstvwxz"), F.lit("o"), F.translate(k % 10, "0123456789", "bcdfghjklm"), F.lit("idae"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Class"), F.translate((k % 8).cast("string"), "01234567", "bcdfghjk")).alias("class"), order.alias("order"), family.alias("family"))
+
+
+TANGLED = """o AS (SELECT o_orderkey, o_custkey % 200 AS k, o_orderkey % 5 AS h FROM orders),
+q AS (SELECT *, translate(CAST(k % 8 AS VARCHAR), '01234567', 'bcdfghjk') AS c, CASE WHEN k % 3 = 0 THEN CASE WHEN h < 3 THEN 1 ELSE 2 END WHEN k % 3 = 1 AND h >= 2 THEN 1 WHEN k % 3 = 2 THEN h % 4 END AS j,
+  translate(left(lpad(CAST(k AS VARCHAR), 3, '0'), 1), '012', 'BCD') || translate(CAST(k // 10 % 10 AS VARCHAR), '0123456789', 'npqrstvwxz') || 'o' || translate(CAST(k % 10 AS VARCHAR), '0123456789', 'bcdfghjklm') || 'idae' AS family FROM o),
+x AS (SELECT o_orderkey, 'Class' || c AS "class", 'Ord' || c || 'o' || translate(CAST(j AS VARCHAR), '01234', 'npqrs') || 'ales' AS "order", family FROM q)"""
+#: x with its conflicts resolved: of two orders the commoner, a gap filled, a letter for each of three parents or more.
+RESOLVED = """l AS (SELECT "class", "order", family, count(*) AS n FROM x GROUP BY ALL),
+f AS (SELECT family, count("order") AS orders, CAST(bool_or("order" IS NULL) AS INTEGER) AS gap, arg_min("order", (-n, "order")) FILTER ("order" IS NOT NULL) AS best FROM l GROUP BY family),
+m AS (SELECT "class" AS c0, "order" AS o0, family, row_number() OVER (PARTITION BY family ORDER BY "order" IS NULL, "order") AS k FROM l),
+y AS (SELECT o_orderkey, "class", CASE WHEN orders + gap = 2 THEN best ELSE "order" END AS "order", CASE WHEN orders + gap > 2 THEN x.family || chr(CAST(64 + k AS INTEGER)) ELSE x.family END AS family
+  FROM x JOIN f USING (family) JOIN m ON m.family = x.family AND m.o0 IS NOT DISTINCT FROM x."order")"""

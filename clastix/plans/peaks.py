@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import density, peaks
 from . import adapters as A
-from .density import POINTS
+from .density import KERNEL, POINTS
 from .ranges import query
 
-PEAKS = POINTS.replace("WITH ", "WITH ", 1) + """, h AS (SELECT taxon, a + bin AS t, CAST(ceil(c / (1 / CAST(0.1 AS DOUBLE))) AS BIGINT) AS v FROM b JOIN t USING (taxon)),
+_HIST = POINTS + """, h AS (SELECT taxon, a + bin AS t, CAST(ceil(c / (1 / CAST(0.1 AS DOUBLE))) AS BIGINT) AS v FROM b JOIN t USING (taxon)),"""
+_KDE = POINTS + KERNEL + """, h AS (SELECT taxon, a + bin AS t, y AS v FROM k JOIN b USING (taxon, bin) JOIN t USING (taxon)),"""
+_TOPS = """
 sp AS (SELECT taxon, unnest(range(CAST(min(t) AS BIGINT), CAST(max(t) AS BIGINT) + 1)) AS t FROM h GROUP BY 1),
 de AS (SELECT sp.taxon, CAST(sp.t AS DOUBLE) AS t, coalesce(v, 0) AS v FROM sp LEFT JOIN h ON h.taxon = sp.taxon AND h.t = sp.t),
 ix AS (SELECT *, row_number() OVER w AS i, lag(v) OVER w AS lv FROM de WINDOW w AS (PARTITION BY taxon ORDER BY t DESC)),
@@ -24,6 +26,7 @@ te AS (SELECT *, list_max(s[5:7]) > list_avg(s) AS m0, list_max(s[5:7]) > list_a
 pe AS (SELECT taxon, k, t, v, n, n = 1 OR m0 OR (top = 1 AND NOT bool_or(m0) OVER (PARTITION BY taxon)) AS sig_mean, n = 1 OR d0 OR (top = 1 AND NOT bool_or(d0) OVER (PARTITION BY taxon)) AS sig_mean_sd FROM te),
 tr AS (SELECT ex.taxon, ex.k, ex.t, ex.v, sig_mean, sig_mean_sd FROM ex JOIN pe ON NOT ex.pk AND ex.taxon = pe.taxon AND ex.k = pe.k WHERE ex.k < n),
 allp AS (SELECT taxon, CAST(2 * k - 1 AS INTEGER) AS seq, 'peak' AS kind, t, CAST(v AS DOUBLE) AS value, sig_mean, sig_mean_sd FROM pe UNION ALL SELECT taxon, CAST(2 * k AS INTEGER), 'trough', t, CAST(v AS DOUBLE), sig_mean, sig_mean_sd FROM tr)"""
+PEAKS = _HIST + _TOPS
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,12 @@ def threshold_ranges_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.threshold_ranges(A.occ_brand(spark, sf_dir), method="histogram", thresh=3, use_sd=False).data
 
 
-@query("threshold_ranges_kernel")
+@query("threshold_ranges_kernel", _KDE + _TOPS + _CUTS.replace("sig_mean ", "sig_mean_sd ") + """, sl AS (SELECT genus, len(list_filter(cuts, lambda c: c < max_ma - (max_ma - min_ma) / 2)) + 1 AS g FROM occ LEFT JOIN cu ON taxon = genus),
+na AS (SELECT genus || '_' || g || '/' || max(g) OVER (PARTITION BY genus) AS split FROM sl) SELECT split, count(*) AS n FROM na GROUP BY 1""")
 def threshold_ranges_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.threshold_ranges(A.occ_brand(spark, sf_dir), thresh=3).data.groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("find_peaks_kernel", _KDE + _TOPS + " SELECT taxon, seq, kind, t, round(value, 8) AS value, sig_mean, sig_mean_sd FROM allp")
+def find_peaks_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peaks.find_peaks(density.densify(A.occ_brand(spark, sf_dir), method="kernel")).withColumn("value", F.round("value", 8))

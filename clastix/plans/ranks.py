@@ -74,7 +74,12 @@ def update_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.update_graph(g, g.edges.where("parent = 'ASIA'")).vertices
 
 
-@query("resolve_duplicates")
+@query("resolve_duplicates", f"""WITH {A.TANGLED}, {A.RESOLVED} SELECT o_orderkey, "class", "order", family FROM y""")
 def resolve_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = A.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("1"), "p_type").alias("class"), F.concat(F.lit("2"), "p_brand").alias("order"), F.concat(F.lit("3"), "p_name").alias("family"))
-    return ranks.resolve_duplicates(x, R)
+    return ranks.resolve_duplicates(A.tangled(spark, sf_dir), R)
+
+
+@query("find_duplicates_tangled", f"""WITH {A.TANGLED}, l AS (SELECT DISTINCT "class", "order", family FROM x), k AS (SELECT DISTINCT "class", "order" FROM x WHERE "order" IS NOT NULL)
+SELECT family AS taxon, 'family' AS rank FROM l GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT "order", 'order' FROM k GROUP BY 1 HAVING count(*) > 1""")
+def find_duplicates_tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.find_duplicates(A.tangled(spark, sf_dir), R)

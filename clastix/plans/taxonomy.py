@@ -16,14 +16,37 @@ from .ranges import _CODE, X, query
 _RANKS = ["class", "order", "family"]
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = A.table(spark, sf_dir, "part")
-    return x.select("p_partkey", F.concat(F.lit("Type"), F.lower("p_type")).alias("class"), F.concat(F.lit("Brand"), F.translate(F.lower("p_brand"), "brand#0123456789", "klmnop" + "abcdefghij")).alias("order"), F.replace("p_name", F.lit(" "), F.lit("")).alias("family"))
+def _soiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tangled families, some in small letters, with a remark in brackets, or with an e too many."""
+    x, n = A.tangled(spark, sf_dir), F.col("o_orderkey")
+    name = F.when(n % 11 == 0, F.concat("family", F.lit("e"))).when(n % 7 == 0, F.concat("family", F.lit(" (x)"))).when(n % 13 == 0, F.lower("family")).otherwise(F.col("family"))
+    return x.withColumn("family", name)
 
 
-@query("check_taxonomy")
+#: The rarer of a family and its misspelling is replaced by the other if an order has both; equally common ones stay.
+_SPELLED = """s AS (SELECT o_orderkey, "class", "order", CASE WHEN o_orderkey % 11 = 0 THEN family || 'e' ELSE family END AS family FROM x),
+n AS (SELECT family, count(*) AS f FROM s GROUP BY 1),
+p AS (SELECT DISTINCT a.family AS t1, a."order" AS g FROM s a JOIN s b ON a."order" = b."order" AND b.family = a.family || 'e'),
+w AS (SELECT t1, t1 || 'e' AS t2, g, u.f AS freq1, v.f AS freq2 FROM p JOIN n u ON u.family = t1 JOIN n v ON v.family = t1 || 'e'),
+r AS (SELECT DISTINCT CASE WHEN freq1 < freq2 THEN t1 ELSE t2 END AS old, CASE WHEN freq1 < freq2 THEN t2 ELSE t1 END AS new FROM w WHERE freq1 <> freq2)"""
+_WHOLE = {"clean_name": True, "clean_spell": True, "resolve_duplicates": True}
+
+
+@query("check_taxonomy", f"WITH {A.TANGLED}, {_SPELLED}, {A.RESOLVED.replace('FROM x GROUP BY ALL', 'FROM z GROUP BY ALL').replace('FROM x JOIN f', 'FROM z AS x JOIN f').replace('l AS (SELECT', 'z AS (SELECT o_orderkey, \"class\", \"order\", coalesce(new, family) AS family FROM s LEFT JOIN r ON old = family), l AS (SELECT', 1)} " + """SELECT o_orderkey, "class", "order", family FROM y""")
 def check_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.check_taxonomy(_parts(spark, sf_dir), _RANKS, "p_partkey", clean_name=True, clean_spell=True, resolve_duplicates=True).data
+    return taxonomy.check_taxonomy(_soiled(spark, sf_dir), _RANKS, "o_orderkey", **_WHOLE).data
+
+
+@query("check_taxonomy_formatting", f"""WITH {A.TANGLED} SELECT t AS "check", 'family' AS rank, o_orderkey AS row_id FROM x, (VALUES ('non_letter'), ('word_count')) AS v(t) WHERE o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0""")
+def check_taxonomy_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.check_taxonomy(_soiled(spark, sf_dir), _RANKS, "o_orderkey", routine=("format_check",)).formatting
+
+
+@query("check_taxonomy_synonyms", f"""WITH {A.TANGLED}, {_SPELLED} SELECT 'family' AS level, g AS "group", t1, t2, 0.0::DOUBLE AS m2, freq1, freq2 FROM w""")
+def check_taxonomy_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that differ by the letters of one name; names of one length differ by more."""
+    found = taxonomy.check_taxonomy(_soiled(spark, sf_dir), _RANKS, "o_orderkey", **_WHOLE).synonyms
+    return found.where("level = 'family' AND m2 < 0.05").select("level", "group", "t1", "t2", "m2", "freq1", "freq2")
 
 
 _URLS = {
