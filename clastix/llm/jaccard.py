@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as T
 from .groups import runs
-from .scratch import bounded, drop, fresh, row_key, sized, written
+from .scratch import bounded, collected, drop, fresh, row_key, sized, written
 
 N = 5
 THRESHOLD = 0.4
@@ -40,7 +40,7 @@ HOT_TEXTS = 2_000
 #: Texts, and bytes of their sets, of one unit of pairs.
 CELL_TEXTS, CELL_BYTES = 2_500, 8 << 20
 #: Bytes of sets that a verifying task reads, about.
-VERIFY_BYTES = 32 << 20
+VERIFY_BYTES = 8 << 20
 #: Pairs that a task makes at a time.
 PAIRS_AT_ONCE = 500_000
 
@@ -495,11 +495,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     others = by_id.where(F.size("v") > 1).select("id", F.inline(F.slice("v", F.lit(2), F.size("v"))))
     extra = written(copies.unionByName(others).select(row_key("id", "h1", "h2").alias("k")), "extra")
     apart = hashed(texts).withColumn("k", row_key("id", "h1", "h2")).join(sized(extra), "k", "left_anti").select("id", "text")
-    return Similar(groups.select(F.col("ids")[0].alias("id"), "ids"), _pairs(apart, texts.agg(F.sum(F.length("text"))).first()[0] or 0, n, threshold))
+    pairs = _pairs(apart, texts.agg(F.sum(F.length("text"))).first()[0] or 0, n, threshold)
+    drop(extra)
+    return Similar(groups.select(F.col("ids")[0].alias("id"), "ids"), pairs)
 
 
 def all_pairs(found: Similar) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: each similar pair once, copies with all their partners. As large as the result of a join is."""
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: each similar pair once, copies with all their partners.
+
+    As large as the result of a join is: quadratic in the size of a group of copies. Ids are never null (join() leaves
+    such rows out), rows that repeat an id are one text, and without copies and pairs there are no rows.
+    """
     lists = found.copies
     within = lists.select(F.explode("ids").alias("doc_a"), "ids").select("doc_a", F.explode(F.filter("ids", lambda x: x > F.col("doc_a"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
     a, b = lists.select(F.col("id").alias("a"), F.col("ids").alias("as")), lists.select(F.col("id").alias("b"), F.col("ids").alias("bs"))
@@ -509,7 +515,7 @@ def all_pairs(found: Similar) -> DataFrame:
 
 
 def losers(found: Similar) -> DataFrame:
-    """(id): of each group of texts that similar pairs connect, all but the least id.
+    """(id): of each group of texts that similar pairs connect, all but the least id; no rows if nothing is similar.
 
     Components by large-star and small-star steps, over a written table in each round; a copy joins its
     group's least id at the start, so that rounds see one text of each set of equal ones.
@@ -541,7 +547,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     name, rank = fresh(docs, "id", "rank")
     key = F.col(id_col).cast("long")
-    out = sized(losers(join(docs, id_col, text_col, n, threshold)).withColumnRenamed("id", name))
+    with collected() as made:
+        found = join(docs, id_col, text_col, n, threshold)
+    out = sized(losers(found).withColumnRenamed("id", name))
+    drop(*made)
     many = written(docs.groupBy(key.alias(name)).count().where(F.col("count") > 1).where(F.col(name).isNotNull()).select(name), "repeated")
     kept = docs.join(out, key == F.col(name), "left_anti")
     if many.isEmpty():
