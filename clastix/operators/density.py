@@ -23,7 +23,21 @@ def points(df: DataFrame, rank: str, srt: str, end: str, density: float) -> Data
     return sampled.groupBy("taxon", F.greatest(F.col("s") - F.col("k") * d, F.col("e")).alias("p")).agg(F.sum("w").alias("w"))
 
 
-def _binned(pts: DataFrame, step: float) -> tuple[DataFrame, DataFrame]:
+#: Kernels of standard deviation 1: the reach, and the height at a distance u within it.
+KERNELS = {
+    "gaussian": (None, lambda u: F.exp(-0.5 * u * u) / math.sqrt(2 * math.pi)),
+    "rectangular": (math.sqrt(3), lambda u: F.lit(0.5 / math.sqrt(3))),
+    "triangular": (math.sqrt(6), lambda u: (1 - F.abs(u) / math.sqrt(6)) / math.sqrt(6)),
+    "epanechnikov": (math.sqrt(5), lambda u: 0.75 * (1 - u * u / 5) / math.sqrt(5)),
+    "biweight": (math.sqrt(7), lambda u: 15 / 16 * F.pow(1 - u * u / 7, F.lit(2)) / math.sqrt(7)),
+    "cosine": (1 / math.sqrt(1 / 3 - 2 / math.pi**2), lambda u: (1 + F.cos(u * (math.pi * math.sqrt(1 / 3 - 2 / math.pi**2)))) * (math.sqrt(1 / 3 - 2 / math.pi**2) / 2)),
+    "optcosine": (1 / math.sqrt(1 - 8 / math.pi**2), lambda u: F.cos(u * (math.pi / 2 * math.sqrt(1 - 8 / math.pi**2))) * (math.pi / 4 * math.sqrt(1 - 8 / math.pi**2))),
+}
+#: Rules of thumb for the bandwidth: the factor of the lesser of deviation and scaled quartile range.
+RULES = {"nrd0": 0.9, "nrd": 1.06}
+
+
+def _binned(pts: DataFrame, step: float, bw: str | float = "nrd0", adjust: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(taxon, a, z, n, all, bw) for each taxon: lower and upper edge, bins, samples, bandwidth; and (taxon, bin, c)."""
     mean = F.sum(F.col("p") * F.col("w")) / F.sum("w")
     var = (F.sum(F.col("p") * F.col("p") * F.col("w")) - F.sum("w") * mean * mean) / (F.sum("w") - 1)
@@ -33,17 +47,19 @@ def _binned(pts: DataFrame, step: float) -> tuple[DataFrame, DataFrame]:
     )
     low = F.least("sd", F.col("iqr") / 1.34)
     low = F.when(low > 0, low).when(F.col("sd") > 0, F.col("sd")).when(F.col("x1") > 0, F.col("x1")).otherwise(1.0)
-    t = t.select("taxon", "a", "z", F.greatest(F.lit(1), F.ceil((F.col("z") - F.col("a")) / step)).cast("int").alias("n"), "all", (0.9 * low * F.pow("all", F.lit(-0.2))).alias("bw"))
+    t = t.select("taxon", "a", "z", F.greatest(F.lit(1), F.ceil((F.col("z") - F.col("a")) / step)).cast("int").alias("n"), "all", (adjust * (RULES[bw] * low * F.pow("all", F.lit(-0.2)) if isinstance(bw, str) else F.lit(float(bw)))).alias("bw"))
     at = pts.join(t.select("taxon", "a"), "taxon").select("taxon", "w", F.greatest(F.lit(1), F.ceil((F.col("p") - F.col("a")) / step - 1e-7)).cast("int").alias("bin"))
     return t, at.groupBy("taxon", "bin").agg(F.sum("w").alias("c"))
 
 
-def _kernel(pts: DataFrame, t: DataFrame) -> DataFrame:
-    """(taxon, bin, y): the exact Gaussian sum at n ages from the lower to the upper edge."""
+def _kernel(pts: DataFrame, t: DataFrame, kernel: str = "gaussian") -> DataFrame:
+    """(taxon, bin, y): the exact sum of kernels at n ages from the lower to the upper edge."""
     place = F.when(F.col("n") > 1, F.col("a") + (F.col("bin") - 1) * ((F.col("z") - F.col("a")) / (F.col("n") - 1))).otherwise(F.col("a"))
     grid = t.withColumn("bin", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("x", place.cast("double"))
     u = (F.col("x") - F.col("p")) / F.col("bw")
-    y = F.sum(F.col("w") * F.exp(-0.5 * u * u)) / (F.first("all") * F.first("bw") * math.sqrt(2 * math.pi))
+    reach, height = KERNELS[kernel]
+    each = height(u) if reach is None else F.when(F.abs(u) < reach, height(u)).otherwise(0.0)
+    y = F.sum(F.col("w") * each) / (F.first("all") * F.first("bw"))
     out = grid.join(pts, "taxon").groupBy("taxon", "bin").agg(y.alias("y"), F.first("n").alias("n"))
     total = F.sum("y").over(Window.partitionBy("taxon"))
     return out.select("taxon", "bin", F.when(F.col("n") == 1, 1.0).when(total == 0, 1 / (F.col("n") + 1)).otherwise(F.col("y")).alias("y"))
@@ -58,21 +74,24 @@ def _check(df: DataFrame, rank: str, srt: str, end: str, step: float, density: f
         assert_ranges(df, srt, end)
 
 
-def densify(df: DataFrame, rank: str = "genus", srt: str = "max_ma", end: str = "min_ma", step: int = 1, density: float = 0.1, method: tuple[str, ...] | str = ("histogram", "kernel"), validate: bool = False) -> DataFrame:
+def densify(df: DataFrame, rank: str = "genus", srt: str = "max_ma", end: str = "min_ma", step: int = 1, density: float = 0.1, method: tuple[str, ...] | str = ("histogram", "kernel"), validate: bool = False, bw: str | float = "nrd0", adjust: float = 1.0, kernel: str = "gaussian") -> DataFrame:
     """(taxon, t, hist, kdensity): the density of each taxon in the bins where it occurs; t is a bin's older edge.
 
-    hist is the number of ranges sampled in the bin, kdensity the Gaussian kernel density of the samples,
-    with the usual rule-of-thumb bandwidth. Bins without samples are left out (see dense()).
+    hist is the number of ranges sampled in the bin, kdensity the kernel density of the samples. kernel is one of
+    KERNELS, bw the bandwidth (its standard deviation) or one of RULES, adjust a factor of it. Bins without samples are
+    left out (see dense()). Rows without a taxon or an age don't count; an empty table gives no rows.
     """
+    if kernel not in KERNELS or isinstance(bw, str) and bw not in RULES or not isinstance(bw, str) and bw <= 0 or adjust <= 0:
+        raise ValueError(f"kernel is one of {[*KERNELS]}; bw one of {[*RULES]} or above 0; adjust above 0")
     _check(df, rank, srt, end, step, density, validate)
     methods = {method} if isinstance(method, str) else set(method)
     if not methods or not methods <= {"histogram", "kernel"}:
         raise ValueError("method is one or both of histogram and kernel")
     pts = points(df, rank, srt, end, density)
-    t, bins = _binned(pts, step)
+    t, bins = _binned(pts, step, bw, adjust)
     out = bins.join(t.select("taxon", "a"), "taxon").select("taxon", "bin", (F.col("a") + F.col("bin") * step).cast("double").alias("t"), F.ceil(F.col("c") / (step / density)).cast("long").alias("hist"))
     if "kernel" in methods:
-        out = out.join(_kernel(pts, t), ["taxon", "bin"]).withColumnRenamed("y", "kdensity")
+        out = out.join(_kernel(pts, t, kernel), ["taxon", "bin"]).withColumnRenamed("y", "kdensity")
     return out.drop("bin", *(["hist"] if "histogram" not in methods else []))
 
 
@@ -80,7 +99,7 @@ def dense(profile: DataFrame, step: int = 1, common: bool = False) -> DataFrame:
     """A profile with rows of zeros for the bins between a taxon's first and last one or, with common, between those of all taxa."""
     edges = profile.groupBy("taxon").agg(F.min("t").cast("long").alias("lo"), F.max("t").cast("long").alias("hi"))
     if common:
-        edges = edges.select("taxon").crossJoin(F.broadcast(profile.agg(F.min("t").cast("long").alias("lo"), F.max("t").cast("long").alias("hi"))))
+        edges = edges.select("taxon").crossJoin(F.broadcast(profile.agg(F.min("t").cast("long").alias("lo"), F.max("t").cast("long").alias("hi"))))  # one row
     spine = edges.select("taxon", F.explode(F.transform(F.sequence("lo", "hi", F.lit(step).cast("long")), lambda x: x.cast("double"))).alias("t"))
     return spine.join(profile, ["taxon", "t"], "left").fillna(0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FlagResult, RevisionResult, assert_ranges, require, require_number
+from ..shared import fresh, written
 from .ages import age_ranges
 
 CODES = ("000", "R1R", "0R1", "1R0", "0R0", "00R", "R00")
@@ -52,19 +53,23 @@ def reference_ranges(y: DataFrame, ycols: tuple[str, str, str]) -> DataFrame:
 
 
 def flag_occurrences(x: DataFrame, ranges: DataFrame, xcols: tuple[str, str, str], flag_diff: list[float], compat: bool = False) -> DataFrame:
-    """x with status, fad_diff, lad_diff and a pair of flags for each threshold. x may be a stream."""
+    """x with status, fad_diff, lad_diff and a pair of flags for each threshold. x may be a stream.
+
+    All columns of x stay; a result whose name x has already gets underscores behind it.
+    """
     taxon, srt, end = xcols
-    out = x.join(ranges, F.col(taxon).cast("string") == F.col("__t"), "left")
-    m, n, f, l = (F.col(c).cast("double") for c in (srt, end, "__f", "__l"))  # noqa: E741
-    out = out.withColumn("status", range_code(m, n, f, l))
-    fad = F.when(F.col("status").isin("0R0", "00R", "0R1"), m - f)
-    lad = F.when(F.col("status").isin("0R0", "R00", "1R0"), (f if compat else l) - n)
-    flags = {}
+    t, f, l = fresh(x, "t", "f", "l")  # noqa: E741
+    out = x.join(ranges.toDF(t, f, l), F.col(taxon).cast("string") == F.col(t), "left")
+    m, n, f, l = (F.col(c).cast("double") for c in (srt, end, f, l))  # noqa: E741
+    code = range_code(m, n, f, l)
+    fad = F.when(code.isin("0R0", "00R", "0R1"), m - f)
+    lad = F.when(code.isin("0R0", "R00", "1R0"), (f if compat else l) - n)
+    made = {"status": code, "fad_diff": F.round(fad, 2), "lad_diff": F.round(lad, 2)}
     for d in flag_diff:
         name = f"{d:g}".replace(".", "_")
-        flags[f"fad_flag_{name}"] = F.coalesce((fad >= float(d)).cast("int"), F.lit(0))
-        flags[f"lad_flag_{name}"] = F.coalesce((lad >= float(d)).cast("int"), F.lit(0))
-    return out.withColumns({"fad_diff": F.round(fad, 2), "lad_diff": F.round(lad, 2), **flags}).drop("__t", "__f", "__l")
+        made[f"fad_flag_{name}"] = F.coalesce((fad >= float(d)).cast("int"), F.lit(0))
+        made[f"lad_flag_{name}"] = F.coalesce((lad >= float(d)).cast("int"), F.lit(0))
+    return out.select(*[x[c] for c in x.columns], *[v.alias(k) for k, v in zip(fresh(x, *made), made.values())])
 
 
 def flag_ranges(x: DataFrame, y: DataFrame, xcols: tuple[str, str, str], ycols: tuple[str, str, str] | None = None, flag_diff: float | list[float] = 5, compat: bool = False) -> FlagResult:
@@ -73,7 +78,9 @@ def flag_ranges(x: DataFrame, y: DataFrame, xcols: tuple[str, str, str], ycols:
     xcols and ycols: taxon, start and end. y may have several rows per taxon; their widest range counts.
     Differences are to two places, flags are of the exact ones. A taxon without a range has status 000 in
     the summary too. compat keeps two known slips of the original: lad_diff measured from the FAD, and
-    0R1 for taxa that cross both ends in different occurrences.
+    0R1 for taxa that cross both ends in different occurrences. An occurrence without a taxon or an age is 000 and
+    counts in no summary; repeated rows are flagged each; an empty x gives empty results. Columns of x stay, see
+    flag_occurrences().
     """
     require(x, *xcols)
     require(y, *(ycols or xcols))
@@ -100,22 +107,33 @@ def flag_ranges(x: DataFrame, y: DataFrame, xcols: tuple[str, str, str], ycols:
 def intersect_ranges(df: DataFrame, srt: str = "max_ma", end: str = "min_ma", by: list[str] | None = None, validate: bool = False) -> DataFrame:
     """(by, lb, ub, N): where most closed intervals of each group overlap, every such stretch, and how many do.
 
-    A sweep over endpoints: +1 where an interval starts, -1 after it ends. Without by all rows are one group.
+    A sweep over endpoints: +1 where an interval starts, -1 after it ends. Without by all rows are one group, whose
+    endpoints are swept in parts: sorted over all tasks, summed part by part, each part beginning at the sum of those before.
+    Rows without an age don't count; an empty table gives no rows.
     """
     require_number(df, srt, end)
     if validate:
         assert_ranges(df, srt, end)
     keys = list(by or [])
+    v, o, d = fresh(df, "v", "o", "d")
     lo, hi = F.col(end).cast("double"), F.col(srt).cast("double")
     points = (
         df.where(lo.isNotNull() & hi.isNotNull())
-        .select(*keys, F.inline(F.array(F.struct(lo.alias("v"), F.lit(0).alias("o"), F.lit(1).alias("d")), F.struct(hi.alias("v"), F.lit(1).alias("o"), F.lit(-1).alias("d")))))
-        .groupBy(*keys, "v", "o")
-        .agg(F.sum("d").alias("d"))
+        .select(*keys, F.inline(F.array(F.struct(lo.alias(v), F.lit(0).alias(o), F.lit(1).alias(d)), F.struct(hi.alias(v), F.lit(1).alias(o), F.lit(-1).alias(d)))))
+        .groupBy(*keys, v, o)
+        .agg(F.sum(d).alias(d))
     )
-    order = Window.partitionBy(*keys).orderBy("v", "o")
-    swept = points.withColumn("N", F.sum("d").over(order)).withColumn("ub", F.lead("v").over(order)).withColumn("top", F.max("N").over(Window.partitionBy(*keys)))
-    return swept.where((F.col("o") == 0) & (F.col("N") == F.col("top"))).select(*keys, F.col("v").alias("lb"), "ub", F.col("N").cast("long").alias("N"))
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(v, o)
+        swept = points.withColumns({"N": F.sum(d).over(order), "ub": F.lead(v).over(order)}).withColumn("top", F.max("N").over(Window.partitionBy(*keys)))
+    else:
+        parts = written(points.repartitionByRange(v, o).withColumn("p", F.spark_partition_id()), "endpoints")
+        along = Window.orderBy("p")  # over one row for each part
+        each = parts.groupBy("p").agg(F.sum(d).alias("s"), F.min(v).alias("first")).select("p", (F.sum("s").over(along) - F.col("s")).alias("so_far"), F.lead("first").over(along).alias("next"))
+        order = Window.partitionBy("p").orderBy(v, o)
+        swept = parts.join(F.broadcast(each), "p").withColumns({"N": F.sum(d).over(order) + F.col("so_far"), "ub": F.coalesce(F.lead(v).over(order), "next")})
+        swept = swept.join(F.broadcast(swept.agg(F.max("N").alias("top"))), F.col("N") == F.col("top"))  # one row
+    return swept.where((F.col(o) == 0) & (F.col("N") == F.col("top"))).select(*keys, F.col(v).alias("lb"), "ub", F.col("N").cast("long").alias("N"))
 
 
 def revise_ranges(
@@ -138,15 +156,18 @@ def revise_ranges(
     the original age (that of the first row by order_by). Revised: the overlap of both or, if there is
     none, the solution. Without allow_zero the solution is the pair of distinct candidates of the highest
     mean share. Occurrences of a revised assemblage take its age; taxa whose range lies wholly before
-    or after it are 00R or R00; if all ranges agree, all are R1R. The rows of the result are in no order; columns of x are kept.
+    or after it are 00R or R00; if all ranges agree, all are R1R. The rows of the result are in no order. Rows without
+    an assemblage are revised with none, those without a taxon or age take their assemblage's age; repeated rows are
+    all kept. Columns of x stay; a result whose name x has already gets underscores behind it.
     """
     taxon, srt, end = xcols
     require(x, taxon, srt, end, assemblage, *order_by)
     ranges = reference_ranges(y, ycols or xcols)
-    base = x.withColumns({"__a": F.col(assemblage), "__x": F.col(taxon).cast("string"), "__s": F.col(srt).cast("double"), "__e": F.col(end).cast("double")})
+    base = x.select(F.struct("*").alias("__row"), F.col(assemblage).alias("__a"), F.col(taxon).cast("string").alias("__x"), F.col(srt).cast("double").alias("__s"), F.col(end).cast("double").alias("__e"))
+    of = F.col("__row").getField
     held = base.join(ranges, F.col("__x") == F.col("__t"), "left")
-    code = F.col(err) if err else range_code(F.col("__s"), F.col("__e"), F.col("__f"), F.col("__l")) if do_flag else F.lit("0R0")
-    first = F.struct(*order_by)
+    code = of(err) if err else range_code(F.col("__s"), F.col("__e"), F.col("__f"), F.col("__l")) if do_flag else F.lit("0R0")
+    first = F.struct(*[of(c) for c in order_by])
     info = held.where(F.col("__a").isNotNull()).groupBy("__a").agg(
         F.bool_or(F.coalesce(~code.isin("000", "R1R"), F.lit(False))).alias("work"),
         F.min_by("__s", first).alias("s0"),
@@ -197,5 +218,5 @@ def revise_ranges(
     status = F.when(~settled, "000").when(F.col("prop") == 1, "R1R").when(F.col("o") & F.col("r"), "0R0").when(F.col("o"), "00R").when(F.col("r"), "R00").otherwise("000")
     collection = got.join(flags, F.col("__a") == F.col("__k")).select(F.col("__a").alias("assemblage"), "FAD", "LAD", "revision", status.alias("status"), "prop")
     made = "tax_flag FAD LAD FAD_diff LAD_diff".split()
-    occurrence = occ.select(*[F.col(c) for c in x.columns if c not in made], *made)
+    occurrence = occ.select("__row.*", *[F.col(c).alias(k) for c, k in zip(made, fresh(x, *made))])
     return RevisionResult(collection, occurrence)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,47 +10,20 @@ from ..schema import ThresholdResult, require, require_number
 from .density import dense, densify
 
 SPAN = 0.2
-_PEAKS = "taxon string, seq int, kind string, t double, value double, sig_mean boolean, sig_mean_sd boolean"
 
 
-def smooth(v: np.ndarray, span: float = SPAN) -> np.ndarray:
-    """A running straight line of fixed span over equal steps: at each place the fit to its neighbours, near the ends to the outermost ones."""
-    n = len(v)
+def smoother(n: int, span: float = SPAN) -> np.ndarray:
+    """The matrix of a running straight line of fixed span over n equal steps: at each place the fit to its neighbours, near the ends to the outermost ones."""
     half = max(2, int(0.5 * span * n + 0.5))
     if 2 * half + 1 > n:
         half = (n - 1) // 2
     if half < 1:
-        return v.astype(float)
+        return np.eye(n)
     x = np.arange(-half, half + 1)
-    start = np.clip(np.arange(n) - half, 0, n - 2 * half - 1)
-    w = v[start[:, None] + np.arange(2 * half + 1)].astype(float)
-    return w.mean(1) + (w * x).sum(1) / (x * x).sum() * (np.arange(n) - start - half)
-
-
-def peaks_of(t: np.ndarray, v: np.ndarray, win: int = 5) -> list[tuple]:
-    """(seq, kind, t, value, sig_mean, sig_mean_sd) of one profile, from old to young; a trough has the marks of the peak before it."""
-    keep = np.append(True, v[1:] != v[:-1])
-    at = np.flatnonzero(keep)
-    u = v[at]
-    before, after = np.append(0, u[:-1]), np.append(u[1:], 0)
-    pk, tr = at[(u > before) & (u > after)], at[(u < before) & (u < after)]
-    if len(pk) == 1:
-        mean = sd = np.array([True])
-    else:
-        pad = np.concatenate([np.zeros(win), v, np.zeros(win)])
-        mean, sd = np.zeros(len(pk), bool), np.zeros(len(pk), bool)
-        for i, p in enumerate(pk.tolist()):
-            s = smooth(pad[p : p + 2 * win + 1])
-            top = s[win - 1 : win + 2].max()
-            mean[i], sd[i] = top > s.mean(), top > s.mean() + s.std(ddof=1)
-        for marks in (mean, sd):
-            if len(pk) and not marks.any():
-                marks[int(v[pk].argmax())] = True
-    out = []
-    for i, p in enumerate(pk.tolist()):
-        out.append((2 * i + 1, "peak", float(t[p]), float(v[p]), bool(mean[i]), bool(sd[i])))
-        if i < len(tr) and i + 1 < len(pk):
-            out.append((2 * i + 2, "trough", float(t[tr[i]]), float(v[tr[i]]), bool(mean[i]), bool(sd[i])))
+    out = np.zeros((n, n))
+    for j in range(n):
+        a = min(max(j - half, 0), n - 2 * half - 1)
+        out[j, a : a + 2 * half + 1] = 1 / len(x) + x / (x * x).sum() * (j - a - half)
     return out
 
 
@@ -68,16 +38,25 @@ def find_peaks(profile: DataFrame, value: str = "kdensity", win: int = 5, step:
     if win < 2:
         raise ValueError("win is 2 or more")
     rows = dense(profile.select("taxon", "t", F.col(value).cast("double").alias("v")), step)
-    lists = rows.groupBy("taxon").agg(F.sort_array(F.collect_list(F.struct("t", "v")), asc=False).alias("l")).select("taxon", F.col("l.t").alias("t"), F.col("l.v").alias("v"))
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
-        for b in batches:
-            out = [(k, *r) for k, (t, v) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) for r in peaks_of(np.array(t), np.array(v), win)]
-            names = ["taxon", "seq", "kind", "t", "value", "sig_mean", "sig_mean_sd"]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in out], pa.int64())), *(pa.array([r[i + 1] for r in out], k) for i, k in enumerate(kinds))], names=names)
-
-    return lists.mapInArrow(go, _PEAKS)
+    down = Window.partitionBy("taxon").orderBy(F.desc("t"))
+    near = F.array(*[F.coalesce(F.lag("v", -k).over(down) if k < 0 else F.lead("v", k).over(down) if k else F.col("v"), F.lit(0.0)) for k in range(-win, win + 1)])
+    edges = rows.withColumns({"before": F.lag("v").over(down), "w": near}).where("before IS NULL OR before <> v")
+    edges = edges.withColumns({"b": F.coalesce(F.lag("v").over(down), F.lit(0.0)), "a": F.coalesce(F.lead("v").over(down), F.lit(0.0))})
+    edges = edges.withColumn("top", F.when((F.col("v") > F.col("b")) & (F.col("v") > F.col("a")), True).when((F.col("v") < F.col("b")) & (F.col("v") < F.col("a")), False)).where("top IS NOT NULL")
+    edges = edges.withColumn("k", F.row_number().over(Window.partitionBy("taxon", "top").orderBy(F.desc("t"))))
+    lines = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in smoother(2 * win + 1)])
+    plus = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    n, s = 2 * win + 1, F.col("s")
+    tops = edges.where("top").withColumn("s", F.transform(lines, lambda line: plus(F.zip_with(line, "w", lambda x, y: x * y)))).withColumn("mean", plus(s) / n)
+    tops = tops.withColumns({"high": F.array_max(F.slice("s", win, 3)), "sd": F.sqrt(plus(F.transform(s, lambda x: (x - F.col("mean")) * (x - F.col("mean")))) / (n - 1))})
+    every = Window.partitionBy("taxon")
+    tops = tops.withColumns({"m": F.col("high") > F.col("mean"), "d": F.col("high") > F.col("mean") + F.col("sd"), "n": F.count("*").over(every), "best": F.row_number().over(every.orderBy(F.desc("v"), F.desc("t")))})
+    mark = lambda c: (F.col("n") == 1) | F.col(c) | ((F.col("best") == 1) & ~F.bool_or(c).over(every))
+    tops = tops.select("taxon", "k", "t", "v", "n", mark("m").alias("sig_mean"), mark("d").alias("sig_mean_sd"))
+    low = edges.where("NOT top").select(F.col("taxon").alias("x"), F.col("k").alias("i"), F.col("t").alias("lt"), F.col("v").alias("lv"))
+    both = tops.join(low, (F.col("taxon") == F.col("x")) & (F.col("k") == F.col("i")) & (F.col("k") < F.col("n")), "left")
+    pair = F.array(F.struct((2 * F.col("k") - 1).cast("int").alias("seq"), F.lit("peak").alias("kind"), F.col("t").alias("t"), F.col("v").alias("value")), F.when(F.col("lt").isNotNull(), F.struct((2 * F.col("k")).cast("int").alias("seq"), F.lit("trough").alias("kind"), F.col("lt").alias("t"), F.col("lv").alias("value"))))
+    return both.select("taxon", F.explode(F.filter(pair, lambda p: p.isNotNull())).alias("p"), "sig_mean", "sig_mean_sd").select("taxon", "p.*", "sig_mean", "sig_mean_sd")
 
 
 def peak_counts(peaks: DataFrame) -> DataFrame:
@@ -127,13 +106,13 @@ def threshold_peaks(df: DataFrame, peaks: DataFrame, rank: str = "genus", srt: s
     return data, cut.select("taxon", "pre", (F.size("cuts") + 1).alias("post"))
 
 
-def threshold_ranges(df: DataFrame, rank: str = "genus", srt: str = "max_ma", end: str = "min_ma", method: str = "kernel", step: int = 1, density: float = 0.1, use_sd: bool = True, win: int = 5, thresh: float | DataFrame = 5) -> ThresholdResult:
+def threshold_ranges(df: DataFrame, rank: str = "genus", srt: str = "max_ma", end: str = "min_ma", method: str = "kernel", step: int = 1, density: float = 0.1, use_sd: bool = True, win: int = 5, thresh: float | DataFrame = 5, bw: str | float = "nrd0", adjust: float = 1.0, kernel: str = "gaussian") -> ThresholdResult:
     """Taxa split at the troughs between distant peaks of their density: data, the density matrix (taxon, t, value), peaks and comparison."""
     require(df, rank)
     require_number(df, srt, end)
     value = "kdensity" if method == "kernel" else "hist"
     whole = df.dropna(subset=[rank, srt, end])
-    matrix = densify(whole, rank, srt, end, step, density, method)
+    matrix = densify(whole, rank, srt, end, step, density, method, bw=bw, adjust=adjust, kernel=kernel)
     peaks = find_peaks(matrix, value, win, step)
     data, comparison = threshold_peaks(df, peaks, rank, srt, end, thresh, use_sd)
     return ThresholdResult(data, matrix.withColumnRenamed(value, "value"), peaks, comparison)

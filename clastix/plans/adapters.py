@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    folder = f"{sf_dir}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(folder).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    return source.parquet(folder) if whole else source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def drained(df: DataFrame) -> DataFrame:
+    """A stream read to its end, its rows as a table of the shared folder."""
+    spark = df.sparkSession
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/rows")
+
+
 def occ(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences: order lines as finds of parts."""
     x = table(spark, sf_dir, "lineitem")

@@ -65,3 +65,12 @@ def pacmacro_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT unnest(range(CAST(min(t) AS BIGINT), CAST(max(t) AS BIGINT) + 1)) AS t FROM h) SELECT 'Brand#17' AS taxon, CAST(s.t AS DOUBLE) AS t, coalesce(hist, 0) AS hist FROM s LEFT JOIN h ON h.t = s.t""")
 def density_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.density_profile(density.densify(A.occ_brand(spark, sf_dir), method="histogram"), "Brand#17")
+
+
+_TRIANGLE = KERNEL.replace("sum(w * exp(-0.5 * ((x - p) / bw) * ((x - p) / bw))) / (any_value(N_) * any_value(bw) * sqrt(2 * pi()))", "sum(w * greatest(0, 1 - abs(x - p) / (4 * sqrt(6)))) / (any_value(N_) * 4 * sqrt(6))")
+
+
+@query("densify_triangular", POINTS + _TRIANGLE + " SELECT taxon, CAST(a + bin AS DOUBLE) AS t, round(y, 8) AS kdensity FROM k JOIN b USING (taxon, bin) JOIN t USING (taxon)")
+def densify_triangular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangular kernel of given bandwidth."""
+    return density.densify(A.occ_brand(spark, sf_dir), method="kernel", kernel="triangular", bw=2.0, adjust=2.0).withColumn("kdensity", F.round("kdensity", 8))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import names
 from . import adapters as A
 from .ranges import query
+from .registry import ORACLES
 
 
 def _clean(x: str, term: str) -> str:
@@ -21,9 +22,18 @@ def _clean(x: str, term: str) -> str:
 c AS (SELECT p_partkey, x, {_clean("x", "cf")} AS y FROM n), w AS (SELECT p_partkey, x, lower(CASE WHEN len(string_split(y, ' ')) > 2 THEN string_split(y, ' ')[1] ELSE y END) AS y FROM c)
 SELECT p_partkey, x AS name, nullif(upper(y[1:1]) || y[2:], '') AS cleaned FROM w""")
 def clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(A.table(spark, sf_dir, "part"))
+
+
+@query("clean_name_stream", ORACLES["clean_name"])
+def clean_name_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.drained(_cleaned(A.stream(spark, sf_dir, "part")))
+
+
+def _cleaned(part: DataFrame) -> DataFrame:
     k = F.col("p_size") % 6
     tail = F.when(k == 0, F.concat(F.lit(" (var. "), "p_type", F.lit(")"))).when(k == 1, F.concat(F.lit(" sp. "), F.col("p_size").cast("string"))).when(k == 2, " NO_IV").when(k == 3, " cfr").when(k == 4, "").otherwise(" a b")
-    x = A.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", tail).alias("name"))
+    x = part.select("p_partkey", F.concat("p_name", tail).alias("name"))
     return x.withColumn("cleaned", names.clean_name(F.col("name"), ["cf"], ["NO_"]))
 
 
@@ -38,6 +48,11 @@ def format_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.format_check(A.table(spark, sf_dir, "part"), ["p_brand", "p_name"], "p_partkey", species=True)
 
 
+@query("format_check_stream", ORACLES["format_check"])
+def format_check_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.drained(names.format_check(A.stream(spark, sf_dir, "part"), ["p_brand", "p_name"], "p_partkey", species=True))
+
+
 _WINDOW = """list_min(list_transform(range(0, greatest(0, length(t1) - length(t2)) + 1), lambda i: 1 - len(list_intersect(list_distinct(string_split(substr(t1, i + 1, length(t2)), '')), list_distinct(string_split(t2, ''))))
   / len(list_distinct(list_concat(string_split(substr(t1, i + 1, length(t2)), ''), string_split(t2, ''))))))"""
 

@@ -58,12 +58,21 @@ _NAMES = ", ".join(f"('{a}', {b}, {c})" for a, b, c in _SCALE)
 j AS (SELECT p_partkey, coalesce(x.f, a) AS f, coalesce(z.l, b) AS l FROM p LEFT JOIN t x ON x.i = e LEFT JOIN t z ON z.i = coalesce(y, e))
 SELECT p_partkey, CAST(CASE WHEN f IS NOT NULL AND l IS NOT NULL THEN greatest(f, l) END AS DOUBLE) AS "newFAD", CAST(CASE WHEN f IS NOT NULL AND l IS NOT NULL THEN least(f, l) END AS DOUBLE) AS "newLAD" FROM j""")
 def chrono_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(spark, A.table(spark, sf_dir, "part"))
+
+
+def _dated(spark: SparkSession, part: DataFrame) -> DataFrame:
     size = F.col("p_size") % 3
-    x = A.table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("e"), F.when(size == 0, None).when(size == 1, "PROMO").otherwise(F.col("p_type")).alias("y"), F.col("p_retailprice").alias("a"), F.col("p_size").cast("double").alias("b"))
+    x = part.select("p_partkey", F.col("p_type").alias("e"), F.when(size == 0, None).when(size == 1, "PROMO").otherwise(F.col("p_type")).alias("y"), F.col("p_retailprice").alias("a"), F.col("p_size").cast("double").alias("b"))
     scale = spark.createDataFrame(_SCALE, "Interval string, FAD double, LAD double")
     return ages.chrono_scale(x, scale, "e", "y", "a", "b").select("p_partkey", "newFAD", "newLAD")
 
 
+@query("chrono_scale_stream", ORACLES["chrono_scale"])
+def chrono_scale_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.drained(_dated(spark, A.stream(spark, sf_dir, "part")))
+
+
 @query("unmatched_intervals", f"WITH t(i, f, l) AS (VALUES {_NAMES}) SELECT DISTINCT p_type AS interval FROM part WHERE p_type NOT IN (SELECT i FROM t)")
 def unmatched_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = A.table(spark, sf_dir, "part").select(F.col("p_type").alias("e"), F.col("p_type").alias("y"))
@@ -75,7 +84,16 @@ _ANIMALS, _PLANTS, _PROTISTS = ["ECONOMY", "PROMO"], ["STANDARD", "PROMO"], ["SM
 
 @query("add_kingdoms", "SELECT p_partkey, CASE WHEN p_type IN ('SMALL', 'ECONOMY') THEN 'Protista' WHEN p_type IN ('STANDARD', 'PROMO') THEN 'Plantae' END AS kingdom, p_type AS phylum FROM part")
 def add_kingdoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = A.table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("phylum"))
+    return _ruled(A.table(spark, sf_dir, "part"))
+
+
+@query("add_kingdoms_stream", ORACLES["add_kingdoms"])
+def add_kingdoms_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.drained(_ruled(A.stream(spark, sf_dir, "part")))
+
+
+def _ruled(part: DataFrame) -> DataFrame:
+    x = part.select("p_partkey", F.col("p_type").alias("phylum"))
     return ages.add_kingdoms(x, {"Animalia": _ANIMALS, "Plantae": _PLANTS, "Protista": _PROTISTS})
 
 
@@ -143,3 +161,31 @@ def revise_ranges_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def revise_ranges_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intervals.revise_ranges(A.occ(spark, sf_dir), A.ref(spark, sf_dir), X, "collection_no", ORDER, do_flag=True, prop=0.5).occurrence
     return out.select("genus", "collection_no", "l_linenumber", "max_ma", "min_ma", "tax_flag", "FAD", "LAD", "FAD_diff", "LAD_diff")
+
+
+@query("intersect_ranges_whole", f"""WITH {A.OCC}, e AS (SELECT v, o, sum(d) AS d FROM (SELECT min_ma AS v, 0 AS o, 1 AS d FROM occ UNION ALL SELECT max_ma, 1, -1 FROM occ) GROUP BY 1, 2),
+s AS (SELECT *, sum(d) OVER w AS n, lead(v) OVER w AS ub FROM e WINDOW w AS (ORDER BY v, o)) SELECT v AS lb, ub, CAST(n AS BIGINT) AS "N" FROM s WHERE o = 0 QUALIFY n = max(n) OVER ()""")
+def intersect_ranges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.intersect_ranges(A.occ(spark, sf_dir))
+
+
+@query("revise_ranges_err", _revision(0.75).replace(f"{_CODE} FROM occ", "CASE WHEN l_returnflag = 'A' THEN '0R1' ELSE '000' END AS code FROM occ") + """SELECT collection_no AS assemblage, nf AS "FAD", nl AS "LAD", revision, round(prop, 6) AS prop FROM z""")
+def revise_ranges_err(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the error codes of a column in place of those of flag_ranges()."""
+    x = A.occ(spark, sf_dir).withColumn("e", F.when(F.col("l_returnflag") == "A", "0R1").otherwise("000"))
+    out = intervals.revise_ranges(x, A.ref(spark, sf_dir), X, "collection_no", ORDER, err="e").collection
+    return out.withColumn("prop", F.round("prop", 6)).drop("status")
+
+
+_PAIRED = _revision(0.5).replace(
+    "r AS (SELECT collection_no, max(b) AS rf, min(b) AS rl, max(p) AS m FROM (SELECT *, max(p) OVER (PARTITION BY collection_no) AS top FROM n) WHERE p = top GROUP BY 1)",
+    "two AS (SELECT collection_no, max(b) AS rf, min(b) AS rl, avg(p) AS m2, count(*) AS c FROM (SELECT * FROM n WHERE p >= 0.5 QUALIFY row_number() OVER (PARTITION BY collection_no ORDER BY p DESC, b DESC) <= 2) GROUP BY 1),\n"
+    "r AS (SELECT collection_no, rf, rl, coalesce(m2, m0) AS m, m0, coalesce(c, 0) AS c FROM (SELECT collection_no, max(p) AS m0 FROM n GROUP BY 1) LEFT JOIN two USING (collection_no))",
+).replace("WHEN m < 0.5 THEN", "WHEN m0 < 0.5 OR c <> 2 THEN").replace("rf >= e0 AND rl <= s0 AS meets", "rf > e0 AND rl < s0 AS meets")
+
+
+@query("revise_ranges_paired", _PAIRED + """SELECT collection_no AS assemblage, nf AS "FAD", nl AS "LAD", revision, round(prop, 6) AS prop FROM z""")
+def revise_ranges_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without solutions of length zero."""
+    out = intervals.revise_ranges(A.occ(spark, sf_dir), A.ref(spark, sf_dir), X, "collection_no", ORDER, do_flag=True, prop=0.5, allow_zero=False).collection
+    return out.withColumn("prop", F.round("prop", 6)).drop("status")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import taxonomy
+from ..shared import shared_dir
 from ..sources import occurrences
 from ..streaming import flags
 from . import adapters as A
@@ -72,17 +73,24 @@ def occurrence_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flag_ranges_stream", f"WITH {A.REF}, c AS (SELECT occ.*, f, l, {_CODE} FROM occ LEFT JOIN ref USING (genus)) SELECT code AS status, count(*) AS n FROM c GROUP BY code")
 def flag_ranges_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The codes of the occurrences, read as a stream to its end."""
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    folder = f"{sf_dir}/lineitem.parquet"
-    stream = source.parquet(folder) if _is_dir(spark, folder) else source.option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    occ = stream.select(F.col("l_partkey").cast("string").alias("genus"), (F.col("l_quantity") + 50 * F.col("l_discount")).cast("double").alias("max_ma"), F.col("l_quantity").cast("double").alias("min_ma"))
-    name = f"flags_{uuid.uuid4().hex}"
-    flagged = flags.flag_stream(occ, A.ref(spark, sf_dir), X)
-    flagged.select("status").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).groupBy("status").agg(F.count("*").alias("n"))
-
-
-def _is_dir(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    x = A.stream(spark, sf_dir, "lineitem")
+    occ = x.select(F.col("l_partkey").cast("string").alias("genus"), (F.col("l_quantity") + 50 * F.col("l_discount")).cast("double").alias("max_ma"), F.col("l_quantity").cast("double").alias("min_ma"))
+    flagged = A.drained(flags.flag_stream(occ, A.ref(spark, sf_dir), X).select("status"))
+    return flagged.groupBy("status").agg(F.count("*").alias("n"))
+
+
+_ANIMALS, _PLANTS = ["ECONOMY", "PROMO"], ["STANDARD"]
+
+
+@query("read_occurrences", """SELECT CAST(p_partkey AS VARCHAR) AS occurrence_no, CASE WHEN p_size % 5 <> 0 THEN CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Animalia' WHEN p_type = 'STANDARD' THEN 'Plantae' END END AS kingdom,
+  CASE WHEN p_size % 5 <> 0 THEN p_type END AS phylum, CASE WHEN p_type = 'PROMO' THEN 145.0 ELSE p_size + 1 END::DOUBLE AS max_ma, CASE WHEN p_type = 'PROMO' THEN 66.0 ELSE p_size END::DOUBLE AS min_ma FROM part""")
+def read_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as two lists of files that overlap, written as a service's downloads are, read again, dated anew and with kingdoms."""
+    size = F.col("p_size")
+    x = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("occurrence_no"), F.when(size % 5 != 0, F.col("p_type")).alias("phylum"), F.col("p_type").alias("early_interval"), F.lit("").alias("late_interval"), (size + 1).alias("max_ma"), size.alias("min_ma"))
+    paths = [f"{shared_dir(spark)}/list-{uuid.uuid4().hex}" for _ in range(2)]
+    for path, span in zip(paths, ("min_ma <= 30", "max_ma >= 20")):
+        occurrences.write_occurrences(x.where(span), path)
+    scale = spark.createDataFrame([("PROMO", 145.0, 66.0)], "Interval string, FAD double, LAD double")
+    out = occurrences.read_occurrences(spark, paths, tscale=scale, kingdoms={"Animalia": _ANIMALS, "Plantae": _PLANTS})
+    return out.select("occurrence_no", "kingdom", "phylum", "max_ma", "min_ma")

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clastix.operators import density, peaks
 
@@ -59,16 +60,64 @@ def test_pacmacro(spark):
 
 
 def test_smooth_keeps_lines_and_means():
-    v = np.arange(11.0)
-    assert np.allclose(peaks.smooth(v), v)
-    assert peaks.smooth(np.array([0, 0, 0, 0, 0, 5.0, 0, 0, 0, 0, 0]))[5] == 1.0
-
-
-def test_peaks_plateaus_and_troughs():
-    t = np.arange(9, 0, -1.0)
-    got = peaks.peaks_of(t, np.array([0, 2, 2, 1, 3, 0, 0, 4, 0]))
-    assert [(r[1], r[2]) for r in got] == [("peak", 8.0), ("trough", 6.0), ("peak", 5.0), ("trough", 4.0), ("peak", 2.0)]
-    assert peaks.peaks_of(t[:3], np.array([0, 1, 0])) == [(1, "peak", 8.0, 1.0, True, True)]
+    v = np.arange(11) * 2.0 + 1
+    assert np.allclose(peaks.smoother(11) @ v, v)
+    assert (peaks.smoother(11) @ np.array([0, 0, 0, 0, 0, 5.0, 0, 0, 0, 0, 0]))[5] == pytest.approx(1.0)
+
+
+def peaks_of(t, v, win):
+    """Peaks and troughs of one profile, from old to young, place by place."""
+    keep = [i for i in range(len(v)) if i == 0 or v[i] != v[i - 1]]
+    u = [0, *(v[i] for i in keep), 0]
+    pk = [i for k, i in enumerate(keep, 1) if u[k] > u[k - 1] and u[k] > u[k + 1]]
+    tr = [i for k, i in enumerate(keep, 1) if u[k] < u[k - 1] and u[k] < u[k + 1]]
+    marks = {}
+    for i in pk:
+        w = np.array([v[j] if 0 <= j < len(v) else 0.0 for j in range(i - win, i + win + 1)])
+        s = peaks.smoother(len(w)) @ w
+        top = s[win - 1 : win + 2].max()
+        marks[i] = [bool(top > s.mean()), bool(top > s.mean() + s.std(ddof=1))]
+    for k in (0, 1):
+        if pk and (len(pk) == 1 or not any(m[k] for m in marks.values())):
+            marks[max(pk, key=lambda i: (v[i], -i))][k] = True
+    out = []
+    for k, i in enumerate(pk):
+        out.append((2 * k + 1, "peak", t[i], v[i], *marks[i]))
+        if k < len(tr) and k + 1 < len(pk):
+            out.append((2 * k + 2, "trough", t[tr[k]], v[tr[k]], *marks[i]))
+    return out
+
+
+@pytest.mark.parametrize("win", [3, 5, 8])
+def test_peaks_match_brute_force(spark, win):
+    rng = np.random.default_rng(win)
+    lists = {"plateau": [1, 2, 2, 1, 3, 0, 0, 4, 1], "one": [1, 2, 1], "flat": [3, 3, 3], "point": [7], "far": [9] + [0] * 30 + [8]}
+    lists |= {f"r{k}": [float(x) for x in rng.random(25).round(3) * 9] for k in range(12)}
+    data = [(k, float(len(v) - i), float(x)) for k, v in lists.items() for i, x in enumerate(v) if x or i in (0, len(v) - 1)]
+    got = rows(peaks.find_peaks(spark.createDataFrame(data, "taxon string, t double, kdensity double"), win=win))
+    want = [(k, *r) for k, v in lists.items() for r in peaks_of([float(len(v) - i) for i in range(len(v))], [float(x) for x in v], win)]
+    assert got == sorted(want, key=str) and len(want) > 60
+
+
+def test_kernels_are_densities_of_deviation_one(spark):
+    """Each integrates to 1 and has variance 1; bandwidths scale it."""
+    u = spark.range(-60_000, 60_001).select((F.col("id") / 10_000).alias("u"))
+    for name, (reach, height) in density.KERNELS.items():
+        y = F.when(F.abs(F.col("u")) < (reach or 99), height(F.col("u"))).otherwise(0.0)
+        area, var = u.agg(F.sum(y) / 10_000, F.sum(y * F.col("u") * F.col("u")) / 10_000).first()
+        assert (area, var) == pytest.approx((1, 1), abs=1e-3), name
+    x = spark.createDataFrame([("a", 9.0, 1.0), ("a", 5.0, 2.0)], "genus string, max_ma double, min_ma double")
+    one = density.densify(x, method="kernel", bw=1.5, kernel="triangular")
+    pts = {r.p: r.w for r in density.points(x, "genus", "max_ma", "min_ma", 0.1).collect()}
+    n = sum(pts.values())
+    for r in one.collect():
+        at = 1 + (r.t - 2) * 9 / 8  # bins from 1 to 10, places from the lower to the upper edge
+        assert r.kdensity == pytest.approx(sum(w * max(0, 1 - abs(at - p) / 1.5 / 6**0.5) / 6**0.5 for p, w in pts.items()) / n / 1.5, abs=1e-6)
+    half = density.densify(x, method="kernel", bw=3.0, adjust=0.5, kernel="triangular")
+    assert rows(half) == rows(one)
+    for bad in ({"kernel": "x"}, {"bw": "x"}, {"bw": 0}, {"adjust": 0}):
+        with pytest.raises(ValueError):
+            density.densify(x, **bad)
 
 
 def test_threshold_splits(spark):

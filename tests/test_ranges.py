@@ -153,3 +153,35 @@ def test_reproducible_across_partitions(spark, sf_dir):
         seen.add(str(rows(revise_ranges_collection(spark, sf_dir))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(seen) == 1
+
+
+CLASH = "genus string, max_ma double, min_ma double, status string, __t int, fad_diff int, FAD int, tax_flag int, col int, f int"
+
+
+def test_results_leave_columns_of_the_same_names(spark):
+    x = spark.createDataFrame([("a", 20.0, 5.0, "mine", 1, 2, 3, 4, 5, 6), ("b", 9.0, 8.0, "own", 1, 2, 3, 4, 5, 6), (None, 9.0, None, None, 1, 2, 3, 4, 5, 7)], CLASH)
+    y = spark.createDataFrame([("a", 15.0, 6.0)], "genus string, max_ma double, min_ma double")
+    cols = ("genus", "max_ma", "min_ma")
+    out = intervals.flag_ranges(x, y, cols).occurrence
+    assert out.columns[: len(x.columns)] == x.columns and rows(out.select(*x.columns)) == rows(x)
+    assert {r.f: (r.status_, r.fad_diff_) for r in out.where("genus = 'a'").collect()} == {6: ("0R0", 5.0)}
+    got = intervals.revise_ranges(x, y, cols, "col", ["max_ma"]).occurrence
+    assert got.columns[: len(x.columns)] == x.columns and rows(got.select(*x.columns)) == rows(x) and {"FAD_", "tax_flag_", "LAD"} <= set(got.columns)
+    hit = intervals.intersect_ranges(x.withColumnsRenamed({"f": "v", "col": "o", "FAD": "d"}), by=["v"])
+    assert rows(hit) == [(6, 8.0, 9.0, 2)]
+
+
+def test_intersections_of_a_whole_table_in_parts(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(a := rng.randint(0, 400) / 4, a + rng.randint(0, 80) / 4) for _ in range(3000)] + [(7.0, None)]
+    df = spark.createDataFrame([(b, a) for a, b in data], "max_ma double, min_ma double").repartition(7)
+    whole = data[:-1]
+    ends = sorted({x for p in whole for x in p})
+    n = {x: sum(a <= x <= b for a, b in whole) for x in ends}
+    top = max(n.values())
+    got = rows(intervals.intersect_ranges(df))
+    assert [(r[0], r[2]) for r in got] == sorted([(x, top) for x in {a for a, _ in whole} if n[x] == top], key=str)
+    assert all(r[1] >= r[0] and not any(r[0] < a < r[1] for a, _ in whole) for r in got)
+    assert intervals.intersect_ranges(df.limit(0)).isEmpty()
