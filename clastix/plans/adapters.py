@@ -71,7 +71,7 @@ OCC_BRAND = """occ AS (SELECT p_brand AS genus, CAST(l_quantity + 50 * l_discoun
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A strict hierarchy: region, nation, supplier."""
     s, n, r = (table(spark, sf_dir, k) for k in ("supplier", "nation", "region"))
-    return s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("class"), F.col("n_name").alias("order"), F.col("s_name").alias("family"))
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("class"), F.col("n_name").alias("order"), F.col("s_name").alias("family"))
 
 
 TREE = """h AS (SELECT r_name AS "class", n_name AS "order", s_name AS family FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""

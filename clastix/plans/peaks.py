@@ -73,3 +73,11 @@ def threshold_ranges_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("find_peaks_kernel", _KDE + _TOPS + " SELECT taxon, seq, kind, t, round(value, 8) AS value, sig_mean, sig_mean_sd FROM allp")
 def find_peaks_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return peaks.find_peaks(density.densify(A.occ_brand(spark, sf_dir), method="kernel")).withColumn("value", F.round("value", 8))
+
+
+@query("threshold_ranges_table", PEAKS + _CUTS.replace(">= 3)", ">= 2 + CAST(substr(sg.taxon, 7) AS INTEGER) % 3)") + " SELECT taxon, pre, CAST(len(cuts) + 1 AS INTEGER) AS post FROM cu")
+def threshold_ranges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a threshold for each taxon."""
+    x = A.occ_brand(spark, sf_dir)
+    by = x.select("genus").distinct().withColumn("thresh", (2 + F.substring("genus", 7, 9).cast("int") % 3).cast("double"))
+    return peaks.threshold_ranges(x, method="histogram", thresh=by, use_sd=False).comparison

@@ -45,7 +45,7 @@ _EDGES = """, e AS (SELECT child, parent, max(cr) AS child_rank, max(pr) AS pare
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (A.table(spark, sf_dir, k) for k in ("supplier", "nation", "region"))
-    x = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    x = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return x.select(F.col("r_name").alias("class"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("order"), F.col("s_name").alias("family"))
 
 
@@ -83,3 +83,12 @@ def resolve_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT family AS taxon, 'family' AS rank FROM l GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT "order", 'order' FROM k GROUP BY 1 HAVING count(*) > 1""")
 def find_duplicates_tangled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.find_duplicates(A.tangled(spark, sf_dir), R)
+
+
+@query("assess_duplicates", f"""WITH {A.TANGLED}, {A.RESOLVED} SELECT DISTINCT f.family AS taxon, 'family' AS rank,
+  CASE WHEN orders + gap > 2 THEN 'retained: three parents or more' WHEN gap = 1 THEN 'cut: rank skipped' ELSE 'cut: rarer of two equal paths' END AS decision,
+  CASE WHEN orders + gap > 2 THEN NULL WHEN gap = 1 THEN "class" ELSE (SELECT max("order") FROM l WHERE l.family = f.family AND "order" <> best) END AS cut_from
+FROM f JOIN l USING (family) WHERE orders + gap > 1""")
+def assess_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranks.assess_duplicates(A.tangled(spark, sf_dir).drop("o_orderkey"), R)
+    return out.select("taxon", "rank", "decision", F.get("cut", F.lit(0))["parent"].alias("cut_from"))

@@ -94,3 +94,13 @@ def read_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = spark.createDataFrame([("PROMO", 145.0, 66.0)], "Interval string, FAD double, LAD double")
     out = occurrences.read_occurrences(spark, paths, tscale=scale, kingdoms={"Animalia": _ANIMALS, "Plantae": _PLANTS})
     return out.select("occurrence_no", "kingdom", "phylum", "max_ma", "min_ma")
+
+
+@query("range_stream", f"""WITH {A.OCC} SELECT genus AS taxon, max(max_ma) AS "FAD", min(min_ma) AS "LAD" FROM occ GROUP BY genus""")
+def range_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range table of a stream at its end; a row for each taxon."""
+    x = A.stream(spark, sf_dir, "lineitem")
+    occ = x.select(F.col("l_partkey").cast("string").alias("genus"), (F.col("l_quantity") + 50 * F.col("l_discount")).cast("double").alias("max_ma"), F.col("l_quantity").cast("double").alias("min_ma"))
+    name = f"ranges_{uuid.uuid4().hex}"
+    flags.range_stream(occ).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

@@ -38,6 +38,16 @@ def test_files(spark, tmp_path):
     assert S.read_occurrences(spark, str(tmp_path / "out")).count() == 3
 
 
+def test_download(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"{k}.csv").write_text(f'occurrence_no,phylum\r\n{k},"a, é"\r\n3,\r\n', encoding="utf-8")
+    urls = [(tmp_path / f"{k}.csv").as_uri() for k in (1, 2, 1)]
+    out = S.read_occurrences(spark, S.download(spark, urls, str(tmp_path / "got")))
+    assert rows(out) == [("1", "a, é"), ("2", "a, é"), ("3", None)]
+    with pytest.raises(Exception, match="missing"):
+        S.download(spark, [(tmp_path / "missing").as_uri()], str(tmp_path / "none"))
+
+
 def test_range_stream(spark, tmp_path):
     x = spark.createDataFrame([("a", 3.0, 1.0), ("a", 5.0, 2.0), (None, 9.0, 9.0)], "genus string, max_ma double, min_ma double")
     x.write.parquet(str(tmp_path / "in"))
