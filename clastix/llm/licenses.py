@@ -37,7 +37,13 @@ _GPL = " ".join(
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
-#: (licence, text of the template): whole grants, headers, and the one-line notices that name a licence.
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+#: Identifiers of licences as source files name them.
+_SPDX = "MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+
+#: (licence, text of the template): whole grants, headers, and one-line notices and identifiers that name a licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
@@ -66,6 +72,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain worldwide under CC0 1.0 Universal."),
     ("proprietary", "All rights reserved."),
+    ("EPL-2.0", _EPL),
+    ("Zlib", _ZLIB),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    *[(k.replace("-only", "").replace("-or-later", ""), f"SPDX-License-Identifier: {k}") for k in _SPDX],
 )
 
 
@@ -85,6 +96,14 @@ class Templates:
         # Dice of t or more needs t / 2 (|A| + |B|) common bigrams and |A| of t / (2 - t) |B| or more
         self.least = max(1, math.ceil(threshold / 2 * (self.sizes.min() + threshold / (2 - threshold) * self.sizes.min()) - 1e-9))
 
+        self.by_size = np.argsort(self.sizes, kind="stable")
+
+    def near(self, size: int) -> np.ndarray:
+        """The templates whose sizes allow the threshold: 2 min(|A|, |B|) / (|A| + |B|) must reach it. No other is compared."""
+        least, most = self.t / (2 - self.t) * size, (2 - self.t) / self.t * size
+        a, z = np.searchsorted(self.sizes[self.by_size], [least - 1e-9, most + 1e-9])
+        return self.by_size[a:z]
+
 
 def _bigrams(h: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bigrams of words that stand in one unit, and the unit of each."""
@@ -112,7 +131,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     The coefficient is that of the sets of word bigrams: 2 |A & B| / (|A| + |B|). A template is compared
     only if the sizes allow the threshold. Null or empty texts have no licence; null ids stay null;
     repeated rows are reported each; an empty table gives no rows. Of templates of one licence the best
-    counts. Texts are read whole.
+    counts; of several licences that a text is like each has its row, ties included. Other columns are not read. Texts
+    are read whole.
     """
     docs = bounded(docs)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -151,12 +171,11 @@ def _matches(ready: Templates, h: np.ndarray, unit: np.ndarray) -> Iterator[tupl
         a, z = np.searchsorted(of, [u, u + 1])
         size = len(np.unique(gram[a:z]))
         own = np.unique(at[a:z][hit[a:z]])
-        common = ready.has[:, own].sum(1)
-        # size bounds: 2 min(|A|, |B|) / (|A| + |B|) must reach the threshold
-        near = 2 * np.minimum(size, ready.sizes) >= ready.t * (size + ready.sizes) - 1e-9
-        dice = np.where(near, 2 * common / (size + ready.sizes), 0)
+        near = ready.near(size)
+        common = ready.has[near[:, None], own].sum(1)
+        dice = 2 * common / (size + ready.sizes[near])
         for k in np.flatnonzero(dice >= ready.t - 1e-12).tolist():
-            yield int(np.searchsorted(unit, u)), ready.names[k], float(dice[k])
+            yield int(np.searchsorted(unit, u)), ready.names[near[k]], float(dice[k])
 
 
 def _runs(ready: Templates, h: np.ndarray, doc: np.ndarray, rows: dict[tuple[int, str], float]) -> None:
