@@ -7,17 +7,17 @@ hashed words and word beginnings, weighted by the root of their rate in the text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
 from .linear import Rows, fit_sparse, sigmoid
-from .scratch import bounded, row_key
+from .scratch import bounded, row_key, sized
 
 #: (category, condition over the labels), in the order of the chain.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_prose", "toxic = 1 AND quality = 1"))
@@ -71,12 +71,23 @@ def _columns(earlier: list[np.ndarray]) -> list[np.ndarray]:
     return [2 * p - 1 for p in earlier]
 
 
-def fit_chain(x: Rows, labels: np.ndarray, names: tuple[str, ...], fold: np.ndarray, width: int) -> Chain:
-    """labels: rows by categories, 0 or 1. A category without both values gets the constant model of its share."""
+#: Fits, for a category, (sparse, dense) weights on each of several sets of rows: (columns of earlier probabilities, truth, sets; None is all rows).
+Fits = Callable[[list[np.ndarray], np.ndarray, list[np.ndarray | None]], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def _fit(x: Rows, columns: list[np.ndarray], y: np.ndarray, at: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = x.beside(*columns) if columns else x
+    return fit_sparse(rows, y, width) if at is None else fit_sparse(rows.take(at), y[at], width)
+
+
+def fit_chain(x: Rows, labels: np.ndarray, names: tuple[str, ...], fold: np.ndarray, width: int, fits: Fits | None = None) -> Chain:
+    """labels: rows by categories, 0 or 1. A category without both values gets the constant model of its share. fits may run the fits of a category side by side."""
+    fits = fits or (lambda columns, y, sets: [_fit(x, columns, y, at, width) for at in sets])
     sparse, dense, cuts, earlier = [], [], [], []
     for k in range(len(names)):
         y = labels[:, k].astype(float)
-        rows = x.beside(*_columns(earlier)) if earlier else x
+        columns = _columns(earlier)
+        rows = x.beside(*columns) if columns else x
         out = np.zeros(len(y))
         if y.min(initial=1) == y.max(initial=0) or len(y) < 2 * FOLDS:
             b, c = np.zeros(width), np.zeros(rows.dense.shape[1])
@@ -84,11 +95,10 @@ def fit_chain(x: Rows, labels: np.ndarray, names: tuple[str, ...], fold: np.ndar
             c[0] = 20.0 if share == 1 else -20.0
             out[:] = share
         else:
-            for f in range(FOLDS):
-                own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-                b, c = fit_sparse(rows.take(rest), y[rest], width)
-                out[own] = sigmoid(rows.take(own).dot(b, c))
-            b, c = fit_sparse(rows, y, width)
+            *folds, (b, c) = fits(columns, y, [*(np.flatnonzero(fold != f) for f in range(FOLDS)), None])
+            for f, (fb, fc) in enumerate(folds):
+                own = np.flatnonzero(fold == f)
+                out[own] = sigmoid(rows.take(own).dot(fb, fc))
         earlier.append(out)
         sparse.append(b.astype(np.float32))
         dense.append(c)
@@ -96,6 +106,23 @@ def fit_chain(x: Rows, labels: np.ndarray, names: tuple[str, ...], fold: np.ndar
     return Chain(names, tuple(sparse), tuple(dense), tuple(cuts))
 
 
+def _on_tasks(spark: SparkSession, x: Rows, width: int) -> Fits:
+    """The fits of a category as tasks, a set of rows in each."""
+    sent = spark.sparkContext.broadcast((x.start, x.index, x.value, x.dense))
+
+    def fits(columns: list[np.ndarray], y: np.ndarray, sets: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    b, c = _fit(Rows(*sent.value), columns, y, sets[k], width)
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([b.astype("<f8").tobytes()], pa.binary()), pa.array([c.astype("<f8").tobytes()], pa.binary())], names=["k", "b", "c"])
+
+        got = spark.range(0, len(sets), 1, len(sets)).mapInArrow(go, "k long, b binary, c binary").collect()
+        return [(np.frombuffer(r.b, "<f8"), np.frombuffer(r.c, "<f8")) for r in sorted(got, key=lambda r: r.k)]
+
+    return fits
+
+
 def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
     """The threshold of the best F1 on out-of-fold probabilities; one half if there is nothing to choose."""
     if not y.any() or y.all():
@@ -110,12 +137,18 @@ def _best_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", categories: tuple = CATEGORIES, sample: int = SAMPLE) -> Chain:
-    """The chain of these categories. Labelled rows with a null id or a null condition don't count; of several labels of a document the positive one counts."""
+    """The chain of these categories.
+
+    Labelled rows with a null id or a null condition don't count; of several labels of a document the positive one
+    counts, of several texts the least. Labels without a document and documents without a label teach nothing; without
+    any, as with empty tables, no text is in any category. A feature that fewer than LEAST_TEXTS of the texts have is
+    left out. Texts are read whole. The fits of a category, one for each fold and one for all, run as tasks.
+    """
     docs = bounded(docs)
     marks = labels.select(F.col(label_id).cast("long").alias("id"), *[F.expr(rule).cast("int").alias(f"y{k}") for k, (_, rule) in enumerate(categories)]).dropna()
     share = min(1.0, sample / max(1, marks.count()))
     marks = marks.where(F.pmod(row_key("id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(marks), "id")
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(sized(marks), "id")
     known = known.groupBy("id", *[f"y{k}" for k in range(len(categories))]).agg(F.min("text").alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     used, packed = np.unique(flat[keep], return_inverse=True)
     x = Rows(start, packed, value[keep], np.column_stack([np.ones(len(index)), got["size"].to_numpy(float)]))
     fold = np.array([(int(i) * 2654435761 >> 7) % FOLDS for i in got["id"]], int)
-    chain = fit_chain(x, got[names[1:]].to_numpy(int), tuple(n for n, _ in categories), fold, len(used))
+    chain = fit_chain(x, got[names[1:]].to_numpy(int), tuple(n for n, _ in categories), fold, len(used), _on_tasks(docs.sparkSession, x, len(used)))
     wide = []
     for b in chain.sparse:
         full = np.zeros(1 << BITS, np.float32)
