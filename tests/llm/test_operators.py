@@ -1,6 +1,7 @@
 """Whole operators: nulls, empty and very long texts, ties and repeated rows, empty tables, clashing columns, brute force."""
 
 import collections
+import math
 import random
 import re
 import time
@@ -198,6 +199,35 @@ def test_language_rejects_languages_without_labels(spark):
     assert held.where("NOT keep").isEmpty()
 
 
+def test_language_fit_counts_by_hand(spark, sf_dir):
+    """The matrix from n-grams counted one by one, of all labelled texts: there are fewer than the sample."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 5 = 0").select("doc_id", "lang", "text")
+    model = language.fit(docs)
+    counts = np.zeros(((1 << language.BUCKET_BITS) + 1, len(model.languages)))
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.lang] += 1
+        chars = []
+        for c in r.text.lower():
+            c = c if "a" <= c <= "z" or c >= "\x80" else " "
+            if c != " " or not chars or chars[-1] != " ":
+                chars.append(c)
+        for n in language.ORDERS:
+            for i in range(len(chars) - n + 1):
+                if n > 1 or chars[i] != " ":
+                    h = 0
+                    for k in range(n):
+                        h = ((h ^ ord(chars[i + k])) * int(language._MUL[k])) & 0xFFFFFFFF
+                        h ^= h >> 15
+                    h = (h * 0x27D4EB2F + n) & 0xFFFFFFFF
+                    counts[h >> (32 - language.BUCKET_BITS), model.languages.index(r.lang)] += 1
+    want = np.log((counts[:-1] + language.SMOOTHING) / (counts[:-1] + language.SMOOTHING).sum(0))
+    assert np.abs(model.log_probs[:-1] - want).max() < 1e-4
+    assert model.log_prior.tolist() == pytest.approx([math.log(sizes[k] / sum(sizes.values())) for k in model.languages])
+
+
 def test_language_is_naive_bayes_by_hand(docs):
     model = language.fit(docs)
     t = "la vie"
@@ -217,6 +247,143 @@ def test_secrets(spark, docs, empty):
     assert before == after and secrets.scan(empty).isEmpty() and secrets.redacted(empty).isEmpty()
 
 
+def test_secret_query_against_brute_force(spark):
+    """Every stretch of every document tried as a candidate, features and votes of the trees counted one by one."""
+    run = re.compile(r"[A-Za-z0-9+/_-]")
+    names = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "api-key", "apikey", "credential")
+    known = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "sk-", "sk_", "AIza", "eyJ", "npm_", "pypi-")
+
+    def spans(t):
+        out, i = [], 0
+        while i < len(t):
+            j = i
+            while j < len(t) and run.match(t[j]):
+                j += 1
+            if j - i >= 16:
+                end = j
+                while end < len(t) and end < j + 2 and t[end] == "=":
+                    end += 1
+                s = t[i:end]
+                if s.startswith(known) or (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+                    out.append((i, end))
+            i = max(j, i + 1)
+        low = t.lower()
+        for k in range(len(t)):
+            for name in names:
+                if low.startswith(name, k):
+                    m = re.match(r"s?[\"']?\s*[=:]\s*[\"']?([^\s\"'<>,;]+)", t[k + len(name) :])
+                    if m:
+                        out.append((k + len(name) + m.start(1), k + len(name) + m.end(1)))
+        best: list = []
+        for a, z in sorted(set(out), key=lambda x: (x[0], -x[1])):
+            if not best or a >= best[-1][1]:
+                best.append((a, z))
+        return best
+
+    forest = secrets.train()
+
+    def vote(x):
+        total = 0.0
+        for root in forest.roots.tolist():
+            while forest.left[root] != root:
+                root = int(forest.left[root] if x[forest.feature[root]] <= forest.cut[root] else forest.right[root])
+            total += forest.value[root]
+        return total / len(forest.roots)
+
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        for a, z in spans(r.text):
+            p = vote(secrets.features(r.text[a:z], r.text[max(0, a - secrets.NEAR) : a], r.text[z : z + secrets.NEAR], r.source))
+            if p >= secrets.THRESHOLD:
+                want[r.doc_id, a, z - a] = p
+    got = {(r.doc_id, r.start, r.n_chars): r.probability for r in queries.op2_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    assert got == pytest.approx(want, abs=1e-6) and want
+
+
+def test_secret_scan_without_a_path_and_of_repeated_rows(spark, docs):
+    plain = docs.select("doc_id", "text")
+    assert [(r.doc_id, r.n_chars) for r in secrets.scan(plain.unionByName(plain)).collect()] == [(11, 40)] * 2
+    assert secrets.redacted(plain).where("doc_id = 11").first().text.count(secrets.MARK) == 1
+
+
+def test_html_query_against_brute_force(spark, sf_dir):
+    """Votes counted in a loop over the hosts, each page extracted anew by the path its host's pages agree on."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    host = {r.page_id: r.url.split("://")[1].split("/")[0].removeprefix("www.") for r in pages}
+    best = {r.page_id: html.best(r.html) for r in pages}
+    votes = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in pages:
+        if best[r.page_id]:
+            votes[host[r.page_id]][best[r.page_id][0]].append(best[r.page_id][1])
+    won = {}
+    for h, paths in votes.items():
+        top = min((-len(v), -sum(math.floor(x + 0.5) for x in v), k) for k, v in paths.items())
+        if -top[0] >= html.LEAST_VOTES:
+            won[h] = top[2]
+
+    def inside(page, wanted):
+        """The text of containers of the path, by a stack of names."""
+        path, out, deep, quiet, found = [], [], 0, 0, False
+        for what, value, attributes in html.events(page):
+            if what == "text":
+                if deep and not quiet:
+                    out.append(re.sub(r"\s+", " ", __import__("html").unescape(value)))
+                continue
+            if what == "open":
+                path.append(html._step(value, attributes))
+                quiet += value in html.NOISE
+                hit = value in html.CONTAINERS and ">".join(path) == wanted
+                deep, found = deep + hit, found or hit
+            else:
+                deep -= value in html.CONTAINERS and ">".join(path) == wanted
+                path.pop()
+                quiet -= value in html.NOISE
+            if value in html.BLOCKS:
+                out.append("\n")
+        return "\n".join(y for x in "".join(out).split("\n") if (y := re.sub(" +", " ", x).strip())) if found else None
+
+    want = {}
+    for r in pages:
+        h, own = host[r.page_id], best[r.page_id]
+        text_ = inside(r.html, won[h]) if h in won else None
+        if text_:
+            want[r.page_id] = (h, won[h], True, text_)
+        elif own and (t := inside(r.html, own[0])):
+            want[r.page_id] = (h, own[0], False, t)
+    got = {r.page_id: (r.host, r.path, r.consensus, r.text) for r in queries.op3_html_extraction(spark, sf_dir).collect()}
+    assert got == want and any(v[2] for v in want.values())
+
+
+def test_packing_tree_against_brute_force(spark, docs, monkeypatch):
+    """Each round and merge by hand: the bins' fills are those of best-fit within partitions, then over what was left of each."""
+    sizes = {i: n for i, n in enumerate(random.Random(8).choices(range(1, 60), k=300))}
+    table = spark.createDataFrame([(i, "w " * n) for i, n in sizes.items()], "doc_id long, text string").repartition(5, "doc_id")
+    parts = collections.defaultdict(list)
+    for r in table.withColumn("p", F.spark_partition_id()).collect():
+        parts[r.p].append(sizes[r.doc_id])
+
+    def fit(items, capacity):
+        rooms: list[int] = []
+        for n in sorted(items, reverse=True):
+            fits = [x for x in rooms if x >= n]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - n)
+            else:
+                rooms.append(capacity - n)
+        return [capacity - x for x in rooms]
+
+    full, rest = [], []
+    for items in parts.values():
+        for x in fit(items, 64):
+            (full if x >= 0.98 * 64 else rest).append(x)
+    got = packing.pack(table, capacity=64, fan_in=8).collect()
+    assert sorted(r.fill for r in got) == sorted(full + fit(rest, 64))
+    assert sorted(i for r in got for i in r.doc_ids) == sorted(sizes)
+    many = packing.pack(table, capacity=64, fan_in=2).collect()
+    assert sorted(i for r in many for i in r.doc_ids) == sorted(sizes) and len(many) <= sum(sizes.values()) / 64 * 1.05 + 1
+
+
 def test_packing(docs, empty, monkeypatch):
     got = packing.pack(docs.repartition(5), capacity=64, fan_in=2).collect()
     assert len({r.bin for r in got}) == len(got)
@@ -310,6 +477,45 @@ def test_quality(spark, docs, empty):
     assert "Python" not in quality.assess(docs)._jdf.queryExecution().toString()
 
 
+def test_pii_query_against_brute_force(spark, sf_dir):
+    """All spans found text by text, reliabilities estimated from votes counted in a loop, the classifier fitted here on all of them."""
+    import numpy as np
+
+    rows_ = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for a, z, kind in pii.spans(r.text):
+            near = (r.text[a:z], kind, r.text[max(0, a - pii.NEAR) : a], r.text[z : z + pii.NEAR])
+            rows_.append((r.doc_id, a, z - a, kind, pii.votes(*near), pii.traits(*near)))
+    kind, vote = np.array([pii.KINDS.index(r[3]) for r in rows_]), np.array([r[4] for r in rows_])
+    p = 1 / (1 + np.exp(-1.5 * vote.sum(1)))
+    for _ in range(50):  # each span for itself, not each pattern of votes
+        share, odds = {}, {}
+        for k in set(kind.tolist()):
+            at = kind == k
+            share[k] = (p[at].sum() + 1) / (at.sum() + 2)
+            for j in range(vote.shape[1]):
+                for v, (no, yes) in zip((-1, 0, 1), ((3, 1), (2, 2), (1, 3))):
+                    odds[k, j, v] = (yes + p[at & (vote[:, j] == v)].sum()) / (6 + p[at].sum()), (no + (1 - p)[at & (vote[:, j] == v)].sum()) / (6 + (1 - p)[at].sum())
+        new = np.array([math.log(share[k] / (1 - share[k])) + sum(math.log(odds[k, j, v][0] / odds[k, j, v][1]) for j, v in enumerate(x)) for k, x in zip(kind.tolist(), vote.tolist())])
+        last, p = p, 1 / (1 + np.exp(-np.clip(new, -35, 35)))
+        if np.abs(p - last).max() < 1e-6:
+            break
+    x = np.array([r[5] for r in rows_])
+    model = pii.fit_dense(x, p)
+    q = 1 / (1 + np.exp(-(np.column_stack([x, np.ones(len(x))]) @ model)))
+    want = {r[:3]: (r[3], v) for r, v in zip(rows_, q) if v >= pii.THRESHOLD}
+    got = {(r.doc_id, r.start, r.n_chars): (r.kind, r.probability) for r in queries.op6_pii(spark, sf_dir).collect()}
+    sure = {k for k, v in zip((r[:3] for r in rows_), q) if abs(v - pii.THRESHOLD) > 0.02}
+    assert {k for k in got if k in sure} == {k for k in want if k in sure} and len(want) > 20
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=0.02) for k in want if k in sure)
+
+
+def test_pii_of_repeated_rows_and_ties(spark):
+    t = "write to jo@example.com or jo@example.com now"
+    got = rows(pii.detect(spark.createDataFrame([(1, t), (1, t), (None, t), (2, None), (3, "")], "doc_id long, text string")))
+    assert [r[:4] for r in got] == sorted([(i, s, 14, "email") for i in (1, 1, None) for s in (9, 27)], key=str)
+
+
 def test_pii(docs, empty):
     assert [(r.doc_id, r.kind, r.n_chars) for r in pii.detect(docs).collect() if r.kind == "email"] == [(11, "email", 20)]
     assert pii.detect(empty).isEmpty() and pii.detect(docs.where("doc_id = 7")).isEmpty()
@@ -329,7 +535,29 @@ def test_toxicity_on_held_out_documents(spark):
     chain = toxicity.fit(d, lab.where("doc_id % 3 > 0"))
     held = toxicity.classify(d, chain).join(lab.where("doc_id % 3 = 0"), "doc_id")
     n = {(r.toxic, r.is_toxic): r["count"] for r in held.groupBy("toxic", "is_toxic").count().collect()}
-    assert (n.get((1, True), 0) + n.get((0, False), 0)) / sum(n.values()) > 0.85
+    hit, missed, wrong = (n.get(k, 0) for k in ((1, True), (1, False), (0, True)))
+    always = 2 * (hit + missed) / (2 * (hit + missed) + sum(n.values()) - hit - missed)  # F1 of calling every text toxic; that of none is 0
+    assert 2 * hit / (2 * hit + missed + wrong) > always + 0.3
+
+
+def test_toxicity_on_tasks_is_the_same_as_here(spark, sf_dir, monkeypatch):
+    """The query's result beside one with every fit made in this process, and each probability by hand."""
+    d, lab = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    tasks = toxicity.fit(d, lab)
+    monkeypatch.setattr(toxicity, "_on_tasks", lambda spark, x, width: None)
+    here = toxicity.fit(d, lab)
+    assert all((a == b).all() for k in ("sparse", "dense") for a, b in zip(getattr(tasks, k), getattr(here, k))) and tasks.thresholds == here.thresholds
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, sf_dir).collect()}
+    for r in d.where("doc_id % 40 = 0").collect():
+        earlier: list[float] = []
+        (_, _, x), *_ = toxicity.features(__import__("pyarrow").array([r.text]))
+        for k, name in enumerate(here.names):
+            dense = [*x.dense[0], *(2 * p - 1 for p in earlier)]
+            z = sum(float(here.sparse[k][i]) * v for i, v in zip(x.index, x.value)) + sum(a * b for a, b in zip(dense, here.dense[k]))
+            earlier.append(1 / (1 + math.exp(-max(-35, min(35, z)))))
+            has = bool(WORD.search(r.text))
+            assert got[r.doc_id][f"p_{name}"] == pytest.approx(earlier[-1] * has, abs=2e-6)
+            assert got[r.doc_id][f"is_{name}"] == (has and got[r.doc_id][f"p_{name}"] >= here.thresholds[k]) or abs(earlier[-1] - here.thresholds[k]) < 1e-5
 
 
 def test_toxicity_query_gives_every_document(spark, sf_dir):
