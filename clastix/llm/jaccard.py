@@ -38,9 +38,9 @@ PARTITIONS = 50_000
 #: Texts that share a prefix n-gram are cut into parts of so many, about, if they may be more.
 HOT_TEXTS = 2_000
 #: Texts, and bytes of their sets, of one unit of pairs.
-CELL_TEXTS, CELL_BYTES = 2_500, 8 << 20
+CELL_TEXTS, CELL_BYTES = 2_500, 4 << 20
 #: Bytes of sets that a verifying task reads, about.
-VERIFY_BYTES = 8 << 20
+VERIFY_BYTES = 4 << 20
 #: Pairs that a task makes at a time.
 PAIRS_AT_ONCE = 500_000
 
