@@ -58,7 +58,7 @@ _SIDE = 30
 class Similar:
     """What join() found, in linear size.
 
-    copies: (id, ids): texts that are equal character by character; id is the least of ids.
+    copies: (id, member): texts that are equal character by character, a row for each; id is the least of them.
     pairs: (a, b, shared, n_a, n_b, jaccard), a < b: similar texts, for each set of equal ones its least id.
     """
 
@@ -490,14 +490,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(T.WORD_SQL))
     hashed = lambda df: df.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
     by_id = hashed(texts).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("h1", "h2"))).alias("v"))
-    groups = written(by_id.select("id", F.col("v")[0].alias("h")).groupBy("h.h1", "h.h2").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1), "copies")
-    copies = groups.select(F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("id"), "h1", "h2")
+    one = by_id.select("id", "v", F.col("v")[0]["h1"].alias("h1"), F.col("v")[0]["h2"].alias("h2"))
+    least = one.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "least")
+    groups = written(one.join(least, ["h1", "h2"]).select("least", "id", "h1", "h2"), "copies")
+    copies = groups.where("id <> least").select("id", "h1", "h2")
     others = by_id.where(F.size("v") > 1).select("id", F.inline(F.slice("v", F.lit(2), F.size("v"))))
     extra = written(copies.unionByName(others).select(row_key("id", "h1", "h2").alias("k")), "extra")
     apart = hashed(texts).withColumn("k", row_key("id", "h1", "h2")).join(sized(extra), "k", "left_anti").select("id", "text")
     pairs = _pairs(apart, texts.agg(F.sum(F.length("text"))).first()[0] or 0, n, threshold)
     drop(extra)
-    return Similar(groups.select(F.col("ids")[0].alias("id"), "ids"), pairs)
+    return Similar(groups.select(F.col("least").alias("id"), F.col("id").alias("member")), pairs)
 
 
 def all_pairs(found: Similar) -> DataFrame:
@@ -506,12 +508,10 @@ def all_pairs(found: Similar) -> DataFrame:
     As large as the result of a join is: quadratic in the size of a group of copies. Ids are never null (join() leaves
     such rows out), rows that repeat an id are one text, and without copies and pairs there are no rows.
     """
-    lists = found.copies
-    within = lists.select(F.explode("ids").alias("doc_a"), "ids").select("doc_a", F.explode(F.filter("ids", lambda x: x > F.col("doc_a"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    a, b = lists.select(F.col("id").alias("a"), F.col("ids").alias("as")), lists.select(F.col("id").alias("b"), F.col("ids").alias("bs"))
-    across = found.pairs.join(a, "a", "left").join(b, "b", "left").select(F.explode(F.coalesce("as", F.array("a"))).alias("x"), F.coalesce("bs", F.array("b")).alias("bs"), "jaccard")
-    across = across.select("x", F.explode("bs").alias("y"), "jaccard").where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return within.unionByName(across)
+    a, b = found.copies.toDF("a", "x"), found.copies.toDF("b", "y")
+    within = a.join(b, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    across = found.pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "jaccard")
+    return within.unionByName(across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard"))
 
 
 def losers(found: Similar) -> DataFrame:
@@ -520,7 +520,7 @@ def losers(found: Similar) -> DataFrame:
     Components by large-star and small-star steps, over a written table in each round; a copy joins its
     group's least id at the start, so that rounds see one text of each set of equal ones.
     """
-    star = found.copies.select(F.explode("ids").alias("u"), F.col("id").alias("v")).where("u <> v")
+    star = found.copies.select(F.col("member").alias("u"), F.col("id").alias("v")).where("u <> v")
     edges = written(found.pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(star).distinct(), "edges")
     last = None
     while True:

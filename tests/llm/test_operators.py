@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clastix.llm import decontaminate, html, jaccard, language, licenses, packing, pii, quality, queries, secrets, toxicity
+from clastix.llm import decontaminate, html, jaccard, language, licenses, packing, pii, quality, queries, scratch, secrets, toxicity
 
 from ..conftest import rows
 from ..oracle import connect, same
@@ -122,7 +122,7 @@ def test_one_text_stands_for_an_id(spark):
 
 def test_chain_of_similar_texts_is_one_group(spark):
     pairs = spark.createDataFrame([(k, k + 1, 1, 1, 1, 1.0) for k in range(1, 40)] + [(100, 101, 1, 1, 1, 1.0)], jaccard._FOUND)
-    copies = spark.createDataFrame([(40, [40, 41, 42])], "id long, ids array<long>")
+    copies = spark.createDataFrame([(40, 40), (40, 41), (40, 42)], "id long, member long")
     assert sorted(r.id for r in jaccard.losers(jaccard.Similar(copies, pairs)).collect()) == [*range(2, 43), 101]
 
 
@@ -620,3 +620,20 @@ def test_stages_keep_columns(spark, docs, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, sf_dir)
         assert at.columns == docs.columns and at.dtypes == docs.dtypes, name
+
+
+def test_stages_of_an_empty_table_and_of_nulls(spark, docs, empty, sf_dir):
+    nulls = docs.where("doc_id = 1").select(*[F.lit(None).cast(kind).alias(c) for c, kind in docs.dtypes])
+    left = {"language_id": 0, "near_duplicates": 2, "decontamination": 2, "secret_scan": 2, "best_fit_packing": 0}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).isEmpty(), name
+        assert stage(spark, nulls, sf_dir).count() == left[name], name
+
+
+def test_pipeline_leaves_only_its_bins(spark, sf_dir):
+    import os
+
+    folder = scratch.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert len(set(os.listdir(folder)) - before) == 1 and out.count() > 0
