@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import assert_ranges, require, require_number, require_text
+from ..shared import fresh
 
 MODES = ("max", "min", "bounds")
 #: Added to starts before endpoints are ordered, so that a start comes before an end of the same age.
@@ -69,20 +70,24 @@ def chrono_scale(df: DataFrame, tscale: DataFrame, srt: str = "early_interval",
     """df with newFAD and newLAD, the ages of its named intervals.
 
     The late interval defaults to the early one. Unknown names take the ages of max_ma and min_ma, if
-    given (both or neither), else null; both are null unless both are known, and are put in order.
+    given (both or neither), else null; both are null unless both are known, and are put in order. A null
+    early interval is an unknown name. Rows are dated each, repeated ones alike; an empty table stays empty. Columns of df stay; a result whose name df
+    has already gets underscores behind it.
     """
     if (max_ma is None) != (min_ma is None):
         raise ValueError("give both of max_ma and min_ma, or neither")
     require_text(df, srt, end)
     if validate:
         check_scale(tscale)
-    a, b = _lookup(tscale, "__srt", "__fad", "FAD"), _lookup(tscale, "__end", "__lad", "LAD")
-    out = df.join(a, F.col(srt) == F.col("__srt"), "left").join(b, F.coalesce(F.col(end), F.col(srt)) == F.col("__end"), "left")
-    fad, lad = F.col("__fad"), F.col("__lad")
+    i, j, x, y = fresh(df, "i", "j", "x", "y")
+    a, b = _lookup(tscale, i, x, "FAD"), _lookup(tscale, j, y, "LAD")
+    out = df.join(a, F.col(srt) == F.col(i), "left").join(b, F.coalesce(F.col(end), F.col(srt)) == F.col(j), "left")
+    fad, lad = F.col(x), F.col(y)
     if max_ma is not None:
         fad, lad = F.coalesce(fad, F.col(max_ma)), F.coalesce(lad, F.col(min_ma))
     both = fad.isNotNull() & lad.isNotNull()
-    return out.withColumns({"newFAD": F.when(both, F.greatest(fad, lad)), "newLAD": F.when(both, F.least(fad, lad))}).drop("__srt", "__end", "__fad", "__lad")
+    new = dict(zip(fresh(df, "newFAD", "newLAD"), (F.when(both, F.greatest(fad, lad)), F.when(both, F.least(fad, lad)))))
+    return out.withColumns(new).drop(i, j, x, y)
 
 
 def unmatched_intervals(df: DataFrame, tscale: DataFrame, srt: str = "early_interval", end: str = "late_interval") -> DataFrame:
@@ -107,7 +112,7 @@ def kingdom(phylum: Column, animals: list[str], plants: list[str], protists: lis
 def add_kingdoms(df: DataFrame, kingdoms: dict[str, list[str]] | DataFrame, phylum: str = "phylum", insert_left: bool = True) -> DataFrame:
     """df with a kingdom column, left of phylum or last. kingdoms: lists by kingdom, or a table (phylum, kingdom) that is joined.
 
-    A df that has a kingdom column already is an error.
+    A df that has a kingdom column already is an error. A phylum that is null or in no list has no kingdom.
     """
     require_text(df, phylum)
     if "kingdom" in df.columns:
@@ -116,9 +121,10 @@ def add_kingdoms(df: DataFrame, kingdoms: dict[str, list[str]] | DataFrame, phyl
         out = df.withColumn("kingdom", kingdom(F.col(phylum), *(list(kingdoms.get(k, [])) for k in ("Animalia", "Plantae", "Protista"))))
     else:
         level = F.coalesce(F.array_position(F.array(*map(F.lit, reversed(ORDER))), F.col("kingdom")), F.lit(0))
-        one = kingdoms.groupBy(F.col("phylum").alias("__p")).agg(F.max_by("kingdom", level).alias("__k"))
-        own = F.coalesce(*[F.when(F.col(phylum) == p, F.lit(k)) for p, k in reversed(OWN)], F.col("__k"))
-        out = df.join(one, F.col(phylum) == F.col("__p"), "left").withColumn("kingdom", own).drop("__p", "__k")
+        name, found = fresh(df, "name", "found")
+        one = kingdoms.groupBy(F.col("phylum").alias(name)).agg(F.max_by("kingdom", level).alias(found))
+        own = F.coalesce(*[F.when(F.col(phylum) == p, F.lit(k)) for p, k in reversed(OWN)], F.col(found))
+        out = df.join(one, F.col(phylum) == F.col(name), "left").withColumn("kingdom", own).drop(name, found)
     if not insert_left:
         return out
     at = df.columns.index(phylum)

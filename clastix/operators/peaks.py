@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ThresholdResult, require, require_number
+from ..shared import fresh
 from .density import dense, densify
 
 SPAN = 0.2
@@ -93,16 +94,18 @@ def threshold_peaks(df: DataFrame, peaks: DataFrame, rank: str = "genus", srt: s
 
     split is taxon_g/n: g counts slices from the young end, by the middle of the range, n is the highest
     that the taxon has. Rows without a taxon or an age keep their taxon. comparison: taxon, pre (peaks), post (slices).
+    Columns of df stay; split gets underscores behind it if df has one already. An empty table gives empty results.
     """
     cut = breaks(peaks, thresh, use_sd)
-    mid = F.col(srt) - (F.col(srt) - F.col(end)) / 2
-    joined = df.join(cut.select(F.col("taxon").alias("__t"), "cuts"), F.col(rank).cast("string") == F.col("__t"), "left")
-    slot = F.size(F.filter("cuts", lambda b: b < F.col("__m"))) + 1
-    sliced = joined.withColumn("__m", mid).withColumn("__g", F.when(F.col("cuts").isNotNull() & F.col("__m").isNotNull(), slot))
-    top = sliced.where("__g IS NOT NULL").groupBy(F.col(rank).cast("string").alias("__k")).agg(F.max("__g").alias("__n"))
-    named = sliced.join(top, F.col(rank).cast("string") == F.col("__k"), "left")
-    split = F.when(F.col("__g").isNotNull(), F.concat(F.col(rank).cast("string"), F.lit("_"), F.col("__g").cast("string"), F.lit("/"), F.col("__n").cast("string"))).otherwise(F.col(rank).cast("string"))
-    data = named.withColumn("split", split).select(*[F.col(c) for c in df.columns], "split")
+    name, cuts, g, key, n, split = fresh(df, "name", "cuts", "g", "key", "n", "split")
+    taxon, mid = F.col(rank).cast("string"), F.col(srt) - (F.col(srt) - F.col(end)) / 2
+    joined = df.join(cut.select(F.col("taxon").alias(name), F.col("cuts").alias(cuts)), taxon == F.col(name), "left")
+    slot = F.size(F.filter(cuts, lambda b: b < mid)) + 1
+    sliced = joined.withColumn(g, F.when(F.col(cuts).isNotNull() & mid.isNotNull(), slot))
+    top = sliced.where(F.col(g).isNotNull()).groupBy(taxon.alias(key)).agg(F.max(g).alias(n))
+    named = sliced.join(top, taxon == F.col(key), "left")
+    label = F.when(F.col(g).isNotNull(), F.concat(taxon, F.lit("_"), F.col(g).cast("string"), F.lit("/"), F.col(n).cast("string"))).otherwise(taxon)
+    data = named.select(*[F.col(c) for c in df.columns], label.alias(split))
     return data, cut.select("taxon", "pre", (F.size("cuts") + 1).alias("post"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ages import add_kingdoms, chrono_scale
 from ..schema import require
+from ..shared import fresh
 
 BASE = "https://paleobiodb.org/data1.2/"
 MODES = {
@@ -176,7 +177,8 @@ def read_occurrences(spark: SparkSession, paths: str | list[str], schema: str |
     df = df.dropDuplicates([key])
     if tscale is not None:
         df = df.withColumns({c: F.col(c).cast("double") for c in ("max_ma", "min_ma")})
-        df = chrono_scale(df, tscale, max_ma="max_ma", min_ma="min_ma").withColumns({"max_ma": F.col("newFAD"), "min_ma": F.col("newLAD")}).drop("newFAD", "newLAD")
+        new = fresh(df, "newFAD", "newLAD")
+        df = chrono_scale(df, tscale, max_ma="max_ma", min_ma="min_ma").withColumns({"max_ma": F.col(new[0]), "min_ma": F.col(new[1])}).drop(*new)
     return add_kingdoms(df, kingdoms) if kingdoms else df
 
 

@@ -185,3 +185,18 @@ def test_intersections_of_a_whole_table_in_parts(spark):
     assert [(r[0], r[2]) for r in got] == sorted([(x, top) for x in {a for a, _ in whole} if n[x] == top], key=str)
     assert all(r[1] >= r[0] and not any(r[0] < a < r[1] for a, _ in whole) for r in got)
     assert intervals.intersect_ranges(df.limit(0)).isEmpty()
+
+
+def test_dating_and_slicing_leave_columns_of_the_same_names(spark):
+    from clastix.operators import ages, peaks
+
+    x = spark.createDataFrame([("Early", None, 1, 2, 3), ("Nowhere", "Late", 4, 5, 6), (None, None, 7, 8, 9)], "early_interval string, late_interval string, newFAD int, i int, x int")
+    scale = spark.createDataFrame([("Early", 30.0, 20.0), ("Late", 20.0, 10.0), ("Early", 30.0, 20.0)], "Interval string, FAD double, LAD double")
+    out = ages.chrono_scale(x, scale)
+    assert rows(out.select(*x.columns)) == rows(x) and {r.x: (r.newFAD_, r.newLAD) for r in out.collect()} == {3: (30.0, 20.0), 6: (None, None), 9: (None, None)}
+    assert ages.chrono_scale(x.limit(0), scale).isEmpty()
+    y = spark.createDataFrame([("a", 50.0, 48.0, "s", 1)] * 5 + [("a", 12.0, 10.0, "s", 2)] * 5, "genus string, max_ma double, min_ma double, split string, cuts int")
+    got = peaks.threshold_ranges(y, thresh=5).data
+    assert {(r.cuts, r.split, r.split_) for r in got.collect()} == {(1, "s", "a_2/2"), (2, "s", "a_1/2")}
+    kingdoms = spark.createDataFrame([("P", "Plantae")], "phylum string, kingdom string")
+    assert rows(ages.add_kingdoms(spark.createDataFrame([("P", 1), (None, 2)], "phylum string, name int"), kingdoms)) == [("Plantae", "P", 1), (None, None, 2)]
