@@ -19,12 +19,13 @@ def _ranges(df: DataFrame, taxon: str, srt: str, end: str, mode: str) -> DataFra
     rows = df.select(F.col(taxon).cast("string").alias("taxon"), F.col(srt).cast("double").alias("s"), F.col(end).cast("double").alias("e")).dropna()
     if mode == "max":
         return rows.groupBy("taxon").agg(F.max("s").alias("FAD"), F.min("e").alias("LAD"))
-    ends = rows.select("taxon", F.inline(F.array(F.struct((F.col("s") + SHIFT).alias("adj"), F.lit(1).alias("start"), F.col("s").alias("age")), F.struct(F.col("e").alias("adj"), F.lit(0).alias("start"), F.col("e").alias("age"))))).distinct()
-    down = Window.partitionBy("taxon").orderBy(F.desc("adj"), F.desc("start"))
-    at = ends.withColumn("k", F.row_number().over(down)).withColumn("n", F.count("*").over(Window.partitionBy("taxon")))
-    place = lambda k: F.max(F.when(F.col("k") == k, F.col("age")))
-    n = F.col("n")
-    out = at.groupBy("taxon").agg(place(F.lit(1)).alias("FAD_early"), place(F.lit(2)).alias("FAD_late"), place(n - 1).alias("LAD_early"), place(n).alias("LAD_late"))
+    ends = rows.select("taxon", F.inline(F.array(F.struct((F.col("s") + SHIFT).alias("adj"), F.lit(1).alias("start"), F.col("s").alias("age")), F.struct(F.col("e").alias("adj"), F.lit(0).alias("start"), F.col("e").alias("age")))))
+    taxon = Window.partitionBy("taxon")
+    # equal endpoints have one rank; ranks up to 2 are cut off before the shuffle
+    first = ends.withColumn("k", F.dense_rank().over(taxon.orderBy(F.desc("adj"), F.desc("start")))).where("k <= 2").select("taxon", "k", "age")
+    last = ends.withColumn("k", F.dense_rank().over(taxon.orderBy("adj", "start"))).where("k <= 2").select("taxon", (-F.col("k")).alias("k"), "age")
+    place = lambda k, name: F.max(F.when(F.col("k") == k, F.col("age"))).alias(name)
+    out = first.unionByName(last).groupBy("taxon").agg(place(1, "FAD_early"), place(2, "FAD_late"), place(-2, "LAD_early"), place(-1, "LAD_late"))
     if mode == "bounds":
         return out
     return out.select("taxon", F.col("FAD_late").alias("FAD"), F.col("LAD_early").alias("LAD"))
