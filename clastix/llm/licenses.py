@@ -14,6 +14,8 @@ from . import tokens as T
 from .scratch import bounded
 
 THRESHOLD = 0.8
+#: Of licences whose templates are like each other one is reported only if no other is better by more than this.
+MARGIN = 0.02
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
@@ -37,11 +39,15 @@ _GPL = " ".join(
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
+_AGPL = _GPL.replace("GNU General", "GNU Affero General")
+_GPL2 = _GPL.replace("either version 3 of", "either version 2 of").replace("free software: you", "free software; you")
+_LGPL = _GPL2.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of")
+_LGPL3 = _LGPL.replace("version 2.1 of", "version 3 of")
 _EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""
 _ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
 _BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-#: Identifiers of licences as source files name them.
-_SPDX = "MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+#: Identifiers of licences as source files name them; those of one word are too short to tell from the label before them.
+_SPDX = "BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
 
 #: (licence, text of the template): whole grants, headers, and one-line notices and identifiers that name a licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -72,6 +78,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain worldwide under CC0 1.0 Universal."),
     ("proprietary", "All rights reserved."),
+    ("GPL-2.0", _GPL2),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", _LGPL),
+    ("LGPL-3.0", _LGPL3),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", _AGPL),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("EPL-2.0", _EPL),
     ("Zlib", _ZLIB),
     ("BSL-1.0", _BOOST),
@@ -97,6 +110,17 @@ class Templates:
         self.least = max(1, math.ceil(threshold / 2 * (self.sizes.min() + threshold / (2 - threshold) * self.sizes.min()) - 1e-9))
 
         self.by_size = np.argsort(self.sizes, kind="stable")
+        both = self.has.astype(np.int64) @ self.has.T.astype(np.int64)
+        alike = 2 * both >= threshold * (self.sizes[:, None] + self.sizes) - 1e-12
+        self.rivals = {(names[i], names[j]) for i, j in np.argwhere(alike).tolist() if names[i] != names[j]}
+
+    def reported(self, rows: dict[tuple[int, str], float]) -> list[tuple[int, str, float]]:
+        """(text, licence, coefficient) of those that no rival in the same text is better than by more than MARGIN; rivals have templates that are like each other."""
+        texts: dict[int, list[tuple[str, float]]] = {}
+        for (at, name), dice in sorted(rows.items()):
+            texts.setdefault(at, []).append((name, dice))
+        beaten = lambda x, all_: any(y[1] > x[1] + MARGIN and (x[0], y[0]) in self.rivals for y in all_)
+        return [(at, *x) for at, found in texts.items() for x in found if not beaten(x, found)]
 
     def near(self, size: int) -> np.ndarray:
         """The templates whose sizes allow the threshold: 2 min(|A|, |B|) / (|A| + |B|) must reach it. No other is compared."""
@@ -131,8 +155,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     The coefficient is that of the sets of word bigrams: 2 |A & B| / (|A| + |B|). A template is compared
     only if the sizes allow the threshold. Null or empty texts have no licence; null ids stay null;
     repeated rows are reported each; an empty table gives no rows. Of templates of one licence the best
-    counts; of several licences that a text is like each has its row, ties included. Other columns are not read. Texts
-    are read whole.
+    counts. Of several licences that a text is like each has its row, ties included, but of those that have templates like
+    each other (they differ by a few words) only the best, and what is within MARGIN of it. Other columns are not read.
+    Texts are read whole.
     """
     docs = bounded(docs)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -151,8 +176,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                         key = (int(doc[at]), name)
                         rows[key] = max(dice, rows.get(key, 0.0))
                 _runs(ready, h, doc, rows)
-            out = sorted(rows.items())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k[0] for k, _ in out], pa.int64())), pa.array([k[1] for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.float64())], names=["doc_id", "license", "dice"])
+            out = ready.reported(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.float64())], names=["doc_id", "license", "dice"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(go, f"doc_id {kind}, license string, dice double")
 
@@ -220,6 +245,8 @@ d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text I
 u AS (SELECT r, doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text])) AS t FROM d),
 uw AS (SELECT row_number() OVER () AS q, r, doc_id, {words.format("t")} AS w FROM u), ug AS (SELECT q, r, doc_id, {grams} AS g FROM uw WHERE len(w) > 1),
 ue AS (SELECT q, r, doc_id, len(g) AS n, unnest(g) AS x FROM ug),
-c AS (SELECT ue.q, r, ue.doc_id, k, license, 2 * count(*) / (any_value(ue.n) + any_value(me.n)) AS dice FROM ue JOIN me USING (x) GROUP BY ALL)
-SELECT doc_id, license, round(max(dice), 6) AS dice FROM c WHERE dice >= {threshold} - 1e-12 GROUP BY r, doc_id, license
+c AS (SELECT ue.q, r, ue.doc_id, k, license, 2 * count(*) / (any_value(ue.n) + any_value(me.n)) AS dice FROM ue JOIN me USING (x) GROUP BY ALL),
+b AS (SELECT r, doc_id, license, max(dice) AS dice FROM c WHERE dice >= {threshold} - 1e-12 GROUP BY r, doc_id, license),
+v AS (SELECT DISTINCT i, j FROM (SELECT a.license AS i, b.license AS j FROM me a JOIN me b USING (x) GROUP BY a.k, b.k, 1, 2 HAVING 2 * count(*) / (any_value(a.n) + any_value(b.n)) >= {threshold} - 1e-12) WHERE i <> j)
+SELECT doc_id, license, round(dice, 6) AS dice FROM b WHERE NOT EXISTS (SELECT 1 FROM b AS o JOIN v ON v.j = o.license WHERE o.r = b.r AND v.i = b.license AND o.dice > b.dice + {MARGIN})
 """

@@ -411,6 +411,18 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).isEmpty()
 
 
+def test_licenses_that_differ_by_a_word_are_told_apart(spark):
+    names = {"GPL-3.0": "GNU General Public License, version 3", "LGPL-3.0": "GNU Lesser General Public License, version 3", "AGPL-3.0": "GNU Affero General Public License, version 3", "GPL-2.0": "GNU General Public License, version 2"}
+    data = [(f"Licensed under the {t}.", {k}) for k, t in names.items()]
+    data += [(dict(reversed(licenses.TEMPLATES))[k] if k != "LGPL-3.0" else licenses._LGPL3, {k}) for k in ("CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GPL-2.0")]
+    data += [(licenses._BSD3 + licenses._BSD_END, {"BSD-3-Clause", "BSD-2-Clause"}), (licenses._BSD2 + licenses._BSD_END, {"BSD-2-Clause"}), ("// SPDX-License-Identifier: LGPL-2.1-or-later", {"LGPL-2.1"})]
+    data += [(f"Licensed under the {names['GPL-3.0']}.\n\n{text(4, 40)}\n\nLicensed under the {names['LGPL-3.0']}.", {"GPL-3.0", "LGPL-3.0"})]
+    got = collections.defaultdict(set)
+    for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+    assert [got[i] for i in range(len(data))] == [k for _, k in data]
+
+
 def test_licenses_inside_long_texts(spark):
     grant, mit, end = licenses._MIT.replace("following conditions: ", "following conditions:@").replace("of the Software. THE", "of the Software.@THE").split("@")
     gpl = licenses._GPL.replace("version. This", "version.@This").split("@")
