@@ -29,7 +29,7 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 LEAST_VOTES = 2
 
 #: A tag whose attributes hold no <, which most are; the scanner of tags() reads all others.
-_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/><\"']*)(?=[\s/>])((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/><\"']*+)(?=[\s/>])((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
 _NAME_END = re.compile(r"[\s/>]")
 _SIGN = re.compile(r"[>\"']")
 _RAW = re.compile(r"(script|style)\b", re.I)
