@@ -16,58 +16,64 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts; one that has fewer splits than the cluster has cores is dealt out over them."""
+    df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similar documents: (doc_a, doc_b, jaccard)."""
-    return jaccard.all_pairs(jaccard.join(_table(spark, sf_dir, "documents"))).withColumn("jaccard", F.round("jaccard", 6))
+    return jaccard.all_pairs(jaccard.join(_texts(spark, sf_dir))).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a test item: (doc_id, item_id, n_words, doc_word, item_word)."""
-    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's language, by a model of the documents' own labels: (doc_id, language, probability, keep)."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return language.identify(docs, language.fit(docs))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents: (doc_id, start, n_chars, digest, probability)."""
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_texts(spark, sf_dir))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into bins: (bin, fill, doc_ids, starts, lengths)."""
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_texts(spark, sf_dir))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's metrics, the rules it breaks, and whether it is kept."""
-    out = quality.assess(_table(spark, sf_dir, "documents"))
+    out = quality.assess(_texts(spark, sf_dir))
     return out.withColumns({k: F.round(k, 6) for k, (_, bottom) in quality.RATIOS.items() if bottom})
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's probability of each category of the chain, and the categories that it is in."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     chain = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.classify(docs, chain)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences in documents: (doc_id, license, dice)."""
-    return licenses.scan(_table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+    return licenses.scan(_texts(spark, sf_dir)).withColumn("dice", F.round("dice", 6))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main texts of pages: (page_id, host, path, consensus, text)."""
-    return html.extract(_table(spark, sf_dir, "pages"))
+    return html.extract(_texts(spark, sf_dir, "pages"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in documents: (doc_id, start, n_chars, kind, probability)."""
-    return pii.detect(_table(spark, sf_dir, "documents"))
+    return pii.detect(_texts(spark, sf_dir))
 
 
 _WORDS = r"regexp_extract_all(lower({0}), '[0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+')"
