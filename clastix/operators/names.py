@@ -10,6 +10,10 @@ from ..schema import require, require_text
 from ..shared import drop, fresh, written
 
 
+#: Parts of a block of terms that are compared with the whole block, each in a task.
+PARTS = 8
+
+
 def clean_name(x: Column, terms: list[str] | None = None, collapse: list[str] | None = None) -> Column:
     """A name as one or two words, the first capitalised, the rest small; null if nothing is left.
 
@@ -95,8 +99,11 @@ def spell_check(
     block = F.left("t", F.lit(str_)) if str_ else F.lit("")
     seen = seen.distinct().withColumn("block", block)
     seen = seen.withColumn("k", letter_mask("t"))
-    a, b = seen.withColumnsRenamed({"t": "t1", "k": "k1"}), seen.withColumnsRenamed({"t": "t2", "k": "k2"})
-    pairs = a.join(b, ["group", "block"]).where("t1 < t2")
+    # few terms make many pairs: blocks are cut in parts, and dealt out by number, as their bytes would not fill a task
+    keys, tasks = ["group", "block", "part"], max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    a = seen.select("group", "block", F.col("t").alias("t1"), F.col("k").alias("k1"), F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part")).repartition(tasks, *keys)
+    b = seen.select("group", "block", F.col("t").alias("t2"), F.col("k").alias("k2"), F.pmod(F.xxhash64("t"), F.lit(PARTS)).cast("int").alias("part")).repartition(tasks, *keys)
+    pairs = a.join(b, keys).where("t1 < t2").drop("part")
     n, m = F.length("t1"), F.length("t2")
     pairs = pairs.where(1 - (F.least(n, m) / F.greatest(n, m) + 2) / 3 < jw)
     # a letter that the other has not matches nothing
