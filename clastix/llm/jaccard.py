@@ -10,6 +10,11 @@ the input in shuffle files. An n-gram that a single text has (two thirds of them
 further than the count. Identical texts are found first and enter the join as one. No task holds more than
 blocks of a bounded size: the texts of a frequent n-gram are cut into parts, each two of which are a unit of
 work, and so are the texts that share their least n-gram.
+
+A group of n near copies has n^2 / 2 similar pairs, which no filter drops. Where no more than the groups and links of
+texts are asked for (linked()), texts that share most of their frequent n-grams with one text are its family: the
+join by prefixes leaves out pairs within a family, and all of them are counted by products of matrices, tile by tile.
+Any division into families gives the same result; it only decides which of the two ways counts a pair.
 """
 
 from __future__ import annotations
@@ -41,6 +46,14 @@ HOT_TEXTS = 2_000
 CELL_TEXTS, CELL_BYTES = 2_500, 4 << 20
 #: Bytes of sets that a verifying task reads, about.
 VERIFY_BYTES = 4 << 20
+#: Texts that a family has at least, and an n-gram that counts for families; texts of families altogether, at most (the largest ones; their numbers are broadcast, 12 bytes each).
+FAMILY, FAMILY_TEXTS = 64, 1_000_000
+#: Numbers in a text's sketch of its frequent n-grams, and how many of them a text and the first of its family have in common.
+SKETCH, ALIKE = 16, 4
+#: Texts, and bytes of their sets, of each side of a tile.
+TILE_TEXTS, TILE_BYTES = 2_500, 8 << 20
+#: A tile's n-grams that so many of its texts have are columns of matrices, so many at a time; rarer ones are counted pair by pair.
+DENSE, COLUMNS = 32, 1024
 #: Pairs that a task makes at a time.
 PAIRS_AT_ONCE = 500_000
 
@@ -66,6 +79,20 @@ class Similar:
     pairs: DataFrame
 
 
+@dataclass(frozen=True)
+class Linked:
+    """What linked() found, in linear size but for pairs of texts that are in no common family.
+
+    copies, pairs: as in Similar, without the pairs within a family.
+    within: (kind, a, b): kind 0: a text a of a family and how many documents b are similar to it by its family's texts, in a tile; kind 1: pairs a < b
+    that connect whatever the family's similar pairs connect.
+    """
+
+    copies: DataFrame
+    pairs: DataFrame
+    within: DataFrame
+
+
 def _bytes(x: np.ndarray, dtype: str) -> bytes:
     return x.astype(dtype).tobytes()
 
@@ -210,9 +237,24 @@ def _units(gram: np.ndarray, rank: np.ndarray, id_: np.ndarray, most: int) -> tu
     return of, unit, np.where(own == other, 0, np.where(own < other, 1, 2))
 
 
-def _prefixes(t: float, buckets: int, most: int):
+def _sketches(t: float, family: int, text: np.ndarray, gram: np.ndarray, rank: np.ndarray, sizes: np.ndarray) -> dict[int, bytes]:
+    """Of each text of whose n-grams a share of t or more are frequent: the least value of those by each of SKETCH hash functions."""
+    hot = rank >= math.floor(4 * math.log2(family))
+    often = np.bincount(text[hot], minlength=len(sizes))
+    hot &= ((often > 0) & (often >= t * sizes))[text]
+    text, gram = text[hot], gram[hot]
+    if not len(text):
+        return {}
+    at = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    least = [np.minimum.reduceat(T.mix(gram + np.uint64(k + 1) * T._STEP), at) >> np.uint64(32) for k in range(SKETCH)]
+    return dict(zip(text[at].tolist(), (x.tobytes() for x in np.stack(least, 1).astype("<u4"))))
+
+
+def _prefixes(t: float, buckets: int, most: int, family: int = 0):
     """Blocks by source to kind 0: the shared n-grams of a text, and kind 1: blocks of prefix n-grams by bucket.
 
+    If families have a least size, kind 0 has a text's sketch too, if it may be in one.
+
     A prefix n-gram has its place in its text's order, the hash of the shared one before it, and how many shared ones
     follow it in each part of the hash range.
     """
@@ -239,10 +281,11 @@ def _prefixes(t: float, buckets: int, most: int):
             active = np.bincount(text[prefix], minlength=len(ids)) > 0
             cells = np.zeros(len(ids), np.uint32)
             none = (b"",) * 9
+            sketch = _sketches(t, family, text, gram, rank, sizes) if family else {}
             for k in np.flatnonzero(active).tolist():
                 g = np.sort(gram[begin[k] : begin[k + 1]])
                 cells[k] = int(g[0]) % 2147483647
-                yield 0, int(ids[k]), int(sizes[k]), int(cells[k]), *none[:5], _bytes(g, "<u8"), *none[:3]
+                yield 0, int(ids[k]), int(sizes[k]), int(cells[k]), sketch.get(k, b""), *none[:4], _bytes(g, "<u8"), *none[:3]
             tails = np.empty((len(prefix), _TAILS), np.uint8)
             for q in range(_TAILS):
                 so_far = np.append(0, np.cumsum((gram >> np.uint64(61)) == q, dtype=np.int32))
@@ -292,11 +335,29 @@ def _made(t: float, unit: np.ndarray, side: np.ndarray, n: np.ndarray, place: np
     hi = np.searchsorted(key, partner | np.floor(n / t + 1e-9).astype(np.int64), "right")
     lo = np.where(side == 0, at + 1, np.searchsorted(key, partner | np.ceil(n * t - 1e-9).astype(np.int64), "left"))
     after = np.where(side == 2, 0, np.maximum(hi - lo, 0))
+    yield from _ranges(t, lo, after, n, place, before, tails, most_pairs)
+
+
+def _across(t: float, unit: np.ndarray, side: np.ndarray, family: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray, tails: np.ndarray, most_pairs: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of postings, sorted by unit, side and family (0: none), of which one or both are in a family, but not both in the same; filtered as in _made, where the positional filter holds the lengths too."""
+    new = np.append(True, (unit[1:] != unit[:-1]) | ((side[1:] > 0) != (side[:-1] > 0)))[: len(unit)]
+    segment, width = (np.cumsum(new) - 1) * 2 + (side == 2), int(family.max(initial=0)) + 1
+    key = segment * width + family
+    other = (segment + (side == 1)) * width
+    end = np.searchsorted(key, other + width)
+    lo = np.searchsorted(key, other + family, "right")
+    yield from _ranges(t, lo, np.where(side == 2, 0, end - lo), n, place, before, tails, most_pairs)
+    lo = np.searchsorted(key, other)
+    yield from _ranges(t, lo, np.where((side == 1) & (family > 0), np.searchsorted(key, other + family) - lo, 0), n, place, before, tails, most_pairs)
+
+
+def _ranges(t: float, lo: np.ndarray, count: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray, tails: np.ndarray, most_pairs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each posting with the count of postings from lo on, if the pair passes the positional and suffix filters."""
     left = n - place
-    total, i = np.cumsum(after), 0
-    while i < len(unit):
+    total, i = np.cumsum(count), 0
+    while i < len(count):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most_pairs, "right")))
-        c = after[i:j]
+        c = count[i:j]
         x = np.repeat(np.arange(i, j), c)
         y = lo[x] + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
         need = np.ceil(t / (1 + t) * (n[x] + n[y]) - 1e-9)
@@ -309,10 +370,29 @@ def _made(t: float, unit: np.ndarray, side: np.ndarray, n: np.ndarray, place: np
         i = j
 
 
-def _candidates(t: float, targets: int, parts: int, hot: dict[int, int], most_pairs: int):
-    """Prefix blocks by bucket to blocks of pairs by unit, the shorter text (of equal ones that of the lower id) first."""
+def _candidates(t: float, targets: int, parts: int, hot: dict[int, int], most_pairs: int, families=None):
+    """Prefix blocks by bucket to blocks of pairs by unit, the shorter text (of equal ones that of the lower id) first; none within a family of the broadcast ids, in order, and their families from 1 on."""
     schema = _arrow(_FOUND_PAIRS)
 
+    def family_of(ids: np.ndarray) -> np.ndarray:
+        if families is None or not len(ids):
+            return np.zeros(len(ids), np.int64)
+        known, number = families.value
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        return np.where(known[at] == ids, number[at], 0).astype(np.int64)
+
+    def made(unit, side, family, n, place, before, tails) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not family.any():
+            yield from _made(t, unit, side, n, place, before, tails, most_pairs)
+            return
+        alone = np.flatnonzero(family == 0)
+        for x, y in _made(t, *(v[alone] for v in (unit, side, n, place, before, tails)), most_pairs):
+            yield alone[x], alone[y]
+        some = np.flatnonzero(np.isin(unit, np.unique(unit[family > 0])))
+        some = some[np.lexsort((family[some], side[some], unit[some]))]
+        for x, y in _across(t, *(v[some] for v in (unit, side, family, n, place, before, tails)), most_pairs):
+            yield some[x], some[y]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for _, b in runs(batches, "key"):
             raw = {k: [x.as_py() for x in b[k]] for k in ("texts", "ns", "shared", "cells", "counts", "grams", "places", "before", "tails")}
@@ -327,7 +407,7 @@ def _candidates(t: float, targets: int, parts: int, hot: dict[int, int], most_pa
             order = np.lexsort((text, n[text], side, unit))
             text = text[order]
             found, held = np.zeros(0, np.int64), []
-            for x, y in _made(t, unit[order], side[order], n[text], place[order], before[order], tails[order], most_pairs):
+            for x, y in made(unit[order], side[order], family_of(ids)[text], n[text], place[order], before[order], tails[order]):
                 x, y = text[x], text[y]
                 swap = (n[x] > n[y]) | ((n[x] == n[y]) & (x > y))
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -452,13 +532,155 @@ def _verify(t: float):
     return go
 
 
-def _pairs(texts: DataFrame, chars: int, n: int, t: float) -> DataFrame:
+_WITHIN = "kind int, a long, b long"
+
+
+def _shared(flat: np.ndarray, text: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many n-grams each text of first has in common with each of second: flat has the n-grams, text the number of the text of each."""
+    row, column = (np.full(int(max(first.max(), second.max())) + 1, -1) for _ in range(2))
+    row[first], column[second] = np.arange(len(first)), np.arange(len(second))
+    _, gram, df = np.unique(flat, return_inverse=True, return_counts=True)
+    out = np.zeros((len(first), len(second)), np.float32)
+    dense = np.flatnonzero(df >= DENSE)
+    for k in range(0, len(dense), COLUMNS):
+        at = np.full(len(df), -1)
+        at[dense[k : k + COLUMNS]] = np.arange(len(dense[k : k + COLUMNS]))
+        mine = at[gram] >= 0
+        sides = []
+        for place, size in ((row, len(first)), (column, len(second))):
+            use = mine & (place[text] >= 0)
+            x = np.zeros((size, len(dense[k : k + COLUMNS])), np.float32)
+            x[place[text[use]], at[gram[use]]] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    rare = np.flatnonzero((df[gram] > 1) & (df[gram] < DENSE))
+    rare = rare[np.argsort(gram[rare], kind="stable")]
+    text, gram = text[rare], gram[rare]
+    begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))[: len(gram)]
+    lo, count = (np.repeat(v, np.diff(np.append(begin, len(gram)))) for v in (begin, np.diff(np.append(begin, len(gram)))))
+    for k in range(0, len(text), 100_000):
+        c = count[k : k + 100_000]
+        x = np.repeat(np.arange(k, k + len(c)), c)
+        y = lo[x] + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+        x, y = row[text[x]], column[text[y]]
+        use = (x >= 0) & (y >= 0)
+        np.add.at(out.reshape(-1), x[use] * len(second) + y[use], np.float32(1))
+    return out
+
+
+def _forest(near: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
+    """Pairs that connect what the matrix connects: rows with columns, or, if both are the same texts, rows with rows; else columns count on from the rows."""
+    n = len(near)
+    back, shift = (near, 0) if same else (np.ascontiguousarray(near.T), n)
+    todo = np.ones(n if same else n + near.shape[1], bool)
+    for start in range(n):
+        stack = [start] if todo[start] else []
+        todo[start] = False
+        while stack:
+            v = stack.pop()
+            row, base = (near[v], shift) if v < n else (back[v - n], 0)
+            new = np.flatnonzero(row & todo[base : base + len(row)]) + base
+            todo[new] = False
+            for w in new.tolist():
+                yield v, w
+            stack += new.tolist()
+
+
+def _tiles(t: float):
+    """The texts of a tile, all of side 0 or of sides 1 and 2, to _WITHIN, by its similar pairs; those across if it has two sides."""
+    schema = _arrow(_WITHIN)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, b in runs(batches, "tile"):
+            side, id_, n, w = (b[k].to_numpy() for k in ("side", "id", "n", "w"))
+            sets = [np.frombuffer(x.as_py(), "<u8") for x in b["grams"]]
+            same = not side.any()
+            first, second = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+            if not len(first) or not len(second):
+                continue
+            near = _shared(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), first, second)
+            by_row, by_column = np.zeros(len(first)), np.zeros(len(second))
+            close = np.zeros(near.shape, bool)
+            for k in range(0, len(first), 256):
+                mine = first[k : k + 256]
+                close[k : k + 256] = near[k : k + 256] >= np.ceil(t / (1 + t) * (n[mine][:, None] + n[second][None]) - 1e-9)
+                if same:
+                    close[mine, mine] = False
+                here = close[k : k + 256].astype(np.float64)
+                by_row[k : k + 256] = here @ w[second]
+                by_column += w[mine] @ here
+            del near
+            for who, links in ((first, by_row),) if same else ((first, by_row), (second, by_column)):
+                for k in np.flatnonzero(links).tolist():
+                    yield 0, int(id_[who[k]]), int(links[k])
+            place = id_[first] if same else np.concatenate([id_[first], id_[second]])
+            for v, u in _forest(close, same):
+                yield 1, *sorted((int(place[v]), int(place[u])))
+
+    return lambda batches: _emit(rows(batches), schema)
+
+
+def _families(sets: DataFrame) -> DataFrame | None:
+    """(id, family): texts whose sketches are like that of one text, by the id of that; None if there are no families.
+
+    Texts of a family have one of the SKETCH values in common with its first, the least id of those that have the value,
+    and ALIKE of them; a text is in the family that it has the most in common with. What families can't take is joined by prefixes.
+    """
+    keys = sets.where(F.octet_length("sketch") > 0).select("id", F.explode(F.sequence(F.lit(0), F.lit(SKETCH - 1))).alias("slot"), "sketch")
+    keys = written(keys.select("id", "slot", F.expr("substring(sketch, 4 * slot + 1, 4)").alias("value")), "sketches")
+    first = keys.groupBy("slot", "value").agg(F.min("id").alias("family"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
+    alike = keys.join(first, ["slot", "value"]).groupBy("id", "family").agg(F.count("*").alias("c")).where(F.col("c") >= ALIKE)
+    of = written(alike.groupBy("id").agg(F.max(F.struct("c", (-F.col("family")).alias("f"))).alias("m")).select("id", (-F.col("m.f")).alias("family")), "families")
+    sizes = of.groupBy("family").agg(F.count("*").alias("c")).where(F.col("c") >= FAMILY)
+    least = taken = 0
+    for size, many in sorted(map(tuple, sizes.groupBy("c").count().collect()), reverse=True):
+        if (taken := taken + size * many) > FAMILY_TEXTS:
+            break
+        least = size
+    drop(keys)
+    if not least:
+        drop(of)
+        return None
+    out = written(of.join(sizes.where(F.col("c") >= least).drop("c"), "family").select("id", "family"), "families")
+    drop(of)
+    return out
+
+
+def _within(families: DataFrame, sets: DataFrame, copies: DataFrame, t: float) -> DataFrame:
+    """_WITHIN of all families: each is cut into parts of a bounded size, each two of which are a tile."""
+    weights = copies.groupBy("id").agg(F.count("*").alias("w"))
+    texts = families.join(sets.select("id", "n", "grams"), "id").join(weights, "id", "left").withColumn("w", F.coalesce("w", F.lit(1)))
+    texts = written(texts, "members")
+    bytes_ = F.sum(F.octet_length("grams") + 64)
+    many = texts.groupBy("family").agg(bytes_.alias("size"), F.count("*").alias("c"))
+    many = many.select("family", "size", F.greatest(F.ceil(F.col("c") / TILE_TEXTS), F.ceil(F.col("size") / TILE_BYTES)).cast("int").alias("parts"))
+    tasks = min(PARTITIONS, max(1, math.ceil(many.agg(F.sum(F.col("size") * F.col("parts"))).first()[0] / VERIFY_BYTES)))
+    own, other = F.col("own"), F.col("other")
+    cut = texts.join(many.drop("size"), "family").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(own == other, 0).when(own < other, 1).otherwise(2)
+    tile = cut.select(row_key("family", F.least(own, other), F.greatest(own, other)).alias("tile"), side.alias("side"), "id", "n", "w", "grams")
+    out = written(tile.repartition(tasks, "tile").sortWithinPartitions("tile").mapInArrow(_tiles(t), _WITHIN), "within", "kind")
+    drop(texts)
+    return out.select("kind", "a", "b")
+
+
+def _pairs(texts: DataFrame, chars: int, n: int, t: float, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(similar pairs, None); with copies (similar pairs but those within a family, _WITHIN)."""
     block, buckets, parts = _layout(chars // 6)
     blocks = texts.mapInArrow(_grams(n, block, buckets), _BLOCK).withColumn("to", F.pmod("bucket", F.lit(parts)).cast("int"))
     counted = blocks.repartitionById(parts, "to").drop("to").sortWithinPartitions("bucket").mapInArrow(_count, _BLOCK)
-    split = counted.repartition(parts, "src").sortWithinPartitions("src").mapInArrow(_prefixes(t, buckets, HOT_TEXTS), _PREFIX)
+    split = counted.repartition(parts, "src").sortWithinPartitions("src").mapInArrow(_prefixes(t, buckets, HOT_TEXTS, 0 if copies is None else FAMILY), _PREFIX)
     prefixes = written(split, "prefixes", "kind")
-    sets = prefixes.where("kind = 0").select(F.col("key").alias("id"), "n", "cell", "grams")
+    sets = prefixes.where("kind = 0").select(F.col("key").alias("id"), "n", "cell", "grams", F.col("texts").alias("sketch"))
+    families, sent, within = None, None, None
+    if copies is not None:
+        families = _families(sets)
+        within = copies.sparkSession.createDataFrame([], _WITHIN) if families is None else _within(families, sets, copies, t)
+    if families is not None:
+        known = families.orderBy("id").toArrow()
+        number = np.unique(known["family"].to_numpy(), return_inverse=True)[1] + 1
+        sent = texts.sparkSession.sparkContext.broadcast((known["id"].to_numpy(), number.astype(np.int32)))
+        drop(families)
     by_cell = sets.groupBy("cell").agg(F.count("*").alias("c"), F.sum(F.octet_length("grams") + 64).alias("w"))
     units = F.greatest(F.ceil(F.col("c") / CELL_TEXTS), F.ceil(F.col("w") / CELL_BYTES))
     # at most one entry for CELL_TEXTS texts or CELL_BYTES of sets goes to the driver
@@ -466,7 +688,7 @@ def _pairs(texts: DataFrame, chars: int, n: int, t: float) -> DataFrame:
     targets, hot = max(1, math.ceil((sizes[0] or 0) / CELL_TEXTS), math.ceil((sizes[1] or 0) / CELL_BYTES)), {int(k): int(v) for k, v in (sizes[2] or {}).items()}
     tasks = math.ceil(targets / math.ceil(targets / PARTITIONS))
     postings = prefixes.where("kind = 1").drop("kind", "n", "cell").withColumn("to", F.pmod("key", F.lit(parts)).cast("int"))
-    found = postings.repartitionById(parts, "to").drop("to").sortWithinPartitions("key").mapInArrow(_candidates(t, targets, tasks, hot, PAIRS_AT_ONCE), _FOUND_PAIRS)
+    found = postings.repartitionById(parts, "to").drop("to").sortWithinPartitions("key").mapInArrow(_candidates(t, targets, tasks, hot, PAIRS_AT_ONCE, sent), _FOUND_PAIRS)
     once = written(found.repartitionById(tasks, "to").drop("to").sortWithinPartitions("target").mapInArrow(_once(CELL_BYTES, PAIRS_AT_ONCE), _PAIR), "pairs", "kind")
     needed = once.where("kind = 0")
     tasks = min(PARTITIONS, max(1, math.ceil((needed.agg(F.sum("w")).first()[0] or 0) / VERIFY_BYTES)))
@@ -475,7 +697,7 @@ def _pairs(texts: DataFrame, chars: int, n: int, t: float) -> DataFrame:
     out = joined.repartition(tasks, "sub").sortWithinPartitions("sub", "kind").mapInArrow(_verify(t), _FOUND)
     pairs = written(out, "similar")
     drop(prefixes, once)
-    return pairs
+    return pairs, within
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> Similar:
@@ -486,6 +708,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     several texts, the one of the least hash stands for it. Other columns are not read.
     An empty table gives no pairs. Texts of any length are read whole.
     """
+    return Similar(*_joined(docs, id_col, text_col, n, threshold, False)[:2])
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> Linked:
+    """What join() finds, with pairs within families of near copies counted and not made."""
+    return Linked(*_joined(docs, id_col, text_col, n, threshold, True))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, families: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     docs = bounded(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(T.WORD_SQL))
     hashed = lambda df: df.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
@@ -497,9 +728,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     others = by_id.where(F.size("v") > 1).select("id", F.inline(F.slice("v", F.lit(2), F.size("v"))))
     extra = written(copies.unionByName(others).select(row_key("id", "h1", "h2").alias("k")), "extra")
     apart = hashed(texts).withColumn("k", row_key("id", "h1", "h2")).join(sized(extra), "k", "left_anti").select("id", "text")
-    pairs = _pairs(apart, texts.agg(F.sum(F.length("text"))).first()[0] or 0, n, threshold)
+    copies = groups.select(F.col("least").alias("id"), F.col("id").alias("member"))
+    pairs, within = _pairs(apart, texts.agg(F.sum(F.length("text"))).first()[0] or 0, n, threshold, copies if families else None)
     drop(extra)
-    return Similar(groups.select(F.col("least").alias("id"), F.col("id").alias("member")), pairs)
+    return copies, pairs, within
 
 
 def all_pairs(found: Similar) -> DataFrame:
@@ -514,14 +746,22 @@ def all_pairs(found: Similar) -> DataFrame:
     return within.unionByName(across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard"))
 
 
-def losers(found: Similar) -> DataFrame:
-    """(id): of each group of texts that similar pairs connect, all but the least id; no rows if nothing is similar.
+def losers(found: Similar | Linked) -> DataFrame:
+    """(id): of each group of texts that similar pairs connect, all but the least id; no rows if nothing is similar."""
+    return _groups(found).select("id")
+
+
+def _groups(found: Similar | Linked) -> DataFrame:
+    """(id, least): of each group of texts that similar pairs connect, all but the least id, which the others have beside them.
 
     Components by large-star and small-star steps, over a written table in each round; a copy joins its
     group's least id at the start, so that rounds see one text of each set of equal ones.
     """
     star = found.copies.select(F.col("member").alias("u"), F.col("id").alias("v")).where("u <> v")
-    edges = written(found.pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(star).distinct(), "edges")
+    pairs = found.pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    if isinstance(found, Linked):
+        pairs = pairs.unionByName(found.within.where("kind = 1").select(F.col("b").alias("u"), F.col("a").alias("v")))
+    edges = written(pairs.unionByName(star).distinct(), "edges")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -535,7 +775,7 @@ def losers(found: Similar) -> DataFrame:
         drop(edges)
         edges = new
         if now == last:
-            return edges.select(F.col("u").alias("id"))
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("least"))
         last = now
 
 
@@ -548,7 +788,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name, rank = fresh(docs, "id", "rank")
     key = F.col(id_col).cast("long")
     with collected() as made:
-        found = join(docs, id_col, text_col, n, threshold)
+        found = linked(docs, id_col, text_col, n, threshold)
     out = sized(losers(found).withColumnRenamed("id", name))
     drop(*made)
     many = written(docs.groupBy(key.alias(name)).count().where(F.col("count") > 1).where(F.col(name).isNotNull()).select(name), "repeated")

@@ -113,6 +113,32 @@ def test_jaccard_brute_force(spark, monkeypatch, threshold, hot, bytes_):
     assert sorted(r.id for r in jaccard.losers(found).collect()) == sorted(k for k, v in part.items() if k != v)
 
 
+@pytest.fixture
+def pairs_made(monkeypatch):
+    """The numbers of pairs that the join writes."""
+    made = []
+
+    def written(df, name, *by, f=jaccard.written):
+        out = f(df, name, *by)
+        if name == "similar":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    return made
+
+
+def family(n: int) -> list[tuple[int, str]]:
+    base, rng = text(1, 150).split(), random.Random(3)
+    return [(k, " ".join(rng.choice("abcdefgh") * 3 if rng.random() < 0.02 else w for w in base)) for k in range(n)]
+
+
+def test_deduplicated_makes_few_pairs_of_a_large_family(spark, pairs_made):
+    """900 near copies of one text have more than 300,000 similar pairs."""
+    kept = jaccard.deduplicated(spark.createDataFrame([*family(900), (1000, text(2, 50))], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1000] and pairs_made[0] < 40_000
+
+
 def test_one_text_stands_for_an_id(spark):
     a, b = text(1, 30), text(2, 30)
     table = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, a + " x"), (5, b + " x")], "doc_id long, text string")
