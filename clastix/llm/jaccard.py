@@ -779,6 +779,24 @@ def _groups(found: Similar | Linked) -> DataFrame:
         last = now
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id, links): each id once, the least id of the group that similar pairs connect it with, and how many other ids its text is similar to.
+
+    Every pair of similar texts counts, copies too. An id without a text or a word is alone, a null id is in no row;
+    repeated rows are as in join(). An empty table gives no rows.
+    """
+    found = linked(docs, id_col, text_col, n, threshold)
+    of = found.copies.groupBy("id").agg(F.count("*").alias("c"))
+    ends = found.pairs.select("a", "b").unionByName(found.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.join(of, F.col("b") == F.col("id"), "left").select(F.col("a").alias("id"), F.coalesce("c", F.lit(1)).alias("k"))
+    others = ends.unionByName(found.within.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
+    members = found.copies.join(of, "id").select(F.col("member"), "id", "c")
+    both = others.join(members, "id", "full").select(F.coalesce("member", "id").alias("id"), (F.coalesce("k", F.lit(0)) + F.coalesce("c", F.lit(1)) - 1).alias("links"))
+    known = both.join(_groups(found), "id", "left")
+    every = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    return every.join(known, "id", "left").select("id", F.coalesce("least", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but one document of each group of similar texts: the one of the least id stays.
 

@@ -113,6 +113,32 @@ def test_jaccard_brute_force(spark, monkeypatch, threshold, hot, bytes_):
     assert sorted(r.id for r in jaccard.losers(found).collect()) == sorted(k for k, v in part.items() if k != v)
 
 
+@pytest.mark.parametrize("threshold, tile, most", [(0.3, 1000, 10**6), (0.4, 7, 10**6), (0.8, 3, 10**6), (0.4, 7, 30)])
+def test_links_of_families_brute_force(spark, monkeypatch, threshold, tile, most):
+    """Groups of near copies of 4 texts or more, counted in tiles of few texts, in parts of hot n-grams; most: texts of families at most, the rest goes by prefixes."""
+    for k, v in {"FAMILY": 4, "FAMILY_TEXTS": most, "ALIKE": 2, "TILE_TEXTS": tile, "DENSE": 5, "COLUMNS": 7, "HOT_TEXTS": 6, "BLOCK_GRAMS": 900, "CELL_TEXTS": 5, "THRESHOLD": threshold}.items():
+        monkeypatch.setattr(jaccard, k, v)
+    made = []
+    monkeypatch.setattr(jaccard, "_within", lambda *x, f=jaccard._within: made.append(f(*x)) or made[-1])
+    rng = random.Random(7)
+    base = [text(k, 60).split() for k in range(6)]
+    texts = []
+    for i in range(140):
+        w = list(base[min(5, int(rng.expovariate(0.6)))])
+        for _ in range(rng.choice([0, 1, 2, 4, 7])):
+            w[rng.randrange(len(w))] = rng.choice("abcdef") * 3
+        texts.append((i, " ".join(w[: rng.choice([60, 60, 60, 45, 25, 3])])))
+    texts += [(200, None), (201, ""), (202, "..."), (None, texts[0][1]), (203, texts[0][1]), (203, texts[0][1])]
+    got = {r.id: (r.class_id, r.links) for r in jaccard.links(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), threshold=threshold).collect()}
+    want, part, links = similar(texts), {i: i for i, _ in texts if i is not None}, collections.Counter()
+    for a, b in sorted(want):
+        links.update((a, b))
+        a, b = part[a], part[b]
+        part = {k: min(a, b) if v in (a, b) else v for k, v in part.items()}
+    assert got == {i: (c, links[i]) for i, c in part.items()}
+    assert len(made) == 1 and 0 < made[0].where("kind = 1").count() < len(want) / 4
+
+
 @pytest.fixture
 def pairs_made(monkeypatch):
     """The numbers of pairs that the join writes."""
@@ -139,6 +165,13 @@ def test_deduplicated_makes_few_pairs_of_a_large_family(spark, pairs_made):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1000] and pairs_made[0] < 40_000
 
 
+def test_links_of_a_large_family_are_all_counted(spark, pairs_made):
+    texts = family(900)
+    got = jaccard.links(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == 900 and sum(r.links for r in got) == 2 * len(similar(texts)) > 600_000
+    assert pairs_made[0] < 40_000
+
+
 def test_one_text_stands_for_an_id(spark):
     a, b = text(1, 30), text(2, 30)
     table = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, a + " x"), (5, b + " x")], "doc_id long, text string")
