@@ -163,37 +163,43 @@ def revise_ranges(
     taxon, srt, end = xcols
     require(x, taxon, srt, end, assemblage, *order_by)
     ranges = reference_ranges(y, ycols or xcols)
-    base = x.select(F.struct("*").alias("__row"), F.col(assemblage).alias("__a"), F.col(taxon).cast("string").alias("__x"), F.col(srt).cast("double").alias("__s"), F.col(end).cast("double").alias("__e"))
-    of = F.col("__row").getField
-    held = base.join(ranges, F.col("__x") == F.col("__t"), "left")
-    code = of(err) if err else range_code(F.col("__s"), F.col("__e"), F.col("__f"), F.col("__l")) if do_flag else F.lit("0R0")
-    first = F.struct(*[of(c) for c in order_by])
-    info = held.where(F.col("__a").isNotNull()).groupBy("__a").agg(
-        F.bool_or(F.coalesce(~code.isin("000", "R1R"), F.lit(False))).alias("work"),
-        F.min_by("__s", first).alias("s0"),
-        F.min_by("__e", first).alias("e0"),
-    )
-    foo = held.where(F.col("__x").isNotNull() & F.col("__s").isNotNull() & F.col("__e").isNotNull() & F.col("__f").isNotNull()).select("__a", "__x", "__s", "__e", "__f", "__l").distinct()
-    foo = foo.join(info.where("work").select("__a"), "__a", "left_semi")
-    # how many ranges of an assemblage hold each endpoint: starts so far less ends so far, by a sweep
-    points = foo.select("__a", F.inline(F.array(F.struct(F.col("__l").alias("b"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("__f").alias("b"), F.lit(0).alias("i"), F.lit(1).alias("o"))))).groupBy("__a", "b").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    upto = Window.partitionBy("__a").orderBy("b")
-    n = points.withColumn("N", F.sum("i").over(upto) - F.sum("o").over(upto) + F.col("o")).withColumn("p", F.col("N") / F.sum("i").over(Window.partitionBy("__a")))
-    m = n.withColumn("m", F.max("p").over(Window.partitionBy("__a")))
+    key, name, s, e = F.col(assemblage), F.col(taxon).cast("string"), F.col(srt).cast("double"), F.col(end).cast("double")
+    wrong = lambda code: F.coalesce(~code.isin("000", "R1R"), F.lit(False))
+    # rows meet those of their assemblage before the first is taken: to take it in the scan would sort all of a task's rows there
+    at = {c: f"__{i}" for i, c in enumerate(dict.fromkeys([*order_by, srt, end]))}
+    rows = x.where(key.isNotNull()).select(key.alias("__a"), *[F.col(c).alias(v) for c, v in at.items()], (wrong(F.col(err)) if err else F.lit(not do_flag)).alias("w")).repartition("__a")
+    first = F.min(F.struct(*[at[c] for c in order_by], F.col(at[srt]).cast("double").alias("s"), F.col(at[end]).cast("double").alias("e")))
+    info = rows.groupBy("__a").agg(first.alias("first"), F.bool_or("w").alias("w")).select("__a", F.col("first.s").alias("s0"), F.col("first.e").alias("e0"), "w")
+    taxa = x.where(key.isNotNull()).select(key.alias("__a"), name.alias("__x"), s.alias("__s"), e.alias("__e")).join(ranges, F.col("__x") == F.col("__t")).drop("__t").repartition("__a")
+    foo = taxa.withColumn("r", F.row_number().over(Window.partitionBy("__a", "__x", "__s", "__e").orderBy("__s"))).where("r = 1")
+    # how many ranges of an assemblage hold each endpoint: starts so far less ends so far, by a sweep; k: of which ranges it is an endpoint
+    f, l, zero = F.col("__f"), F.col("__l"), F.lit(0)  # noqa: E741
+    aged = (F.col("__s").isNotNull() & F.col("__e").isNotNull()).cast("int")
+    flagged = F.when(wrong(range_code(F.col("__s"), F.col("__e"), f, l)), 16).otherwise(0) if do_flag and not err else zero
+    kind = lambda forward, backward: (F.when(l < f, forward).otherwise(backward) + flagged).alias("k")
+    points = foo.select("__a", F.inline(F.array(F.struct(l.alias("b"), aged.alias("i"), zero.alias("o"), kind(4, 2)), F.struct(f.alias("b"), zero.alias("i"), aged.alias("o"), kind(1, 8)))))
+    whole = Window.partitionBy("__a")
+    upto, here = whole.orderBy("b"), whole.orderBy("b").rangeBetween(Window.currentRow, Window.currentRow)
+    n = points.withColumn("N", F.sum("i").over(upto) - F.sum("o").over(upto) + F.sum("o").over(here)).withColumn("p", F.when(F.col("i") + F.col("o") > 0, F.col("N") / F.sum("i").over(whole)))
+    of = lambda bit: F.when(F.col("k").bitwiseAND(bit) > 0, F.col("b"))
+    known = F.col("p").isNotNull()
+    # the greatest of structs: an aggregate along the sweep's order, without a hash table
+    each = [F.max(F.when(known, F.struct("p", "b"))).alias("hi"), F.max(F.when(known, F.struct("p", (-F.col("b")).alias("b")))).alias("lo"), F.bool_or(F.col("k") >= 16).alias("flagged")]
+    each += [F.min(of(1)).alias("f_min"), F.min(of(2)).alias("l_min"), F.max(of(4)).alias("l_max"), F.max(of(8)).alias("f_max")]
     if allow_zero:
-        solution = m.where(F.col("p") == F.col("m")).groupBy("__a").agg(F.max("b").alias("rf"), F.min("b").alias("rl"), F.max("m").alias("m"))
-        paired = F.lit(True)
+        solution = n.groupBy(F.col("__a").alias("__k")).agg(*each).withColumns({"rf": F.col("hi.b"), "rl": -F.col("lo.b"), "m": F.col("hi.p"), "top": F.col("hi.p")})
     else:
-        fit = m.where(F.col("p") >= prop)
-        rank = Window.partitionBy("__a").orderBy(F.desc("p"), F.desc("b"))
-        two = fit.withColumn("k", F.row_number().over(rank)).where("k <= 2").groupBy("__a").agg(F.max("b").alias("rf"), F.min("b").alias("rl"), F.avg("p").alias("m2"), F.count("*").alias("c"))
-        solution = m.groupBy("__a").agg(F.max("m").alias("m0")).join(two, "__a", "left").select("__a", "rf", "rl", F.coalesce("m2", "m0").alias("m"), "c", "m0")
-        paired = F.coalesce(F.col("c"), F.lit(0)) == 2
-    got = info.join(solution, "__a", "left")
-    top = F.col("m") if allow_zero else F.col("m0")
+        rank = F.dense_rank().over(whole.orderBy(F.desc("p"), F.desc("b")))
+        two = n.withColumn("r", rank).withColumn("two", (F.col("p") >= prop) & (F.col("r") <= 2))
+        b, p = F.when(F.col("two"), F.col("b")), F.when(F.col("two"), F.col("p"))
+        each += [F.max(b).alias("rf"), F.min(b).alias("rl"), ((F.max(p) + F.min(p)) / 2).alias("mean"), F.max(F.when(F.col("two"), F.col("r"))).alias("c")]
+        solution = two.groupBy(F.col("__a").alias("__k")).agg(*each).withColumns({"top": F.col("hi.p"), "m": F.coalesce("mean", "hi.p")})
+    paired = F.lit(True) if allow_zero else F.coalesce(F.col("c"), F.lit(0)) == 2
+    got = info.join(solution, F.col("__a") == F.col("__k"), "left")
     covers = (F.col("rf") >= F.col("s0")) & (F.col("rl") <= F.col("e0"))
     meets = (F.col("rf") >= F.col("e0")) & (F.col("rl") <= F.col("s0")) if allow_zero else (F.col("rf") > F.col("e0")) & (F.col("rl") < F.col("s0"))
-    revision = F.when(~F.col("work") | F.col("m").isNull(), "Unchecked").when((top < prop) | ~paired, "Unresolved").when(covers, "Retained").otherwise("Revised")
+    work = F.col("w") | F.coalesce(F.col("flagged"), F.lit(False))
+    revision = F.when(~work | F.col("m").isNull(), "Unchecked").when((F.col("top") < prop) | ~paired, "Unresolved").when(covers, "Retained").otherwise("Revised")
     got = got.withColumn("revision", revision)
     new = F.col("revision") == "Revised"
     got = got.withColumns(
@@ -203,20 +209,23 @@ def revise_ranges(
             "prop": F.when(F.col("revision") == "Retained", F.lit(1.0)).when(new, F.col("m")),
         }
     )
-    solved = got.select(F.col("__a").alias("__k"), F.col("FAD").alias("__nf"), F.col("LAD").alias("__nl"), "revision", F.col("prop").alias("__p"))
-    occ = held.join(solved, F.col("__a") == F.col("__k"), "left")
-    changed = F.coalesce(F.col("revision").isin("Revised", "Retained"), F.lit(False))
-    partial = changed & (F.col("__p") < 1)
-    after = F.coalesce(partial & (F.col("__f") <= F.col("__nl")) & (F.col("__l") < F.col("__nl")), F.lit(False))
-    before = F.coalesce(partial & (F.col("__f") > F.col("__nf")) & (F.col("__l") >= F.col("__nf")), F.lit(False))
-    flag = F.when(after, "R00").when(before, "00R").when(changed & (F.col("__p") == 1), "R1R").otherwise("000")
-    fad, lad = F.when(changed, F.col("__nf")).otherwise(F.col("__s")), F.when(changed, F.col("__nl")).otherwise(F.col("__e"))
-    occ = occ.withColumns({"FAD": fad, "LAD": lad, "tax_flag": flag})
-    occ = occ.withColumns({"FAD_diff": F.when(F.col("tax_flag") == "00R", F.abs(F.col("FAD") - F.col("__s"))), "LAD_diff": F.when(F.col("tax_flag") == "R00", F.abs(F.col("LAD") - F.col("__e")))})
-    flags = occ.where(F.col("__a").isNotNull()).groupBy(F.col("__a").alias("__k")).agg(F.bool_or(F.col("tax_flag") == "00R").alias("o"), F.bool_or(F.col("tax_flag") == "R00").alias("r"))
+    # a range lies after the new age if f <= LAD and l < LAD: of those with l < f the least f tells, of others the least l
+    partial = new & (F.col("prop") < 1)
+    r = F.coalesce(partial & ((F.col("f_min") <= F.col("LAD")) | (F.col("l_min") < F.col("LAD"))), F.lit(False))
+    o = F.coalesce(partial & ((F.col("l_max") >= F.col("FAD")) | (F.col("f_max") > F.col("FAD"))), F.lit(False))
     settled = F.col("revision").isin("Revised", "Retained")
-    status = F.when(~settled, "000").when(F.col("prop") == 1, "R1R").when(F.col("o") & F.col("r"), "0R0").when(F.col("o"), "00R").when(F.col("r"), "R00").otherwise("000")
-    collection = got.join(flags, F.col("__a") == F.col("__k")).select(F.col("__a").alias("assemblage"), "FAD", "LAD", "revision", status.alias("status"), "prop")
-    made = "tax_flag FAD LAD FAD_diff LAD_diff".split()
-    occurrence = occ.select("__row.*", *[F.col(c).alias(k) for c, k in zip(made, fresh(x, *made))])
-    return RevisionResult(collection, occurrence)
+    status = F.when(~settled, "000").when(F.col("prop") == 1, "R1R").when(o & r, "0R0").when(o, "00R").when(r, "R00").otherwise("000")
+    collection = got.select(F.col("__a").alias("assemblage"), "FAD", "LAD", "revision", status.alias("status"), "prop")
+    # once a name: what the columns of x hold already isn't shuffled beside them
+    made = fresh(x, "tax_flag", "FAD", "LAD", "FAD_diff", "LAD_diff", "__t", "__f", "__l", "__k", "__nf", "__nl", "__r", "__p")
+    t, f, l, k, nf, nl, rev, p = made[5:]  # noqa: E741
+    solved = got.select(F.col("__a").alias(k), F.col("FAD").alias(nf), F.col("LAD").alias(nl), F.col("revision").alias(rev), F.col("prop").alias(p))
+    occ = x.join(ranges.toDF(t, f, l), name == F.col(t), "left").drop(t).join(solved, key == F.col(k), "left")
+    changed = F.coalesce(F.col(rev).isin("Revised", "Retained"), F.lit(False))
+    partial = changed & (F.col(p) < 1)
+    after = F.coalesce(partial & (F.col(f) <= F.col(nl)) & (F.col(l) < F.col(nl)), F.lit(False))
+    before = F.coalesce(partial & (F.col(f) > F.col(nf)) & (F.col(l) >= F.col(nf)), F.lit(False))
+    flag = F.when(after, "R00").when(before, "00R").when(changed & (F.col(p) == 1), "R1R").otherwise("000")
+    fad, lad = F.when(changed, F.col(nf)).otherwise(s), F.when(changed, F.col(nl)).otherwise(e)
+    values = flag, fad, lad, F.when(flag == "00R", F.abs(fad - s)), F.when(flag == "R00", F.abs(lad - e))
+    return RevisionResult(collection, occ.withColumns(dict(zip(made, values))).drop(*made[6:]))

@@ -200,3 +200,103 @@ def test_dating_and_slicing_leave_columns_of_the_same_names(spark):
     assert {(r.cuts, r.split, r.split_) for r in got.collect()} == {(1, "s", "a_2/2"), (2, "s", "a_1/2")}
     kingdoms = spark.createDataFrame([("P", "Plantae")], "phylum string, kingdom string")
     assert rows(ages.add_kingdoms(spark.createDataFrame([("P", 1), (None, 2)], "phylum string, name int"), kingdoms)) == [("Plantae", "P", 1), (None, None, 2)]
+
+
+def _nodes(plan):
+    """The nodes of a physical plan, with what runs inside adaptive ones."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    below = plan.children()
+    parts = [_nodes(p) for p in inner + [below.apply(i) for i in range(below.size())]]
+    return [(kind, plan, parts)] + [n for p in parts for n in p]
+
+
+def _plan(df):
+    return _nodes(df._jdf.queryExecution().executedPlan())
+
+
+def _shuffles(plan):
+    return [p for kind, p, _ in plan if kind == "ShuffleExchangeExec"]
+
+
+def _revised(spark, n=200, **more):
+    """(occurrences, ranges, result): with repeated rows, gaps, an assemblage of many rows and ranges the wrong way round."""
+    rng = random.Random(n)
+    ranges = [(f"t{i}", float(a + rng.randint(-1, 5)), float(a)) for i in range(9) for a in [rng.randint(0, 12)]]
+    occ = []
+    for k in range(n):
+        b = rng.randint(0, 14)
+        a = rng.choice([None, 0, 0, *range(1, 40)])
+        ages = rng.choice([(float(b + rng.randint(0, 4)), float(b))] * 5 + [(None, float(b))] if k % 3 else [(float(b), float(b))])
+        occ += [(a, k, rng.choice([None, *(f"t{i}" for i in range(11))]), *ages)] * rng.choice([1, 1, 2])
+    x = spark.createDataFrame(occ, "coll long, k long, genus string, max_ma double, min_ma double")
+    y = spark.createDataFrame(ranges, "genus string, max_ma double, min_ma double")
+    return occ, {t: (f, l) for t, f, l in ranges}, intervals.revise_ranges(x, y, ("genus", "max_ma", "min_ma"), "coll", ["k"], **more)
+
+
+def _code(m, n, f, l):  # noqa: E741
+    if m is None or n is None:
+        return "000"
+    if m <= f and n >= l:
+        return "R1R"
+    if n < l and m > f:
+        return "0R0"
+    if m > f and n > f:
+        return "00R"
+    if n < l and m < l:
+        return "R00"
+    return "0R1" if l <= n <= f and m > f else "1R0"
+
+
+@pytest.mark.parametrize("prop", [0.3, 0.6, 1.0])
+@pytest.mark.parametrize("do_flag", [False, True])
+def test_revise_rows_and_status_against_loop(spark, prop, do_flag):
+    occ, ranges, out = _revised(spark, prop=prop, do_flag=do_flag)
+    got = {r.assemblage: r for r in out.collection.collect()}
+    want, flags = {}, {}
+    for a in {o[0] for o in occ} - {None}:
+        own = [o for o in occ if o[0] == a]
+        _, _, _, s0, e0 = min(own, key=lambda o: o[1])
+        foo = [ranges[t] for t, m, n in {o[2:] for o in own} if t in ranges and m is not None and n is not None]
+        work = not do_flag or any(_code(m, n, *ranges[t]) not in ("000", "R1R") for _, _, t, m, n in own if t in ranges)
+        share = {b: sum(low <= b <= high for high, low in foo) / len(foo) for r in foo for b in r}
+        top = max(share.values(), default=None)
+        best = [b for b in share if share[b] == top]
+        revision, nf, nl, p = "Unchecked", s0, e0, None
+        if work and foo:
+            rf, rl, ok = max(best), min(best), s0 is not None
+            revision = "Unresolved" if top < prop else "Retained" if ok and rf >= s0 and rl <= e0 else "Revised"
+            if revision == "Retained":
+                p = 1.0
+            elif revision == "Revised":
+                nf, nl, p = (min(rf, s0), max(rl, e0), top) if ok and rf >= e0 and rl <= s0 else (rf, rl, top)
+        changed = p is not None
+        for t, (f, l) in ranges.items():  # noqa: E741
+            after, before = changed and p < 1 and f <= nl and l < nl, changed and p < 1 and f > nf and l >= nf
+            flags[a, t] = "R00" if after else "00R" if before else "R1R" if changed and p == 1 else "000"
+        mine = {flags[a, o[2]] for o in own if o[2] in ranges}
+        status = "000" if not changed else "R1R" if p == 1 else "0R0" if {"R00", "00R"} <= mine else "00R" if "00R" in mine else "R00" if "R00" in mine else "000"
+        want[a] = (revision, nf, nl, p, status)
+        flags[a, None] = "R1R" if changed and p == 1 else "000"
+    assert {a: (r.revision, r.FAD, r.LAD, r.prop, r.status) for a, r in got.items()} == want
+    rows_of = out.occurrence.collect()
+    assert sorted(str(tuple(r)[:5]) for r in rows_of) == sorted(str(o) for o in occ)
+    for r in rows_of:
+        if r.coll is None:
+            assert (r.FAD, r.LAD, r.tax_flag) == (r.max_ma, r.min_ma, "000")
+            continue
+        revision, nf, nl, _, _ = want[r.coll]
+        kept = revision not in ("Revised", "Retained")
+        assert (r.FAD, r.LAD) == ((r.max_ma, r.min_ma) if kept else (nf, nl))
+        assert r.tax_flag == flags[r.coll, r.genus if r.genus in ranges else None]
+
+
+def test_revised_rows_are_shuffled_once_a_column(spark):
+    """Rows go to their taxon's range and to their assemblage, and every other shuffle is narrower; none carries a column twice."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = _shuffles(_plan(_revised(spark, prop=0.5, do_flag=True)[2].occurrence))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = sum(p.output().size() for p in found)
+    assert len(found) <= 8 and wide <= 36, (len(found), wide)
