@@ -19,11 +19,19 @@ def _ranges(df: DataFrame, taxon: str, srt: str, end: str, mode: str) -> DataFra
     rows = df.select(F.col(taxon).cast("string").alias("taxon"), F.col(srt).cast("double").alias("s"), F.col(end).cast("double").alias("e")).dropna()
     if mode == "max":
         return rows.groupBy("taxon").agg(F.max("s").alias("FAD"), F.min("e").alias("LAD"))
-    ends = rows.select("taxon", F.inline(F.array(F.struct((F.col("s") + SHIFT).alias("adj"), F.lit(1).alias("start"), F.col("s").alias("age")), F.struct(F.col("e").alias("adj"), F.lit(0).alias("start"), F.col("e").alias("age")))))
+    # an end comes after its own start and a start before its own end, but in a row the wrong way round: of the others the
+    # oldest end and the youngest start are enough, so that one endpoint of a row is sorted, not both
+    s, e = F.col("s"), F.col("e")
+    start = lambda c: F.struct((c + SHIFT).alias("adj"), F.lit(1).alias("start"), c.alias("age"))
+    stop = lambda c: F.struct(c.alias("adj"), F.lit(0).alias("start"), c.alias("age"))
+    wrong = e > s + SHIFT
+    edge = rows.groupBy("taxon").agg(F.max("e").alias("e"), F.min("s").alias("s"))
+    old = rows.select("taxon", F.inline(F.when(wrong, F.array(start(s), stop(e))).otherwise(F.array(start(s))))).unionByName(edge.select("taxon", F.inline(F.array(stop(e)))))
+    young = rows.select("taxon", F.inline(F.when(wrong, F.array(start(s), stop(e))).otherwise(F.array(stop(e))))).unionByName(edge.select("taxon", F.inline(F.array(start(s)))))
     taxon = Window.partitionBy("taxon")
     # equal endpoints have one rank; ranks up to 2 are cut off before the shuffle
-    first = ends.withColumn("k", F.dense_rank().over(taxon.orderBy(F.desc("adj"), F.desc("start")))).where("k <= 2").select("taxon", "k", "age")
-    last = ends.withColumn("k", F.dense_rank().over(taxon.orderBy("adj", "start"))).where("k <= 2").select("taxon", (-F.col("k")).alias("k"), "age")
+    first = old.withColumn("k", F.dense_rank().over(taxon.orderBy(F.desc("adj"), F.desc("start"), F.desc("age")))).where("k <= 2").select("taxon", "k", "age")
+    last = young.withColumn("k", F.dense_rank().over(taxon.orderBy("adj", "start", "age"))).where("k <= 2").select("taxon", (-F.col("k")).alias("k"), "age")
     place = lambda k, name: F.max(F.when(F.col("k") == k, F.col("age"))).alias(name)
     out = first.unionByName(last).groupBy("taxon").agg(place(1, "FAD_early"), place(2, "FAD_late"), place(-2, "LAD_early"), place(-1, "LAD_late"))
     if mode == "bounds":

@@ -300,3 +300,27 @@ def test_revised_rows_are_shuffled_once_a_column(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     wide = sum(p.output().size() for p in found)
     assert len(found) <= 8 and wide <= 36, (len(found), wide)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from([0.0, 1e-20, 0.05, 0.1, 1.0, 1.1, 2.0, 3.0]), st.sampled_from([0.0, 0.1, 1.0, 1.1, 2.0, 2.5])), min_size=1, max_size=6))
+def test_bounds_against_all_endpoints(spark, data):
+    """Rows the wrong way round, and ages that SHIFT makes equal, too."""
+    want = {}
+    for taxon in {t for t, _, _ in data}:
+        ends = {(m + ages.SHIFT, 1, m) for t, m, _ in data if t == taxon} | {(n, 0, n) for t, _, n in data if t == taxon}
+        age = [a for _, _, a in sorted(ends, reverse=True)]
+        want[taxon] = (age[0], age[1], age[-2], age[-1])
+    x = spark.createDataFrame(data, "genus string, max_ma double, min_ma double")
+    got = {r.taxon: (r.FAD_early, r.FAD_late, r.LAD_early, r.LAD_late) for r in ages.age_ranges(x, mode="bounds", validate=False).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("mode", ["bounds"])
+def test_bounds_sort_one_endpoint_of_a_row(spark, mode):
+    rng = random.Random(5)
+    data = [(f"t{rng.randint(0, 9)}", float(a + rng.randint(0, 9)), float(a)) for a in (rng.randint(0, 99) for _ in range(2000))]
+    df = ages.age_ranges(spark.createDataFrame(data, "genus string, max_ma double, min_ma double"), mode=mode)
+    df.collect()
+    made = [p.metrics().apply("numOutputRows").value() for kind, p, _ in _plan(df) if kind == "GenerateExec"]
+    assert len(made) >= 2 and sum(made) <= 2 * 2000 + 2 * 10 + 2 * 10
