@@ -316,7 +316,7 @@ def test_bounds_against_all_endpoints(spark, data):
     assert got == want
 
 
-@pytest.mark.parametrize("mode", ["bounds"])
+@pytest.mark.parametrize("mode", ["bounds", "min"])
 def test_bounds_sort_one_endpoint_of_a_row(spark, mode):
     rng = random.Random(5)
     data = [(f"t{rng.randint(0, 9)}", float(a + rng.randint(0, 9)), float(a)) for a in (rng.randint(0, 99) for _ in range(2000))]
