@@ -324,3 +324,14 @@ def test_bounds_sort_one_endpoint_of_a_row(spark, mode):
     df.collect()
     made = [p.metrics().apply("numOutputRows").value() for kind, p, _ in _plan(df) if kind == "GenerateExec"]
     assert len(made) >= 2 and sum(made) <= 2 * 2000 + 2 * 10 + 2 * 10
+
+
+@pytest.mark.parametrize("err", [None, "e"])
+def test_first_rows_are_not_sorted_in_the_scan(spark, err):
+    """What a task sorts is then bounded by a shuffled partition, not by a part of a file."""
+    x = spark.createDataFrame([(1, 1, "a", 5.0, 4.0, "0R1"), (1, 2, "b", 9.0, 1.0, "000"), (2, 1, "a", 3.0, 2.0, "000")], "coll long, k long, genus string, max_ma double, min_ma double, e string")
+    out = intervals.revise_ranges(x, x.where("k = 1").select("genus", "max_ma", "min_ma"), ("genus", "max_ma", "min_ma"), "coll", ["k", "genus"], err=err).collection
+    sorts = [[n[0] for part in below for n in part] for kind, _, below in _plan(out) if kind == "SortExec"]
+    assert sorts and all("ShuffleExchangeExec" in below for below in sorts)
+    got = {r.assemblage: (r.revision, r.FAD, r.LAD, r.prop) for r in out.collect()}
+    assert got == {1: ("Retained", 5.0, 4.0, 1.0), 2: ("Unchecked", 3.0, 2.0, None) if err else ("Retained", 3.0, 2.0, 1.0)}
