@@ -335,3 +335,8 @@ def test_first_rows_are_not_sorted_in_the_scan(spark, err):
     assert sorts and all("ShuffleExchangeExec" in below for below in sorts)
     got = {r.assemblage: (r.revision, r.FAD, r.LAD, r.prop) for r in out.collect()}
     assert got == {1: ("Retained", 5.0, 4.0, 1.0), 2: ("Unchecked", 3.0, 2.0, None) if err else ("Retained", 3.0, 2.0, 1.0)}
+
+
+def test_a_collection_takes_one_join_with_ranges_and_one_with_first_rows(spark):
+    plan = _plan(_revised(spark, do_flag=True)[2].collection)
+    assert sum("Join" in kind for kind, *_ in plan) == 2
